@@ -1,0 +1,4 @@
+"""Empty on purpose: every job of this library is a batch job.
+
+None of the covered work reads or writes a stream, so there is nothing to build here.
+"""
