@@ -24,11 +24,17 @@ def create_tables(
 
 
 def append_batches(
-    spark: SparkSession, target: CatalogBinding, batches: Mapping[str, DataFrame], positional: bool
+    spark: SparkSession,
+    target: CatalogBinding,
+    batches: Mapping[str, DataFrame],
+    specs: Mapping[str, TableSpec],
+    positional: bool,
 ) -> dict[str, int]:
     added = {}
     for name, batch in batches.items():
-        added[name] = append(spark, target, name, batch, positional=positional)
+        added[name] = append(
+            spark, target, name, batch, positional=positional, partition_by=specs[name].partition_by
+        )
         record_load(spark, target, name, "append", added[name])
     return added
 
@@ -46,7 +52,7 @@ def load_tables(
 ) -> DataFrame:
     """Append a batch to each table, creating the tables when needed, and count the tables."""
     create_tables(spark, target, specs)
-    append_batches(spark, target, batches, positional)
+    append_batches(spark, target, batches, specs, positional)
     return counts_of(spark, target, batches)
 
 
@@ -54,6 +60,7 @@ def load_with_reconciliation(
     spark: SparkSession,
     target: CatalogBinding,
     batches: Mapping[str, DataFrame],
+    specs: Mapping[str, TableSpec] = OPERATIONAL,
     positional: bool = False,
 ) -> DataFrame:
     """Append a batch to each existing table and compare the counts around it.
@@ -62,7 +69,7 @@ def load_with_reconciliation(
     whether the table grew by exactly that.
     """
     before = {row["tbl"]: row["rows"] for row in counts_of(spark, target, batches).collect()}
-    added = append_batches(spark, target, batches, positional)
+    added = append_batches(spark, target, batches, specs, positional)
     after = {row["tbl"]: row["rows"] for row in counts_of(spark, target, batches).collect()}
     report = [
         (name, before[name], added[name], after[name], before[name] + added[name] == after[name])

@@ -26,7 +26,13 @@ def cross_catalog_copy(
     """Overwrite a table of one catalog with (a transform of) a table of another."""
     ensure_namespace(spark, target)
     create_table(spark, target, target_table, spec)
-    rows = overwrite(spark, target, target_table, transform(scan_table(spark, source, source_table)))
+    rows = overwrite(
+        spark,
+        target,
+        target_table,
+        transform(scan_table(spark, source, source_table)),
+        partition_by=spec.partition_by,
+    )
     record_load(spark, target, target_table, "overwrite", rows)
     return rows
 
@@ -49,6 +55,6 @@ def replicate_partitions(
     ensure_namespace(spark, target)
     create_table(spark, target, table, spec)
     chosen = scan_partitions(scan_table(spark, source, table), spec, values, ranges)
-    rows = overwrite_partitions(spark, target, table, chosen, rebalance=False)
+    rows = overwrite_partitions(spark, target, table, chosen)
     record_load(spark, target, table, "overwrite", rows)
     return rows

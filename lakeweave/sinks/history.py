@@ -20,11 +20,11 @@ def record_load(spark: SparkSession, binding: CatalogBinding, table: str, operat
     if binding.format == "iceberg":
         return  # the table format keeps its own snapshots
     create_table(spark, binding, HISTORY_TABLE, LOAD_HISTORY)
-    entry = spark.range(1).select(
+    entry = spark.range(0, 1, numPartitions=1).select(
         F.lit(uuid.uuid4().hex).alias("run_id"),
         F.lit(table).alias("tbl"),
         F.lit(operation).alias("operation"),
         F.lit(rows).cast("bigint").alias("rows_written"),
         F.current_timestamp().alias("committed_at"),
     )
-    append(spark, binding, HISTORY_TABLE, entry, target_files=1)
+    append(spark, binding, HISTORY_TABLE, entry)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweave.sources.bindings import CatalogBinding
+from lakeweave.sources.bindings import CatalogBinding, quoted
 
 
 def conform(df: DataFrame, schema: T.StructType, positional: bool = False) -> DataFrame:
@@ -30,9 +30,9 @@ def conform(df: DataFrame, schema: T.StructType, positional: bool = False) -> Da
     if unknown:
         raise ValueError(f"the table has no column {', '.join(unknown)}")
     present = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"CAST({quoted(f.name) if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {quoted(f.name)}"
             for f in schema.fields
         ]
     )
@@ -70,10 +70,6 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def partition_columns(spark: SparkSession, binding: CatalogBinding, table: str) -> list[str]:
-    return [c.name for c in spark.catalog.listColumns(binding.table(table)) if c.isPartition]
-
-
 def append(
     spark: SparkSession,
     binding: CatalogBinding,
@@ -81,13 +77,17 @@ def append(
     df: DataFrame,
     *,
     positional: bool = False,
+    partition_by: Sequence[str] = (),
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
 ) -> int:
-    """Add the rows of ``df`` to a table and return how many there were."""
+    """Add the rows of ``df`` to a table and return how many there were.
+
+    ``partition_by`` names the table's partition columns, for the distribution of rows.
+    """
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema, positional)
-    rows = laid_out(spark, rows, partition_columns(spark, binding, table), target_files, sort_within)
+    rows = laid_out(spark, rows, partition_by, target_files, sort_within)
     rows, seen = counted(rows)
     if binding.kind == "v2":
         rows.writeTo(name).append()
@@ -102,13 +102,14 @@ def overwrite(
     table: str,
     df: DataFrame,
     *,
+    partition_by: Sequence[str] = (),
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
 ) -> int:
     """Replace all rows of a table. Spark refuses a ``df`` that reads the same table."""
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema)
-    rows = laid_out(spark, rows, partition_columns(spark, binding, table), target_files, sort_within)
+    rows = laid_out(spark, rows, partition_by, target_files, sort_within)
     rows, seen = counted(rows)
     if binding.kind == "v2":
         rows.writeTo(name).overwrite(F.lit(True))
@@ -118,17 +119,16 @@ def overwrite(
 
 
 def overwrite_partitions(
-    spark: SparkSession, binding: CatalogBinding, table: str, df: DataFrame, *, rebalance: bool = True
+    spark: SparkSession, binding: CatalogBinding, table: str, df: DataFrame, *, partition_by: Sequence[str] = ()
 ) -> int:
     """Replace the partitions ``df`` has rows for and leave the others.
 
-    ``rebalance=False`` saves the shuffle when ``df`` comes straight from a table that is
-    laid out the same way.
+    Leave ``partition_by`` out, and with it a shuffle, when ``df`` comes straight from a
+    table that is laid out the same way.
     """
     name = binding.table(table)
-    keys = partition_columns(spark, binding, table)
     rows = conform(df, spark.table(name).schema)
-    rows = laid_out(spark, rows, keys if rebalance else ())
+    rows = laid_out(spark, rows, partition_by)
     rows, seen = counted(rows)
     if binding.kind == "v2":
         rows.writeTo(name).overwritePartitions()

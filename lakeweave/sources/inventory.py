@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from lakeweave.sources.bindings import CatalogBinding, bind, quoted
 
-COLUMN_ROWS = "array<struct<position:int,column_name:string,data_type:string,comment:string,is_partition:boolean>>"
+COLUMN_ROWS = (
+    "catalog_name string, schema_name string, table_name string, position int, column_name string,"
+    " data_type string, comment string, is_partition boolean"
+)
+TABLE_KEY = ["catalog_name", "schema_name", "table_name"]
 
 
 def table_names(spark: SparkSession, binding: CatalogBinding) -> list[str]:
@@ -28,45 +32,47 @@ def namespaces(spark: SparkSession, binding: CatalogBinding) -> list[str]:
     return sorted(row[0] for row in spark.sql(f"SHOW NAMESPACES IN {quoted(binding.catalog)}").collect())
 
 
+def table_columns(spark: SparkSession, full_name: str) -> list[tuple]:
+    """Position, name, type, comment and partition flag of each column, by one DESCRIBE."""
+    described = [tuple(row) for row in spark.sql(f"DESCRIBE TABLE {full_name}").collect()]
+    headings = [i for i, row in enumerate(described) if not row[0] or row[0].startswith("#")]
+    end = headings[0] if headings else len(described)
+    partition_names = {row[0] for row in described[end:]}
+    return [
+        (position, name, data_type, comment, name in partition_names)
+        for position, (name, data_type, comment) in enumerate(described[:end], start=1)
+    ]
+
+
+def table_count(spark: SparkSession, binding: CatalogBinding, table: str) -> DataFrame:
+    one_row = spark.table(binding.table(table)).agg(F.count(F.lit(1)).alias("row_count"))
+    key = zip((binding.name, binding.namespace, table), TABLE_KEY)
+    return one_row.select(*[F.lit(value).alias(name) for value, name in key], "row_count")
+
+
 def federated_inventory(
     spark: SparkSession, bindings: Sequence[CatalogBinding], with_counts: bool = True
 ) -> DataFrame:
     """Catalog, schema, table, column, type and comment over all bindings.
 
-    The row count of each table is a Spark aggregate over that table; its columns hang on
-    that one-row result, so no join is needed. ``with_counts=False`` reads metadata only.
+    The columns are metadata the driver asks the catalogs for; ``row_count`` is a Spark
+    aggregate over each table. ``with_counts=False`` reads metadata only.
     """
-    parts = []
-    for binding in bindings:
-        if binding.namespace not in namespaces(spark, binding):
-            continue
-        for name in table_names(spark, binding):
-            listed = [
-                (position, c.name, c.dataType, c.description, c.isPartition)
-                for position, c in enumerate(spark.catalog.listColumns(binding.table(name)), start=1)
-            ]
-            if with_counts:
-                one_row = spark.table(binding.table(name)).agg(F.count(F.lit(1)).alias("row_count"))
-            else:
-                one_row = spark.range(1).select(F.lit(None).cast("bigint").alias("row_count"))
-            columns = F.array(*[F.struct(*[F.lit(value) for value in entry]) for entry in listed])
-            parts.append(
-                one_row.select("row_count", F.inline(columns.cast(COLUMN_ROWS))).select(
-                    F.lit(binding.name).alias("catalog_name"),
-                    F.lit(binding.namespace).alias("schema_name"),
-                    F.lit(name).alias("table_name"),
-                    "position",
-                    "column_name",
-                    "data_type",
-                    "comment",
-                    "is_partition",
-                    "row_count",
-                )
-            )
-    if not parts:
-        return spark.createDataFrame(
-            [],
-            "catalog_name string, schema_name string, table_name string, position int, column_name string,"
-            " data_type string, comment string, is_partition boolean, row_count bigint",
-        )
-    return reduce(DataFrame.unionAll, parts)
+    tables = [
+        (binding, table)
+        for binding in bindings
+        if binding.namespace in namespaces(spark, binding)
+        for table in table_names(spark, binding)
+    ]
+    columns = spark.createDataFrame(
+        [
+            (binding.name, binding.namespace, table, *entry)
+            for binding, table in tables
+            for entry in table_columns(spark, binding.table(table))
+        ],
+        COLUMN_ROWS,
+    )
+    if not with_counts or not tables:
+        return columns.withColumn("row_count", F.lit(None).cast("bigint"))
+    counts = reduce(DataFrame.unionAll, [table_count(spark, *table) for table in tables])
+    return columns.join(counts, TABLE_KEY, "left")
