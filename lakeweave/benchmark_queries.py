@@ -200,9 +200,10 @@ def pruned_read(spark, sf_dir):
 def replicate_partitions(spark, sf_dir):
     operational, analytical = bindings(spark)
     _stored_events(spark, sf_dir, operational)
-    for _ in range(2):  # a second run replaces the same partitions
+    # One region after the other; a second run replaces its own partitions only.
+    for region in CHOSEN_REGIONS["region"] + CHOSEN_REGIONS["region"][:1]:
         plans.replicate_partitions(
-            spark, operational, analytical, "raw_events", RAW_EVENTS, CHOSEN_REGIONS, CHOSEN_DAYS
+            spark, operational, analytical, "raw_events", RAW_EVENTS, {"region": [region]}, CHOSEN_DAYS
         )
     return (
         scan_table(spark, analytical, "raw_events")

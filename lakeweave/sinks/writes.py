@@ -6,7 +6,8 @@ readers may see a write halfway. Bind a lakehouse catalog where that matters.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,21 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+@contextmanager
+def partition_overwrite(spark: SparkSession, mode: str) -> Iterator[None]:
+    """Set what an overwrite of a session table replaces: everything, or touched partitions.
+
+    ``insertInto`` does not heed the writer option of this name, only the session setting.
+    """
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, mode)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def append(
     spark: SparkSession,
     binding: CatalogBinding,
@@ -114,7 +130,8 @@ def overwrite(
     if binding.kind == "v2":
         rows.writeTo(name).overwrite(F.lit(True))
     else:
-        rows.write.option("partitionOverwriteMode", "static").insertInto(name, overwrite=True)
+        with partition_overwrite(spark, "static"):
+            rows.write.insertInto(name, overwrite=True)
     return seen.get["rows"]
 
 
@@ -133,7 +150,8 @@ def overwrite_partitions(
     if binding.kind == "v2":
         rows.writeTo(name).overwritePartitions()
     else:
-        rows.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+        with partition_overwrite(spark, "dynamic"):
+            rows.write.insertInto(name, overwrite=True)
     return seen.get["rows"]
 
 
@@ -151,7 +169,7 @@ def overwrite_folder(
     so the full names in ``tables`` are refreshed.
     """
     rows, seen = counted(laid_out(spark, df, sort_within=sort_within))
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
     for name in tables:
         spark.catalog.refreshTable(name)
     return seen.get["rows"]

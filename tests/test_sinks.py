@@ -1,0 +1,259 @@
+"""Writes are read back from disk, and done twice."""
+
+from __future__ import annotations
+
+import sys
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from lakeweave import plans, sinks
+from lakeweave.schemas import CUSTOMERS, PRODUCTS, RAW_EVENTS, SENSOR_READINGS, TableSpec
+from lakeweave.sources import (
+    BindingConflict,
+    CatalogBinding,
+    bind,
+    federated_inventory,
+    file_report,
+    inline_rows,
+    scan_files,
+    scan_partitions,
+    scan_table,
+    write_evidence,
+)
+from lakeweave.sources.tables import partition_predicate
+from tests import seed
+from tests.conftest import rows
+
+
+@pytest.fixture
+def events(spark):
+    return inline_rows(spark, seed.BOTH["raw_events"], RAW_EVENTS)
+
+
+@pytest.fixture
+def products(spark):
+    return inline_rows(spark, seed.BOTH["products"], PRODUCTS)
+
+
+def load(spark, binding, name, df, spec):
+    sinks.create_table(spark, binding, name, spec)
+    return sinks.append(spark, binding, name, df, partition_by=spec.partition_by)
+
+
+def test_append_grows_and_overwrite_replaces(spark, operational, products):
+    assert load(spark, operational, "products", products, PRODUCTS) == 10
+    assert sinks.append(spark, operational, "products", products) == 10
+    table = scan_table(spark, operational, "products")
+    assert table.count() == 20 and table.distinct().count() == 10
+    for _ in range(2):
+        assert sinks.overwrite(spark, operational, "products", products, sort_within=["product_id"]) == 10
+        assert scan_table(spark, operational, "products").count() == 10
+
+
+def test_overwrite_refuses_to_read_its_own_target(spark, operational, products):
+    load(spark, operational, "products", products, PRODUCTS)
+    with pytest.raises(PySparkException):
+        sinks.overwrite(spark, operational, "products", scan_table(spark, operational, "products"))
+    assert scan_table(spark, operational, "products").count() == 10
+
+
+def test_empty_overwrite_empties_the_table(spark, operational, products):
+    load(spark, operational, "products", products, PRODUCTS)
+    assert sinks.overwrite(spark, operational, "products", products.where("product_id < 0")) == 0
+    assert scan_table(spark, operational, "products").count() == 0
+
+
+def test_conform_matches_by_name_or_by_place(spark):
+    df = spark.createDataFrame([(2.0, 7)], "b double, a long")
+    schema = "a int, b double, c string"
+    target = spark.createDataFrame([], schema).schema
+    assert rows(sinks.conform(df, target)) == [(7, 2.0, None)]
+    swapped = spark.createDataFrame([(7, 2.5, 3)], "x long, y double, z long")
+    assert rows(sinks.conform(swapped, target, positional=True)) == [(7, 2.5, "3")]
+    with pytest.raises(ValueError, match="no column x, y, z"):
+        sinks.conform(swapped, target)
+    with pytest.raises(ValueError, match="2 columns"):
+        sinks.conform(df, target, positional=True)
+    too_big = spark.createDataFrame([(2**40,)], "a long")
+    with pytest.raises(PySparkException, match="OVERFLOW"):
+        sinks.conform(too_big, target).collect()
+
+
+def test_target_files(spark, operational):
+    readings = inline_rows(spark, seed.READINGS * 20, SENSOR_READINGS).repartition(8)
+    sinks.create_table(spark, operational, "r", SENSOR_READINGS)
+    sinks.append(spark, operational, "r", readings, target_files=1)
+    assert [f["record_count"] for f in file_report(spark, operational, "r").collect()] == [200]
+
+
+def test_partitions_are_strings_and_prune(spark, operational, events):
+    assert load(spark, operational, "raw_events", events, RAW_EVENTS) == 15
+    by_path = scan_files(spark, operational.location("raw_events"), RAW_EVENTS)
+    assert dict(by_path.dtypes)["event_date"] == "string"
+    assert rows(by_path) == rows(scan_table(spark, operational, "raw_events"))
+    chosen = scan_partitions(by_path, RAW_EVENTS, {"region": ["APAC"]}, {"event_date": ("2024-06-02", "2024-07-12")})
+    assert [row["event_id"] for row in chosen.orderBy("event_id").collect()] == [9004, 9007, 9008, 9010]
+
+
+def test_partition_predicate_takes_partition_columns_only(spark):
+    for arguments in ({}, {"values": {"event_id": ["1"]}}, {"ranges": {"payload": ("a", "b")}}):
+        with pytest.raises(ValueError):
+            partition_predicate(RAW_EVENTS.partition_by, **arguments)
+
+
+def test_dynamic_overwrite_touches_only_its_partitions(spark, operational, events):
+    load(spark, operational, "raw_events", events, RAW_EVENTS)
+    changed = events.where("event_date = '2024-06-01' AND region = 'AMER'").limit(1).withColumn("payload", F.lit("new"))
+    assert (
+        sinks.overwrite_partitions(spark, operational, "raw_events", changed, partition_by=RAW_EVENTS.partition_by) == 1
+    )
+    table = scan_table(spark, operational, "raw_events")
+    assert table.count() == 14
+    assert table.where("payload = 'new'").count() == 1
+    # A static overwrite replaces every partition.
+    assert sinks.overwrite(spark, operational, "raw_events", changed, partition_by=RAW_EVENTS.partition_by) == 1
+    assert scan_table(spark, operational, "raw_events").count() == 1
+
+
+def test_replicate_copies_and_replaces_chosen_partitions(spark, operational, analytical, events):
+    load(spark, operational, "raw_events", events, RAW_EVENTS)
+    copy = lambda **choice: plans.replicate_partitions(
+        spark, operational, analytical, "raw_events", RAW_EVENTS, **choice
+    )
+    assert copy(values={"region": ["APAC"]}) == 6
+    assert copy(values={"region": ["APAC"]}) == 6
+    assert copy(values={"region": ["EMEA"]}) == 3
+    want = [row for row in seed.BOTH["raw_events"] if row[6] != "AMER"]
+    assert {row[0] for row in rows(scan_table(spark, analytical, "raw_events"))} == {row[0] for row in want}
+    assert scan_table(spark, analytical, "raw_events").count() == 9
+
+
+def test_cross_catalog_copy_transforms(spark, operational, analytical, products):
+    load(spark, operational, "products", products, PRODUCTS)
+    for _ in range(2):
+        assert (
+            plans.cross_catalog_copy(
+                spark, operational, "products", analytical, "active", PRODUCTS, lambda df: df.where("is_active")
+            )
+            == 8
+        )
+    assert scan_table(spark, analytical, "active").where("NOT is_active").count() == 0
+
+
+def test_folder_overwrite_refreshes_tables(spark, operational, products):
+    sinks.create_table(spark, operational, "products", PRODUCTS)
+    name = operational.table("products")
+    assert spark.table(name).count() == 0
+    for part, n in (("is_active", 8), ("NOT is_active", 2)):
+        written = sinks.overwrite_folder(
+            spark, operational.location("products"), products.where(part), tables=[name]
+        )
+        assert written == n == spark.table(name).count()
+
+
+def test_comments_and_partition_flags_are_metadata(spark, operational):
+    sinks.create_table(spark, operational, "raw_events", RAW_EVENTS)
+    listed = federated_inventory(spark, [operational]).orderBy("position").collect()
+    assert [row["column_name"] for row in listed] == RAW_EVENTS.names
+    assert [row["comment"] for row in listed] == [f.metadata["comment"] for f in RAW_EVENTS.schema]
+    assert [row["column_name"] for row in listed if row["is_partition"]] == ["event_date", "region"]
+    assert {row["row_count"] for row in listed} == {0}
+    described = spark.catalog.getTable(operational.table("raw_events"))
+    assert described.description == RAW_EVENTS.comment
+
+
+def test_quotes_in_comments(spark, tmp_path):
+    binding = CatalogBinding("q", "t_quotes", str(tmp_path / "q"))
+    sinks.ensure_namespace(spark, binding, "it's \\ here", {"team": "o'brien"})
+    sinks.ensure_namespace(spark, binding)
+    assert spark.catalog.getDatabase("t_quotes").description == "it's \\ here"
+    spec = TableSpec(CUSTOMERS.schema, "it's")
+    sinks.create_table(spark, binding, "c", spec)
+    sinks.create_table(spark, binding, "c", spec)
+    assert spark.catalog.getTable(binding.table("c")).description == "it's"
+
+
+def test_inventory_of_several_bindings(spark, operational, analytical, tmp_path, products):
+    load(spark, operational, "products", products, PRODUCTS)
+    sinks.create_table(spark, analytical, "customers", CUSTOMERS)
+    absent = CatalogBinding("absent", "t_nowhere", str(tmp_path / "nowhere"))
+    spark.range(1).createOrReplaceTempView("a_view")
+    listed = federated_inventory(spark, [operational, analytical, absent])
+    assert {(r["catalog_name"], r["table_name"], r["row_count"]) for r in listed.collect()} == {
+        ("operational", "products", 10),
+        ("analytical", "customers", 0),
+    }
+    only_metadata = federated_inventory(spark, [operational], with_counts=False)
+    assert [r["row_count"] for r in only_metadata.collect()] == [None] * 6
+    assert federated_inventory(spark, [absent]).count() == 0
+
+
+def test_evidence_lists_every_file(spark, operational, events):
+    load(spark, operational, "raw_events", events, RAW_EVENTS)
+    files = write_evidence(spark, operational.root).collect()
+    assert len(files) == file_report(spark, operational, "raw_events").count()
+    assert all(f["size_bytes"] > 0 and f["modified_at"] for f in files)
+    assert sum(f["record_count"] for f in file_report(spark, operational, "raw_events").collect()) == 15
+
+
+def test_reset_drops_owned_tables_and_keeps_files(spark, operational, analytical, products):
+    load(spark, operational, "products", products, PRODUCTS)
+    sinks.register_files(spark, analytical, "borrowed", operational.location("products"))
+    broken = CatalogBinding("broken", "t_no_such_namespace", "/nowhere")
+    targets = [(operational, "products"), (analytical, "borrowed"), (broken, "x")]
+    first = {row["tbl"]: row["outcome"] for row in plans.reset(spark, targets).collect()}
+    assert first["products"] == "dropped" and first["borrowed"] == "not owned"
+    assert first["x"] == "absent" or first["x"].startswith("failed")
+    assert {r["tbl"]: r["outcome"] for r in plans.reset(spark, targets).collect()}["products"] == "absent"
+    assert scan_files(spark, operational.location("products"), PRODUCTS).count() == 10
+    assert scan_table(spark, analytical, "borrowed").count() == 10
+
+
+def test_reset_reports_failures(spark, operational, analytical, products, monkeypatch):
+    load(spark, operational, "products", products, PRODUCTS)
+
+    def refuse(spark, binding, table):
+        if binding is analytical:
+            raise RuntimeError("catalog is away\nsecond line")
+        return sinks.drop_table(spark, binding, table)
+
+    monkeypatch.setattr(sys.modules["lakeweave.plans.reset"], "drop_table", refuse)
+    report = plans.reset(spark, [(analytical, "x"), (operational, "products")]).collect()
+    assert [r["outcome"] for r in report] == ["failed: catalog is away", "dropped"]
+
+
+def test_plugin_bindings(spark):
+    settings = {"type": "rest", "uri": "http://catalog.example/api", "io-impl": "example.FileIO"}
+    binding = CatalogBinding("t_lake", "db", kind="v2", format="iceberg", plugin="example.Catalog", conf=settings)
+    assert bind(spark, binding) is True
+    assert bind(spark, binding) is False
+    assert spark.conf.get("spark.sql.catalog.t_lake") == "example.Catalog"
+    assert spark.conf.get("spark.sql.catalog.t_lake.uri") == "http://catalog.example/api"
+    other = CatalogBinding("t_lake", "db", kind="v2", plugin="example.Catalog", conf={"uri": "http://other"})
+    with pytest.raises(BindingConflict, match="uri"):
+        bind(spark, other)
+    more = CatalogBinding("t_lake", "db", kind="v2", plugin="example.Catalog", conf={**settings, "warehouse": "w"})
+    with pytest.raises(BindingConflict, match="warehouse"):
+        bind(spark, more)
+    assert spark.conf.get("spark.sql.catalog.t_lake.uri") == "http://catalog.example/api"
+    assert binding.table("t") == "`t_lake`.`db`.`t`" and binding.location("t") is None
+
+
+def test_bindings_are_checked():
+    with pytest.raises(ValueError):
+        CatalogBinding("x", "db", kind="odd")
+    with pytest.raises(ValueError):
+        CatalogBinding("x", "db", kind="v2")
+    with pytest.raises(ValueError):
+        CatalogBinding("x", "db")
+    assert CatalogBinding("x", "a`b", "/r/").table("t") == "`spark_catalog`.`a``b`.`t`"
+    assert CatalogBinding("x", "db", "/r/").location("t") == "/r/t"
+
+
+def test_inline_rows_by_name_and_by_place(spark):
+    by_name = inline_rows(spark, [{"sensor_id": 1, "value": 2.0}], SENSOR_READINGS)
+    assert rows(by_name) == [(1, None, None, 2.0, None)]
+    assert by_name.schema.fieldNames() == SENSOR_READINGS.names
+    assert inline_rows(spark, [], SENSOR_READINGS).count() == 0
