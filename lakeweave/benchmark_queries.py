@@ -171,6 +171,13 @@ def labelled_counts(spark, sf_dir):
     return ops.labelled_counts({name: star.read(spark, sf_dir, name) for name in STAR_TABLES + OTHER_TABLES})
 
 
+def positional_append(spark, sf_dir):
+    operational, _ = bindings(spark)
+    unnamed = star.products(spark, sf_dir).toDF("c1", "c2", "c3", "c4", "c5", "c6")
+    plans.load_tables(spark, operational, {"products": unnamed}, {"products": PRODUCTS}, positional=True)
+    return scan_table(spark, operational, "products")
+
+
 def _stored_events(spark, sf_dir, target):
     plans.load_tables(
         spark, target, {"raw_events": star.raw_events(spark, sf_dir)}, {"raw_events": RAW_EVENTS}
@@ -370,8 +377,8 @@ def reset_owned(spark, sf_dir):
 
 
 def orphan_keys(spark, sf_dir):
-    lines, events = star.order_lines(spark, sf_dir), star.raw_events(spark, sf_dir)
-    buyers = star.customers(spark, sf_dir, signup=False).where(F.col("tier") == "BUILDING")
+    lines, events = star.order_lines(spark, sf_dir), star.raw_events(spark, sf_dir, region=False)
+    buyers = star.customers(spark, sf_dir, signup=False, region=False).where(F.col("tier") == "BUILDING")
     offered = star.products(spark, sf_dir).where("is_active")
     return stacked(
         {
@@ -384,12 +391,14 @@ def orphan_keys(spark, sf_dir):
 
 
 def domain_violations(spark, sf_dir):
+    lines, events = star.order_lines(spark, sf_dir), star.raw_events(spark, sf_dir, region=False)
     people = star.customers(spark, sf_dir, signup=False)
-    lines, events = star.order_lines(spark, sf_dir), star.raw_events(spark, sf_dir)
     return stacked(
         {
             "customers.region": ops.domain_violations(people, "region", ["AMERICA", "EUROPE", "ASIA"]),
-            "customers.tier": ops.domain_violations(people, "tier", ["BUILDING", "MACHINERY"]),
+            "customers.tier": ops.domain_violations(
+                star.customers(spark, sf_dir, signup=False, region=False), "tier", ["BUILDING", "MACHINERY"]
+            ),
             "orders.status": ops.domain_violations(lines, "status", ["PENDING", "SHIPPED", "DELIVERED"]),
             "raw_events.event_type": ops.domain_violations(events, "event_type", ["view", "purchase"]),
         },
@@ -399,10 +408,10 @@ def domain_violations(spark, sf_dir):
 
 def duplicate_keys(spark, sf_dir):
     keys = {
-        "customers": (star.customers(spark, sf_dir, signup=False), "customer_id"),
+        "customers": (star.customers(spark, sf_dir, signup=False, region=False), "customer_id"),
         "products": (star.products(spark, sf_dir), "product_id"),
         "orders": (star.order_lines(spark, sf_dir), "order_id"),
-        "raw_events": (star.raw_events(spark, sf_dir), "event_id"),
+        "raw_events": (star.raw_events(spark, sf_dir, region=False), "event_id"),
     }
     return stacked(
         {name: ops.duplicate_keys(df, key).withColumnRenamed(key, "key") for name, (df, key) in keys.items()},
@@ -451,6 +460,7 @@ QUERIES = {
     "rerun_append_growth": rerun_append_growth,
     "load_reconciliation": load_reconciliation,
     "labelled_counts": labelled_counts,
+    "positional_append": positional_append,
     "partitioned_roundtrip": partitioned_roundtrip,
     "pruned_read": pruned_read,
     "replicate_partitions": replicate_partitions,

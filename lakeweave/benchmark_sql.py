@@ -160,6 +160,7 @@ SELECT 2 * (SELECT count(*) FROM readings) AS raw_rows,
         ]
     ),
     "labelled_counts": _counts(ALL_TABLES),
+    "positional_append": f"WITH {PRODUCTS} SELECT * FROM products",
     "partitioned_roundtrip": f"""WITH {EVENTS}
 SELECT event_date, region, count(*) AS events, min(event_id) AS first_event, max(event_id) AS last_event
 FROM raw_events GROUP BY event_date, region""",

@@ -18,6 +18,12 @@ JOB_CONF = {
     "spark.sql.parquet.compression.codec": "snappy",
 }
 
+# For clusters on top of that: read tasks and rebalanced files of a quarter GiB.
+CLUSTER_CONF = JOB_CONF | {
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+}
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_TARGET_BYTES = 200 * 1024 * 1024
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 
 from lakeweave.schemas import TableSpec
-from lakeweave.sources.bindings import CatalogBinding, bind
+from lakeweave.sources.bindings import CatalogBinding, bind, quoted
 
 # Marks the tables this library created; ``reset`` drops no other.
 OWNER_PROPERTY = "lakeweave.owned"
@@ -51,7 +51,7 @@ def create_table(spark: SparkSession, binding: CatalogBinding, table: str, spec:
         properties |= LAKEHOUSE_PROPERTIES
     clauses = [f"CREATE TABLE IF NOT EXISTS {binding.table(table)} ({spec.schema.toDDL()}) USING {binding.format}"]
     if spec.partition_by:
-        clauses.append(f"PARTITIONED BY ({', '.join(spec.partition_by)})")
+        clauses.append(f"PARTITIONED BY ({', '.join(map(quoted, spec.partition_by))})")
     if binding.location(table):
         clauses.append(f"LOCATION {sql_string(binding.location(table))}")
     if spec.comment:

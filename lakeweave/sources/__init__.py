@@ -3,7 +3,7 @@
 from lakeweave.sources.bindings import BindingConflict, CatalogBinding, bind
 from lakeweave.sources.files import file_report, write_evidence
 from lakeweave.sources.inline import inline_rows
-from lakeweave.sources.inventory import federated_inventory
+from lakeweave.sources.inventory import federated_inventory, list_catalogs, namespaces, table_names
 from lakeweave.sources.tables import commit_history, scan_files, scan_partitions, scan_table
 
 __all__ = [
@@ -14,8 +14,11 @@ __all__ = [
     "federated_inventory",
     "file_report",
     "inline_rows",
+    "list_catalogs",
+    "namespaces",
     "scan_files",
     "scan_partitions",
     "scan_table",
+    "table_names",
     "write_evidence",
 ]

@@ -32,6 +32,13 @@ def namespaces(spark: SparkSession, binding: CatalogBinding) -> list[str]:
     return sorted(row[0] for row in spark.sql(f"SHOW NAMESPACES IN {quoted(binding.catalog)}").collect())
 
 
+def list_catalogs(spark: SparkSession, bindings: Sequence[CatalogBinding]) -> list[str]:
+    """Names of the session's catalogs, those of the bindings included."""
+    for binding in bindings:
+        namespaces(spark, binding)
+    return sorted(row[0] for row in spark.sql("SHOW CATALOGS").collect())
+
+
 def table_columns(spark: SparkSession, full_name: str) -> list[tuple]:
     """Position, name, type, comment and partition flag of each column, by one DESCRIBE."""
     described = [tuple(row) for row in spark.sql(f"DESCRIBE TABLE {full_name}").collect()]

@@ -52,16 +52,17 @@ def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customers(spark: SparkSession, sf_dir: str, signup: bool = True) -> DataFrame:
+def customers(spark: SparkSession, sf_dir: str, signup: bool = True, region: bool = True) -> DataFrame:
     """Customers; the day of their first order stands for the signup date.
 
-    ``signup=False`` leaves that column, and the pass over the orders behind it, out.
+    ``signup=False`` leaves that column, and the pass over the orders behind it, out;
+    ``region=False`` does the same with the region and its join.
     """
-    base = customer_regions(spark, sf_dir)
+    base = customer_regions(spark, sf_dir) if region else read(spark, sf_dir, "customer")
     columns = [
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("name"),
-        "region",
+        *(["region"] if region else []),
         F.col("c_mktsegment").alias("tier"),
     ]
     if not signup:
@@ -116,20 +117,25 @@ def order_lines(spark: SparkSession, sf_dir: str, statuses: Collection[str] | No
     return joined if statuses is None else joined.where(F.col("status").isin(list(statuses)))
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_region(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the region of each event's customer; events of unknown customers keep NULL."""
     regions = customer_regions(spark, sf_dir).select("c_custkey", "region")
-    return (
-        read(spark, sf_dir, "events")
-        .join(regions, F.col("user_id") == F.col("c_custkey"), "left")
-        .select(
-            "event_id",
-            F.col("user_id").alias("customer_id"),
-            "event_type",
-            F.lit(None).cast("string").alias("session_id"),
-            F.col("props").alias("payload"),
-            F.col("ts").cast("date").alias("event_date"),
-            "region",
-        )
+    return events.join(regions, F.col("user_id") == F.col("c_custkey"), "left").drop("c_custkey")
+
+
+def raw_events(spark: SparkSession, sf_dir: str, region: bool = True) -> DataFrame:
+    """Events; ``region=False`` leaves the region, and the join behind it, out."""
+    events = read(spark, sf_dir, "events")
+    if region:
+        events = with_region(events, spark, sf_dir)
+    return events.select(
+        "event_id",
+        F.col("user_id").alias("customer_id"),
+        "event_type",
+        F.lit(None).cast("string").alias("session_id"),
+        F.col("props").alias("payload"),
+        F.col("ts").cast("date").alias("event_date"),
+        *(["region"] if region else []),
     )
 
 
@@ -140,26 +146,20 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     join instead of every event, however many events a single customer has.
     """
     activity = (
-        read(spark, sf_dir, "events")
-        .groupBy(F.col("user_id").alias("customer_id"), "event_type")
-        .agg(F.count(F.lit(1)).alias("events"))
+        read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("events"))
     )
-    regions = customer_regions(spark, sf_dir).select("c_custkey", "region")
-    return activity.join(regions, F.col("customer_id") == F.col("c_custkey"), "left").drop("c_custkey")
+    return with_region(activity, spark, sf_dir).withColumnRenamed("user_id", "customer_id")
 
 
 def sensor_readings(spark: SparkSession, sf_dir: str, location: bool = True) -> DataFrame:
     """Events as readings; the customer's region stands for the location."""
     events = read(spark, sf_dir, "events")
-    columns = [
+    if location:
+        events = with_region(events, spark, sf_dir)
+    return events.select(
         F.col("event_id").alias("sensor_id"),
+        *([F.col("region").alias("location")] if location else []),
         F.col("event_type").alias("metric"),
         "value",
         F.col("ts").cast("timestamp").alias("recorded_at"),
-    ]
-    if not location:
-        return events.select(*columns)
-    regions = customer_regions(spark, sf_dir).select("c_custkey", F.col("region").alias("location"))
-    return events.join(regions, F.col("user_id") == F.col("c_custkey"), "left").select(
-        columns[0], "location", *columns[1:]
     )

@@ -64,11 +64,13 @@ def commit_history(spark: SparkSession, binding: CatalogBinding, table: str) ->
     ``load_history`` table that the library's writes append to.
     """
     if binding.format == "iceberg":
-        return (
-            spark.table(f"{binding.table(table)}.snapshots")
-            .select(F.col("snapshot_id").cast("string").alias("run_id"), "operation", "committed_at")
-            .orderBy("committed_at")
+        snapshots = spark.table(f"{binding.table(table)}.snapshots").select(
+            F.col("snapshot_id").cast("string").alias("run_id"),
+            "operation",
+            F.col("summary")["added-records"].cast("bigint").alias("rows_written"),
+            "committed_at",
         )
+        return snapshots.orderBy("committed_at")
     return (
         scan_files(spark, binding.location("load_history"), LOAD_HISTORY)
         .where(F.col("tbl") == table)

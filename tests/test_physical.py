@@ -100,6 +100,42 @@ def test_facts_are_aggregated_before_the_join(spark, sf_dir, capsys):
             assert below.index("HashAggregate") < below.index("SortMergeJoin")
 
 
+# Cluster-sized thresholds scaled down to the fixtures.
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    ADAPTIVE + "autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "16",
+    ADAPTIVE + "skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    ADAPTIVE + "advisoryPartitionSizeInBytes": "20KB",
+    ADAPTIVE + "coalescePartitions.minPartitionSize": "1KB",
+    ADAPTIVE + "skewJoin.skewedPartitionFactor": "2",
+}
+
+
+@pytest.mark.parametrize("hot_user", [7, None])
+def test_hot_customer_is_split_in_the_join(spark, sf_dir, tmp_path, capsys, hot_user):
+    """A third of all events of one customer, or of none: whole in the result, split on the way."""
+    n = 60_000
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 3 == 0, F.lit(hot_user).cast("bigint")).otherwise(F.col("id") % 150).alias("user_id"),
+        F.lit("view").alias("event_type"),
+        F.lit(1.0).alias("value"),
+        F.sha2(F.col("id").cast("string"), 256).alias("props"),
+    )
+    events.repartition(12).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("customer", "nation", "region"):
+        star.read(spark, sf_dir, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    with settings(spark, SMALL_SKEW):
+        located = star.raw_events(spark, str(tmp_path))
+        found = located.toPandas()
+        plan = plan_of(located, capsys, "simple")
+    assert "skew=true" in plan
+    assert len(found) == n and found["event_id"].is_unique
+    assert found["region"].isna().sum() == (0 if hot_user is not None else n // 3)
+
+
 def test_hot_order_is_split_in_the_join(spark, tmp_path, capsys):
     """A third of all lines on one order: adaptive execution divides that partition."""
     n = 60_000
@@ -126,16 +162,7 @@ def test_hot_order_is_split_in_the_join(spark, tmp_path, capsys):
     )
     lines.repartition(12).write.parquet(str(tmp_path / "lineitem.parquet"))
     orders.write.parquet(str(tmp_path / "orders.parquet"))
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        ADAPTIVE + "autoBroadcastJoinThreshold": "-1",
-        "spark.sql.shuffle.partitions": "16",
-        ADAPTIVE + "skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        ADAPTIVE + "advisoryPartitionSizeInBytes": "20KB",
-        ADAPTIVE + "coalescePartitions.minPartitionSize": "1KB",
-        ADAPTIVE + "skewJoin.skewedPartitionFactor": "2",
-    }
-    with settings(spark, conf):
+    with settings(spark, SMALL_SKEW):
         sold = ops.analytics.sales_by(star.order_lines(spark, str(tmp_path)), "customer_id")
         rows = {row["customer_id"]: row["lines"] for row in sold.collect()}
         plan = plan_of(sold, capsys, "simple")

@@ -17,6 +17,8 @@ from lakeweave.sources import (
     federated_inventory,
     file_report,
     inline_rows,
+    list_catalogs,
+    namespaces,
     scan_files,
     scan_partitions,
     scan_table,
@@ -190,6 +192,11 @@ def test_inventory_of_several_bindings(spark, operational, analytical, tmp_path,
     assert federated_inventory(spark, [absent]).count() == 0
 
 
+def test_catalogs_and_namespaces(spark, operational, analytical):
+    assert "spark_catalog" in list_catalogs(spark, [operational])
+    assert {operational.namespace, analytical.namespace} <= set(namespaces(spark, operational))
+
+
 def test_evidence_lists_every_file(spark, operational, events):
     load(spark, operational, "raw_events", events, RAW_EVENTS)
     files = write_evidence(spark, operational.root).collect()
