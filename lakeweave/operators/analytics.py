@@ -11,7 +11,7 @@ Results carry no order; ask for one with ``orderBy`` when they are shown.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The order states each aggregate goes by.
@@ -20,29 +20,25 @@ FULFILLED = ("DELIVERED", "SHIPPED")
 
 
 def collapsed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    return df.groupBy(*keys).agg(F.expr("count(*) AS copies"))
 
 
 def sales_by(orders: DataFrame, key: str) -> DataFrame:
     """Order lines, units and revenue per foreign key; nothing is rounded yet."""
     return orders.groupBy(key).agg(
-        F.count("order_id").alias("lines"),
-        F.sum("quantity").alias("units"),
-        F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"),
-        F.max("order_date").alias("last_date"),
+        F.expr("count(order_id) AS lines"),
+        F.expr("sum(quantity) AS units"),
+        F.expr("sum(quantity * unit_price) AS revenue"),
+        F.expr("max(order_date) AS last_date"),
     )
 
 
-def money(amount: Column) -> Column:
-    return F.round(amount, 2)
-
-
 def regional_summary(customers: DataFrame) -> DataFrame:
     """Customers, first and last signup by region and tier."""
     return customers.groupBy("region", "tier").agg(
-        F.count(F.lit(1)).alias("customer_count"),
-        F.min("signup_date").cast("string").alias("earliest_signup"),
-        F.max("signup_date").cast("string").alias("latest_signup"),
+        F.expr("count(*) AS customer_count"),
+        F.expr("CAST(min(signup_date) AS STRING) AS earliest_signup"),
+        F.expr("CAST(max(signup_date) AS STRING) AS latest_signup"),
     )
 
 
@@ -53,14 +49,16 @@ def product_revenue(orders: DataFrame, products: DataFrame) -> DataFrame:
     name, so two keys with the same name and groups share a row.
     """
     sold = sales_by(orders.where(F.col("status") != CANCELLED), "product_id")
-    named = collapsed(products, "product_id", "name", "category", "sub_category")
+    named = collapsed(
+        products.withColumnRenamed("name", "product_name"), "product_id", "product_name", "category", "sub_category"
+    )
     return (
         sold.join(named, "product_id")
-        .groupBy(F.col("name").alias("product_name"), "category", "sub_category")
+        .groupBy("product_name", "category", "sub_category")
         .agg(
-            F.sum(F.col("lines") * F.col("copies")).alias("order_count"),
-            F.sum(F.col("units") * F.col("copies")).alias("total_units"),
-            money(F.sum(F.col("revenue") * F.col("copies"))).alias("total_revenue"),
+            F.expr("sum(lines * copies) AS order_count"),
+            F.expr("sum(units * copies) AS total_units"),
+            F.expr("round(sum(revenue * copies), 2) AS total_revenue"),
         )
     )
 
@@ -72,15 +70,17 @@ def customer_ltv(customers: DataFrame, orders: DataFrame) -> DataFrame:
     a customer without a fulfilled order stays, with 0 orders, value 0.0 and no last date.
     """
     bought = sales_by(orders.where(F.col("status").isin(*FULFILLED)), "customer_id")
-    known = collapsed(customers, "customer_id", F.col("name").alias("customer_name"), "region", "tier")
-    return known.join(bought, "customer_id", "left").select(
+    known = collapsed(
+        customers.withColumnRenamed("name", "customer_name"), "customer_id", "customer_name", "region", "tier"
+    )
+    return known.join(bought, "customer_id", "left").selectExpr(
         "customer_id",
         "customer_name",
         "region",
         "tier",
-        F.coalesce(F.col("lines") * F.col("copies"), F.lit(0)).cast("bigint").alias("total_orders"),
-        F.coalesce(money(F.col("revenue") * F.col("copies")), F.lit(0.0)).alias("lifetime_value"),
-        F.col("last_date").cast("string").alias("last_order_date"),
+        "coalesce(lines * copies, 0L) AS total_orders",
+        "coalesce(round(revenue * copies, 2), 0.0D) AS lifetime_value",
+        "CAST(last_date AS STRING) AS last_order_date",
     )
 
 

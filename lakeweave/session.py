@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 # What the jobs of this library expect from a session. Skew joins and rebalanced writes are
-# split by adaptive execution, so it has to stay on.
+# split by adaptive execution, so it has to stay on. The call-site capture of PySpark costs
+# several round trips to the JVM for every expression.
 JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -16,26 +17,37 @@ JOB_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "snappy",
-}
-
-# For clusters on top of that: read tasks and rebalanced files of a quarter GiB.
-CLUSTER_CONF = JOB_CONF | {
-    "spark.sql.files.maxPartitionBytes": "256MB",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_TARGET_BYTES = 200 * 1024 * 1024
+# Beyond this the blocks between map and reduce tasks cost more than larger partitions that spill.
+MOST_SHUFFLE_PARTITIONS = 50_000
 
 
 def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
     """Initial shuffle partition count for a job that moves ``shuffled_bytes``.
 
     One partition per 200 MiB, at least two per core; adaptive execution merges what turns
-    out to be small, but it cannot split an ordinary partition that is too big.
+    out to be small, but it cannot split the ordinary partition of an aggregate.
     """
     by_size = -(-shuffled_bytes // SHUFFLE_TARGET_BYTES)
-    return max(by_size, 2 * cores)
+    return max(min(by_size, MOST_SHUFFLE_PARTITIONS), 2 * cores)
+
+
+def cluster_conf(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Session settings for a cluster of ``cores`` whose largest shuffle moves ``shuffled_bytes``.
+
+    Scans are cut into tasks of a quarter GiB, merged shuffle partitions and rebalanced
+    files aim at the same size.
+    """
+    return JOB_CONF | {
+        "spark.sql.shuffle.partitions": str(shuffle_partitions(shuffled_bytes, cores)),
+        "spark.sql.files.maxPartitionBytes": "256MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
 
 
 def local_session(cores: int | str, app: str = "lakeweave", conf: dict[str, str] | None = None) -> SparkSession:

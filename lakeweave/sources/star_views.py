@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Column types of the benchmark files the views read.
@@ -43,12 +43,12 @@ def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     files are, and would shuffle them if they were not.
     """
     regions = read(spark, sf_dir, "nation").join(
-        read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
+        read(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"), "left"
     )
     return (
         read(spark, sf_dir, "customer")
-        .join(regions, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .select("c_custkey", "c_name", "c_mktsegment", F.col("r_name").alias("region"))
+        .join(regions, F.expr("c_nationkey = n_nationkey"), "left")
+        .selectExpr("c_custkey", "c_name", "c_mktsegment", "r_name AS region")
     )
 
 
@@ -58,39 +58,38 @@ def customers(spark: SparkSession, sf_dir: str, signup: bool = True, region: boo
     ``signup=False`` leaves that column, and the pass over the orders behind it, out;
     ``region=False`` does the same with the region and its join.
     """
-    base = customer_regions(spark, sf_dir) if region else read(spark, sf_dir, "customer")
-    columns = [
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("name"),
+    df = customer_regions(spark, sf_dir) if region else read(spark, sf_dir, "customer")
+    if signup:
+        first_orders = (
+            read(spark, sf_dir, "orders")
+            .groupBy("o_custkey")
+            .agg(F.expr("CAST(min(o_orderdate) AS DATE) AS signup_date"))
+        )
+        df = df.join(first_orders, F.expr("c_custkey = o_custkey"), "left")
+    return df.selectExpr(
+        "c_custkey AS customer_id",
+        "c_name AS name",
         *(["region"] if region else []),
-        F.col("c_mktsegment").alias("tier"),
-    ]
-    if not signup:
-        return base.select(*columns)
-    first_orders = (
-        read(spark, sf_dir, "orders")
-        .groupBy("o_custkey")
-        .agg(F.min("o_orderdate").cast("date").alias("signup_date"))
+        "c_mktsegment AS tier",
+        *(["signup_date"] if signup else []),
     )
-    return base.join(first_orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(*columns, "signup_date")
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("sub_category"),
-        F.col("p_retailprice").alias("list_price"),
-        (F.col("p_size") % 2 == 1).alias("is_active"),
+    """Parts as products; an odd size stands for a product on sale."""
+    return read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "p_name AS name",
+        "p_type AS category",
+        "p_brand AS sub_category",
+        "p_retailprice AS list_price",
+        "p_size % 2 = 1 AS is_active",
     )
 
 
-def line_status() -> Column:
-    status = F.when(F.col("l_returnflag") == "R", RETURNED_STATUS)
-    for state, name in STATUS_OF_STATE.items():
-        status = status.when(F.col("o_orderstatus") == state, name)
-    return status
+def line_status() -> str:
+    states = " ".join(f"WHEN o_orderstatus = '{state}' THEN '{name}'" for state, name in STATUS_OF_STATE.items())
+    return f"CASE WHEN l_returnflag = 'R' THEN '{RETURNED_STATUS}' {states} END"
 
 
 def order_lines(spark: SparkSession, sf_dir: str, statuses: Collection[str] | None = None) -> DataFrame:
@@ -103,16 +102,16 @@ def order_lines(spark: SparkSession, sf_dir: str, statuses: Collection[str] | No
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     if statuses is not None and RETURNED_STATUS not in statuses:
         states = [state for state, name in STATUS_OF_STATE.items() if name in statuses]
-        lines = lines.where(F.col("l_returnflag").isNull() | (F.col("l_returnflag") != "R"))
+        lines = lines.where("l_returnflag IS NULL OR l_returnflag <> 'R'")
         orders = orders.where(F.col("o_orderstatus").isin(states))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        line_status().alias("status"),
+    joined = lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "l_partkey AS product_id",
+        "CAST(l_quantity AS INT) AS quantity",
+        "l_extendedprice / l_quantity AS unit_price",
+        "CAST(o_orderdate AS DATE) AS order_date",
+        f"{line_status()} AS status",
     )
     return joined if statuses is None else joined.where(F.col("status").isin(list(statuses)))
 
@@ -120,7 +119,7 @@ def order_lines(spark: SparkSession, sf_dir: str, statuses: Collection[str] | No
 def with_region(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add the region of each event's customer; events of unknown customers keep NULL."""
     regions = customer_regions(spark, sf_dir).select("c_custkey", "region")
-    return events.join(regions, F.col("user_id") == F.col("c_custkey"), "left").drop("c_custkey")
+    return events.join(regions, F.expr("user_id = c_custkey"), "left").drop("c_custkey")
 
 
 def raw_events(spark: SparkSession, sf_dir: str, region: bool = True) -> DataFrame:
@@ -128,13 +127,13 @@ def raw_events(spark: SparkSession, sf_dir: str, region: bool = True) -> DataFra
     events = read(spark, sf_dir, "events")
     if region:
         events = with_region(events, spark, sf_dir)
-    return events.select(
+    return events.selectExpr(
         "event_id",
-        F.col("user_id").alias("customer_id"),
+        "user_id AS customer_id",
         "event_type",
-        F.lit(None).cast("string").alias("session_id"),
-        F.col("props").alias("payload"),
-        F.col("ts").cast("date").alias("event_date"),
+        "CAST(NULL AS STRING) AS session_id",
+        "props AS payload",
+        "CAST(ts AS DATE) AS event_date",
         *(["region"] if region else []),
     )
 
@@ -145,9 +144,7 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     Counting before the region is looked up sends one row per customer and type into the
     join instead of every event, however many events a single customer has.
     """
-    activity = (
-        read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("events"))
-    )
+    activity = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.expr("count(*) AS events"))
     return with_region(activity, spark, sf_dir).withColumnRenamed("user_id", "customer_id")
 
 
@@ -156,10 +153,10 @@ def sensor_readings(spark: SparkSession, sf_dir: str, location: bool = True) ->
     events = read(spark, sf_dir, "events")
     if location:
         events = with_region(events, spark, sf_dir)
-    return events.select(
-        F.col("event_id").alias("sensor_id"),
-        *([F.col("region").alias("location")] if location else []),
-        F.col("event_type").alias("metric"),
+    return events.selectExpr(
+        "event_id AS sensor_id",
+        *(["region AS location"] if location else []),
+        "event_type AS metric",
         "value",
-        F.col("ts").cast("timestamp").alias("recorded_at"),
+        "CAST(ts AS TIMESTAMP) AS recorded_at",
     )

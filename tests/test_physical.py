@@ -13,7 +13,7 @@ from lakeweave import operators as ops
 from lakeweave import sinks
 from lakeweave.functions import typed_dates
 from lakeweave.schemas import ORDERS, PRODUCTS, RAW_EVENTS
-from lakeweave.session import CHECKPOINT_DIR, shuffle_partitions, workspace
+from lakeweave.session import CHECKPOINT_DIR, cluster_conf, shuffle_partitions, workspace
 from lakeweave.sinks.writes import laid_out
 from lakeweave.sources import file_report, scan_partitions, scan_table
 from lakeweave.sources import star_views as star
@@ -247,6 +247,10 @@ def test_workspace_needs_a_shared_folder_on_a_cluster():
     assert workspace(Session)
 
 
-def test_shuffle_partitions():
+def test_cluster_settings():
     assert shuffle_partitions(0, 8) == 16
-    assert shuffle_partitions(100 * 2**40, 4000) == 524_288
+    assert shuffle_partitions(2 * 2**40, 4000) == 10_486
+    assert shuffle_partitions(100 * 2**40, 4000) == 50_000
+    conf = cluster_conf(2 * 2**40, 4000)
+    assert conf["spark.sql.shuffle.partitions"] == "10486"
+    assert conf["spark.sql.adaptive.enabled"] == "true"
