@@ -142,7 +142,7 @@ def _ingest_twice(spark, sf_dir, target):
 def dedup_and_rank(spark, sf_dir):
     operational, analytical = bindings(spark)
     _ingest_twice(spark, sf_dir, operational)
-    plans.dedup_and_rank(spark, operational, analytical, spec=RANKED)
+    plans.dedup_and_rank(spark, operational, analytical, spec=RANKED, sort_within=["sensor_id"])
     return with_time_text(scan_table(spark, analytical, "sensor_readings_ac"))
 
 
@@ -296,13 +296,17 @@ def cross_catalog_copy(spark, sf_dir):
 
 
 def filter_ne_in(spark, sf_dir):
-    lines = star.order_lines(spark, sf_dir)
+    lines = star.order_line_counts(spark, sf_dir, "l_returnflag", "l_quantity").selectExpr(
+        f"{star.line_status()} AS status", "lines", "CAST(l_quantity AS INT) AS quantity"
+    )
     wanted = {
         "not cancelled": lines.where(F.col("status") != "CANCELLED"),
         "fulfilled": lines.where(F.col("status").isin("DELIVERED", "SHIPPED")),
     }
     counted = {
-        label: df.groupBy("status").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"))
+        label: df.groupBy("status").agg(
+            F.expr("sum(lines) AS lines"), F.expr("sum(lines * quantity) AS units")
+        )
         for label, df in wanted.items()
     }
     return stacked(counted, "selection")
@@ -377,13 +381,15 @@ def reset_owned(spark, sf_dir):
 
 
 def orphan_keys(spark, sf_dir):
-    lines, events = star.order_lines(spark, sf_dir), star.raw_events(spark, sf_dir, region=False)
-    buyers = star.customers(spark, sf_dir, signup=False, region=False).where(F.col("tier") == "BUILDING")
+    buying = star.order_line_counts(spark, sf_dir)
+    bought = star.order_line_counts(spark, sf_dir, "l_partkey")
+    events = star.raw_events(spark, sf_dir, region=False)
+    buyers = star.customers(spark, sf_dir, signup=False, region=False).where("tier = 'BUILDING'")
     offered = star.products(spark, sf_dir).where("is_active")
     return stacked(
         {
-            "orders.customer_id": ops.orphan_keys(lines, "customer_id", buyers, "customer_id"),
-            "orders.product_id": ops.orphan_keys(lines, "product_id", offered, "product_id"),
+            "orders.customer_id": ops.orphan_keys(buying, "o_custkey", buyers, "customer_id", weight="lines"),
+            "orders.product_id": ops.orphan_keys(bought, "l_partkey", offered, "product_id", weight="lines"),
             "raw_events.customer_id": ops.orphan_keys(events, "customer_id", buyers, "customer_id"),
         },
         "reference",
@@ -391,15 +397,16 @@ def orphan_keys(spark, sf_dir):
 
 
 def domain_violations(spark, sf_dir):
-    lines, events = star.order_lines(spark, sf_dir), star.raw_events(spark, sf_dir, region=False)
-    people = star.customers(spark, sf_dir, signup=False)
+    regions = star.customers(spark, sf_dir, signup=False)
+    tiers = star.customers(spark, sf_dir, signup=False, region=False)
+    lines = star.order_line_counts(spark, sf_dir, "l_returnflag").selectExpr(f"{star.line_status()} AS status", "lines")
+    events = star.raw_events(spark, sf_dir, region=False)
+    known_statuses = ["PENDING", "SHIPPED", "DELIVERED"]
     return stacked(
         {
-            "customers.region": ops.domain_violations(people, "region", ["AMERICA", "EUROPE", "ASIA"]),
-            "customers.tier": ops.domain_violations(
-                star.customers(spark, sf_dir, signup=False, region=False), "tier", ["BUILDING", "MACHINERY"]
-            ),
-            "orders.status": ops.domain_violations(lines, "status", ["PENDING", "SHIPPED", "DELIVERED"]),
+            "customers.region": ops.domain_violations(regions, "region", ["AMERICA", "EUROPE", "ASIA"]),
+            "customers.tier": ops.domain_violations(tiers, "tier", ["BUILDING", "MACHINERY"]),
+            "orders.status": ops.domain_violations(lines, "status", known_statuses, weight="lines"),
             "raw_events.event_type": ops.domain_violations(events, "event_type", ["view", "purchase"]),
         },
         "domain",
@@ -407,28 +414,28 @@ def domain_violations(spark, sf_dir):
 
 
 def duplicate_keys(spark, sf_dir):
-    keys = {
-        "customers": (star.customers(spark, sf_dir, signup=False, region=False), "customer_id"),
-        "products": (star.products(spark, sf_dir), "product_id"),
-        "orders": (star.order_lines(spark, sf_dir), "order_id"),
-        "raw_events": (star.raw_events(spark, sf_dir, region=False), "event_id"),
+    customers = star.customers(spark, sf_dir, signup=False, region=False)
+    events = star.raw_events(spark, sf_dir, region=False)
+    found = {
+        "customers": ops.duplicate_keys(customers, "customer_id"),
+        "products": ops.duplicate_keys(star.products(spark, sf_dir), "product_id"),
+        "orders": ops.duplicate_keys(star.order_line_counts(spark, sf_dir), "o_orderkey", weight="lines"),
+        "raw_events": ops.duplicate_keys(events, "event_id"),
     }
-    return stacked(
-        {name: ops.duplicate_keys(df, key).withColumnRenamed(key, "key") for name, (df, key) in keys.items()},
-        "tbl",
-    )
+    return stacked({name: df.toDF("key", "rows") for name, df in found.items()}, "tbl")
 
 
 def bad_dates(spark, sf_dir):
     orders = star.read(spark, sf_dir, "orders")
-    lines = star.order_lines(spark, sf_dir).withColumn("order_date", F.col("order_date").cast("string"))
+    lines = star.order_line_counts(spark, sf_dir).selectExpr(
+        "CAST(CAST(o_orderdate AS DATE) AS STRING) AS order_date", "lines"
+    )
+    times = orders.selectExpr("CAST(o_orderdate AS STRING) AS o_orderdate")
     return stacked(
         {
-            "order_date": ops.bad_dates(lines, "order_date"),
+            "order_date": ops.bad_dates(lines, "order_date", weight="lines"),
             "o_orderpriority": ops.bad_dates(orders, "o_orderpriority"),
-            "o_orderdate": ops.bad_dates(
-                orders.select(F.col("o_orderdate").cast("string").alias("o_orderdate")), "o_orderdate"
-            ),
+            "o_orderdate": ops.bad_dates(times, "o_orderdate"),
         },
         "column_name",
     )

@@ -47,14 +47,15 @@ def publish(
 ) -> dict[str, int]:
     """Replace the rows of each result table and return how many were written.
 
-    Session tables are written as folders and refreshed, plugin catalogs through the
-    catalog.
+    Tables of the session catalog are written as folders and refreshed. Partitioned tables
+    and those of plugin catalogs are written through the catalog.
     """
     written = {}
     for name, result in results.items():
-        rows = conform(result, specs[name].schema)
-        if target.kind == "v2":
-            written[name] = overwrite(spark, target, name, rows)
+        spec = specs[name]
+        rows = conform(result, spec.schema)
+        if target.kind == "v2" or spec.partition_by:
+            written[name] = overwrite(spark, target, name, rows, partition_by=spec.partition_by)
         else:
             written[name] = overwrite_folder(spark, target.location(name), rows, tables=[target.table(name)])
         record_load(spark, target, name, "overwrite", written[name])

@@ -22,8 +22,12 @@ def cross_catalog_copy(
     target_table: str,
     spec: TableSpec,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
+    sort_within: Sequence[str] = (),
 ) -> int:
-    """Overwrite a table of one catalog with (a transform of) a table of another."""
+    """Overwrite a table of one catalog with (a transform of) a table of another.
+
+    ``sort_within`` orders the rows of each file.
+    """
     ensure_namespace(spark, target)
     create_table(spark, target, target_table, spec)
     rows = overwrite(
@@ -32,6 +36,7 @@ def cross_catalog_copy(
         target_table,
         transform(scan_table(spark, source, source_table)),
         partition_by=spec.partition_by,
+        sort_within=sort_within,
     )
     record_load(spark, target, target_table, "overwrite", rows)
     return rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,7 @@ def dedup_and_rank(
     source_table: str = "sensor_readings",
     target_table: str = "sensor_readings_ac",
     spec: TableSpec = RANKED_READINGS,
+    sort_within: Sequence[str] = (),
 ) -> DedupReport:
     """Overwrite the target with the distinct source rows and their band.
 
@@ -55,6 +57,13 @@ def dedup_and_rank(
     count comes from the source's file footers.
     """
     written = cross_catalog_copy(
-        spark, source, source_table, target, target_table, spec, lambda df: rank_readings(distinct_rows(df))
+        spark,
+        source,
+        source_table,
+        target,
+        target_table,
+        spec,
+        lambda df: rank_readings(distinct_rows(df)),
+        sort_within,
     )
     return DedupReport(scan_table(spark, source, source_table).count(), written)

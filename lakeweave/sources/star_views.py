@@ -116,6 +116,17 @@ def order_lines(spark: SparkSession, sf_dir: str, statuses: Collection[str] | No
     return joined if statuses is None else joined.where(F.col("status").isin(list(statuses)))
 
 
+def order_line_counts(spark: SparkSession, sf_dir: str, *line_columns: str) -> DataFrame:
+    """Order lines counted by order and the given ``lineitem`` columns, joined to their order.
+
+    For questions that need no single line. Counting ahead of the join costs no further
+    shuffle, it partitions by the join key, and an order with very many lines comes down
+    to few rows.
+    """
+    counted = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", *line_columns).agg(F.expr("count(*) AS lines"))
+    return counted.join(read(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+
+
 def with_region(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add the region of each event's customer; events of unknown customers keep NULL."""
     regions = customer_regions(spark, sf_dir).select("c_custkey", "region")

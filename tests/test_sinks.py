@@ -144,6 +144,25 @@ def test_cross_catalog_copy_transforms(spark, operational, analytical, products)
     assert scan_table(spark, analytical, "active").where("NOT is_active").count() == 0
 
 
+def test_partitioned_results_are_published_through_the_catalog(spark, analytical, events):
+    specs = {"raw_events": RAW_EVENTS}
+    plans.register(spark, analytical, specs)
+    for part, n in (("region = 'AMER'", 6), ("region <> 'AMER'", 9)):
+        written = plans.publish(spark, analytical, {"raw_events": events.where(part)}, specs)
+        assert written == {"raw_events": n}
+        assert plans.verify(spark, analytical, written).first()["verified"]
+        assert scan_table(spark, analytical, "raw_events").where(f"NOT ({part})").count() == 0
+
+
+def test_rows_are_sorted_within_files(spark, operational, analytical):
+    readings = inline_rows(spark, seed.READINGS[::-1], SENSOR_READINGS)
+    plans.ingest_readings(spark, operational, readings)
+    plans.dedup_and_rank(spark, operational, analytical, sort_within=["sensor_id"])
+    for file in file_report(spark, analytical, "sensor_readings_ac").collect():
+        stored = [row["sensor_id"] for row in spark.read.parquet(file["file_path"]).collect()]
+        assert stored == sorted(stored)
+
+
 def test_folder_overwrite_refreshes_tables(spark, operational, products):
     sinks.create_table(spark, operational, "products", PRODUCTS)
     name = operational.table("products")
