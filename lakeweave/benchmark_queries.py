@@ -296,17 +296,15 @@ def cross_catalog_copy(spark, sf_dir):
 
 
 def filter_ne_in(spark, sf_dir):
-    lines = star.order_line_counts(spark, sf_dir, "l_returnflag", "l_quantity").selectExpr(
-        f"{star.line_status()} AS status", "lines", "CAST(l_quantity AS INT) AS quantity"
+    lines = star.order_line_counts(spark, sf_dir, "l_returnflag").selectExpr(
+        f"{star.line_status()} AS status", "lines", "units"
     )
     wanted = {
         "not cancelled": lines.where(F.col("status") != "CANCELLED"),
         "fulfilled": lines.where(F.col("status").isin("DELIVERED", "SHIPPED")),
     }
     counted = {
-        label: df.groupBy("status").agg(
-            F.expr("sum(lines) AS lines"), F.expr("sum(lines * quantity) AS units")
-        )
+        label: df.groupBy("status").agg(F.expr("sum(lines) AS lines"), F.expr("sum(units) AS units"))
         for label, df in wanted.items()
     }
     return stacked(counted, "selection")
