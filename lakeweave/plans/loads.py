@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeweave.operators.counts import labelled_counts
 from lakeweave.schemas import OPERATIONAL, TableSpec
 from lakeweave.sinks.ddl import create_table, ensure_namespace
-from lakeweave.sinks.history import record_load
+from lakeweave.sinks.history import Load, record_loads
 from lakeweave.sinks.writes import append
 from lakeweave.sources.bindings import CatalogBinding
 from lakeweave.sources.tables import scan_table
@@ -30,13 +30,16 @@ def append_batches(
     specs: Mapping[str, TableSpec],
     positional: bool,
 ) -> dict[str, int]:
-    added = {}
-    for name, batch in batches.items():
-        added[name] = append(
-            spark, target, name, batch, positional=positional, partition_by=specs[name].partition_by
-        )
-        record_load(spark, target, name, "append", added[name])
-    return added
+    done: list[Load] = []
+    try:
+        for name, batch in batches.items():
+            rows = append(
+                spark, target, name, batch, positional=positional, partition_by=specs[name].partition_by
+            )
+            done.append(Load(name, "append", rows))
+    finally:  # a failing table must not hide the ones before it
+        record_loads(spark, target, done)
+    return {load.table: load.rows for load in done}
 
 
 def counts_of(spark: SparkSession, target: CatalogBinding, names: Mapping[str, object]) -> DataFrame:

@@ -10,7 +10,7 @@ from lakeweave.operators.analytics import customer_ltv, event_funnel, product_re
 from lakeweave.operators.counts import labelled_counts
 from lakeweave.schemas import ANALYTICAL, TableSpec
 from lakeweave.sinks.ddl import create_table, ensure_namespace
-from lakeweave.sinks.history import record_load
+from lakeweave.sinks.history import Load, record_loads
 from lakeweave.sinks.writes import conform, overwrite, overwrite_folder
 from lakeweave.sources.bindings import CatalogBinding
 from lakeweave.sources.tables import scan_table
@@ -39,6 +39,15 @@ def compute_aggregates(
     }
 
 
+def write_result(
+    spark: SparkSession, target: CatalogBinding, table: str, result: DataFrame, spec: TableSpec
+) -> int:
+    rows = conform(result, spec.schema)
+    if target.kind == "v2" or spec.partition_by:
+        return overwrite(spark, target, table, rows, partition_by=spec.partition_by)
+    return overwrite_folder(spark, target.location(table), rows, tables=[target.table(table)])
+
+
 def publish(
     spark: SparkSession,
     target: CatalogBinding,
@@ -50,16 +59,13 @@ def publish(
     Tables of the session catalog are written as folders and refreshed. Partitioned tables
     and those of plugin catalogs are written through the catalog.
     """
-    written = {}
-    for name, result in results.items():
-        spec = specs[name]
-        rows = conform(result, spec.schema)
-        if target.kind == "v2" or spec.partition_by:
-            written[name] = overwrite(spark, target, name, rows, partition_by=spec.partition_by)
-        else:
-            written[name] = overwrite_folder(spark, target.location(name), rows, tables=[target.table(name)])
-        record_load(spark, target, name, "overwrite", written[name])
-    return written
+    done: list[Load] = []
+    try:
+        for name, result in results.items():
+            done.append(Load(name, "overwrite", write_result(spark, target, name, result, specs[name])))
+    finally:  # a failing table must not hide the ones before it
+        record_loads(spark, target, done)
+    return {load.table: load.rows for load in done}
 
 
 def verify(spark: SparkSession, target: CatalogBinding, written: Mapping[str, int]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeweave.schemas import TableSpec
 from lakeweave.sinks.ddl import create_table, ensure_namespace
-from lakeweave.sinks.history import record_load
+from lakeweave.sinks.history import Load, record_loads
 from lakeweave.sinks.writes import overwrite, overwrite_partitions
 from lakeweave.sources.bindings import CatalogBinding
 from lakeweave.sources.tables import scan_partitions, scan_table
@@ -38,7 +38,7 @@ def cross_catalog_copy(
         partition_by=spec.partition_by,
         sort_within=sort_within,
     )
-    record_load(spark, target, target_table, "overwrite", rows)
+    record_loads(spark, target, [Load(target_table, "overwrite", rows)])
     return rows
 
 
@@ -61,5 +61,5 @@ def replicate_partitions(
     create_table(spark, target, table, spec)
     chosen = scan_partitions(scan_table(spark, source, table), spec, values, ranges)
     rows = overwrite_partitions(spark, target, table, chosen)
-    record_load(spark, target, table, "overwrite", rows)
+    record_loads(spark, target, [Load(table, "overwrite", rows)])
     return rows

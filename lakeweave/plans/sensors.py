@@ -11,7 +11,7 @@ from lakeweave.operators.readings import distinct_rows, rank_readings
 from lakeweave.plans.replicate import cross_catalog_copy
 from lakeweave.schemas import RANKED_READINGS, SENSOR_READINGS, TableSpec
 from lakeweave.sinks.ddl import create_table, ensure_namespace
-from lakeweave.sinks.history import record_load
+from lakeweave.sinks.history import Load, record_loads
 from lakeweave.sinks.writes import append
 from lakeweave.sources.bindings import CatalogBinding
 from lakeweave.sources.tables import scan_table
@@ -38,7 +38,7 @@ def ingest_readings(
     ensure_namespace(spark, target)
     create_table(spark, target, table, spec)
     rows = append(spark, target, table, readings, target_files=target_files)
-    record_load(spark, target, table, "append", rows)
+    record_loads(spark, target, [Load(table, "append", rows)])
     return scan_table(spark, target, table)
 
 

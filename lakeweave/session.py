@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 # What the jobs of this library expect from a session. Skew joins and rebalanced writes are
-# split by adaptive execution, so it has to stay on. The call-site capture of PySpark costs
+# split by adaptive execution, so it has to stay on; ANSI mode makes a value that does not fit
+# its column an error. The call-site capture of PySpark costs
 # several round trips to the JVM for every expression.
 JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.python.sql.dataFrameDebugging.enabled": "false",

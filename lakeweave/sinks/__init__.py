@@ -1,10 +1,11 @@
 """Where rows go: namespaces, tables, folders and the record of writes."""
 
 from lakeweave.sinks.ddl import OWNER_PROPERTY, create_table, drop_table, ensure_namespace, is_owned, register_files
-from lakeweave.sinks.history import record_load
+from lakeweave.sinks.history import Load, record_loads
 from lakeweave.sinks.writes import append, conform, overwrite, overwrite_folder, overwrite_partitions
 
 __all__ = [
+    "Load",
     "OWNER_PROPERTY",
     "append",
     "conform",
@@ -15,6 +16,6 @@ __all__ = [
     "overwrite",
     "overwrite_folder",
     "overwrite_partitions",
-    "record_load",
+    "record_loads",
     "register_files",
 ]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lakeweave.schemas import LOAD_HISTORY
 from lakeweave.sinks.ddl import create_table
@@ -15,16 +17,25 @@ from lakeweave.sources.bindings import CatalogBinding
 HISTORY_TABLE = "load_history"
 
 
-def record_load(spark: SparkSession, binding: CatalogBinding, table: str, operation: str, rows: int) -> None:
-    """Note a finished write. The record helps to audit; it is no snapshot to go back to."""
-    if binding.format == "iceberg":
-        return  # the table format keeps its own snapshots
+@dataclass(frozen=True)
+class Load:
+    """One finished write."""
+
+    table: str
+    operation: str
+    rows: int
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    committed_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+
+
+def record_loads(spark: SparkSession, binding: CatalogBinding, loads: Sequence[Load]) -> None:
+    """Note finished writes, all in one file.
+
+    The record helps to audit; it is no snapshot to go back to. A lakehouse table keeps its
+    own snapshots and needs none.
+    """
+    if not loads or binding.format == "iceberg":
+        return
     create_table(spark, binding, HISTORY_TABLE, LOAD_HISTORY)
-    entry = spark.range(0, 1, numPartitions=1).select(
-        F.lit(uuid.uuid4().hex).alias("run_id"),
-        F.lit(table).alias("tbl"),
-        F.lit(operation).alias("operation"),
-        F.lit(rows).cast("bigint").alias("rows_written"),
-        F.current_timestamp().alias("committed_at"),
-    )
-    append(spark, binding, HISTORY_TABLE, entry)
+    entries = [(load.run_id, load.table, load.operation, load.rows, load.committed_at) for load in loads]
+    append(spark, binding, HISTORY_TABLE, spark.createDataFrame(entries, LOAD_HISTORY.schema).coalesce(1))

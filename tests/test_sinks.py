@@ -14,6 +14,7 @@ from lakeweave.sources import (
     BindingConflict,
     CatalogBinding,
     bind,
+    commit_history,
     federated_inventory,
     file_report,
     inline_rows,
@@ -54,6 +55,16 @@ def test_append_grows_and_overwrite_replaces(spark, operational, products):
         assert scan_table(spark, operational, "products").count() == 10
 
 
+def test_a_failing_load_leaves_a_record_of_the_ones_before(spark, operational, products):
+    bad = products.selectExpr("product_id AS stranger")
+    batches = {"products": products, "customers": bad}
+    specs = {"products": PRODUCTS, "customers": CUSTOMERS}
+    with pytest.raises(ValueError, match="stranger"):
+        plans.load_tables(spark, operational, batches, specs)
+    assert [h["rows_written"] for h in commit_history(spark, operational, "products").collect()] == [10]
+    assert commit_history(spark, operational, "customers").count() == 0
+
+
 def test_overwrite_refuses_to_read_its_own_target(spark, operational, products):
     load(spark, operational, "products", products, PRODUCTS)
     with pytest.raises(PySparkException):
