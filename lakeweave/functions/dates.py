@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ISO_PATTERN = "yyyy-MM-dd"
+# A plain cast to DATE also takes blanks, single digits and a time of day.
+ISO_FORM = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
 def iso_date(column: str | Column) -> Column:
     """DATE value of an ISO string, NULL when the text is not exactly ``yyyy-MM-dd``."""
     text = F.col(column) if isinstance(column, str) else column
-    parsed = F.try_to_date(text, ISO_PATTERN)
-    return F.when(parsed.cast("string") == text, parsed)
+    return F.when(text.rlike(ISO_FORM), text.try_cast("date"))
 
 
 def is_bad_date(column: str | Column) -> Column:
@@ -28,11 +28,9 @@ def typed_dates(df: DataFrame, *columns: str) -> DataFrame:
     not. Text order and date order agree on ISO dates only, so a malformed value is an
     error here rather than a quietly different answer.
     """
-    typed = {
-        name: F.when(
-            is_bad_date(name),
-            F.raise_error(F.concat(F.lit(f"{name} is not an ISO date: "), F.col(name))).cast("date"),
-        ).otherwise(iso_date(name))
-        for name in columns
-    }
+    typed = {}
+    for name in columns:
+        text, parsed = F.col(name), iso_date(name)
+        complaint = F.raise_error(F.concat(F.lit(f"{name} is not an ISO date: "), text)).cast("date")
+        typed[name] = F.coalesce(parsed, F.when(text.isNotNull(), complaint))
     return df.withColumns(typed)

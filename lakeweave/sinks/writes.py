@@ -31,12 +31,11 @@ def conform(df: DataFrame, schema: T.StructType, positional: bool = False) -> Da
     if unknown:
         raise ValueError(f"the table has no column {', '.join(unknown)}")
     present = set(df.columns)
-    return df.selectExpr(
-        *[
-            f"CAST({quoted(f.name) if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {quoted(f.name)}"
-            for f in schema.fields
-        ]
-    )
+    casts = []
+    for f in schema.fields:
+        value = quoted(f.name) if f.name in present else "NULL"
+        casts.append(f"CAST({value} AS {f.dataType.simpleString()}) AS {quoted(f.name)}")
+    return df.selectExpr(*casts)
 
 
 def laid_out(

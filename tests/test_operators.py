@@ -118,7 +118,13 @@ def test_aggregates_against_plain_python(spark, seed):
     """Random rows with repeated customers and products, and a key holding a third of the orders."""
     rng = random.Random(seed)
     people = [
-        (rng.choice([None, 1, 2, 3, 4, 5]), rng.choice("xy"), rng.choice(["AMER", None]), rng.choice("PQ"), "2024-01-01")
+        (
+            rng.choice([None, 1, 2, 3, 4, 5]),
+            rng.choice("xy"),
+            rng.choice(["AMER", None]),
+            rng.choice("PQ"),
+            "2024-01-01",
+        )
         for _ in range(25)
     ]
     goods = [(rng.randint(1, 6), rng.choice("mn"), rng.choice("HS"), "s", 1.0, True) for _ in range(12)]

@@ -125,8 +125,15 @@ def test_dynamic_overwrite_touches_only_its_partitions(spark, operational, event
     table = scan_table(spark, operational, "raw_events")
     assert table.count() == 14
     assert table.where("payload = 'new'").count() == 1
-    # A static overwrite replaces every partition.
-    assert sinks.overwrite(spark, operational, "raw_events", changed, partition_by=RAW_EVENTS.partition_by) == 1
+    # A whole overwrite replaces every partition, whatever the session says, and leaves that as it was.
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        sinks.overwrite(spark, operational, "raw_events", changed, partition_by=RAW_EVENTS.partition_by)
+        assert spark.conf.get(mode).lower() == "dynamic"
+    finally:
+        spark.conf.set(mode, before)
     assert scan_table(spark, operational, "raw_events").count() == 1
 
 
