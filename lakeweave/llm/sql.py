@@ -28,6 +28,48 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN smallest ON doc_id = a
 """
 
+DECONTAMINATION = r"""
+WITH doc_words AS (
+    SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents WHERE doc_id IS NOT NULL
+), item_words AS (
+    SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v
+    FROM benchmark WHERE item_id IS NOT NULL
+), masks(m, picked) AS (
+    VALUES (0, [0, 1, 2, 3, 8, 9, 10, 11]), (1, [0, 1, 3, 4, 6, 7, 9, 10]), (2, [0, 2, 4, 5, 6, 7, 9, 11])
+), doc_windows AS (
+    SELECT doc_id, unnest(range(0, len(w) - 11)) AS pos, w FROM doc_words
+), item_windows AS (
+    SELECT item_id, unnest(range(0, len(v) - 11)) AS pos, v FROM item_words
+), doc_seeds AS (
+    SELECT doc_id, pos, m, list_transform(picked, lambda k: w[pos + k + 1]) AS seed FROM doc_windows, masks
+), item_seeds AS (
+    SELECT item_id, pos, m, list_transform(picked, lambda k: v[pos + k + 1]) AS seed FROM item_windows, masks
+), hits AS (
+    SELECT DISTINCT doc_id, item_id, d.pos - i.pos AS shift
+    FROM doc_seeds d JOIN item_seeds i ON d.m = i.m AND d.seed = i.seed
+), aligned AS (
+    SELECT doc_id, item_id, shift, w, v,
+        unnest(range(greatest(shift, 0), least(len(w), shift + len(v)))) AS pos
+    FROM hits JOIN doc_words USING (doc_id) JOIN item_words USING (item_id)
+), sums AS (
+    SELECT doc_id, item_id, shift, pos, sum(CASE WHEN w[pos + 1] = v[pos - shift + 1] THEN 1 ELSE -2 END)
+        OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos) AS s
+    FROM aligned
+), runs AS (
+    SELECT doc_id, item_id, shift, s - least(0, coalesce(min(s)
+        OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run
+    FROM sums
+), scored AS (
+    SELECT doc_id, item_id, shift, max(run) AS score FROM runs GROUP BY ALL HAVING max(run) >= 12
+)
+SELECT doc_id, item_id, CAST(max(score) AS INTEGER) AS overlap_score, count(*) AS n_alignments
+FROM scored GROUP BY doc_id, item_id
+"""
+
 ORACLE_SQL = {
+    "op2_decontamination": DECONTAMINATION,
     "op7_minhash_near_dedup": NEAR_DEDUP,
 }
