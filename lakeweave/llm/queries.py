@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeweave.llm.decontaminate import contaminated
 from lakeweave.llm.near_dedup import near_duplicates
+from lakeweave.llm.packing import best_fit_packing, word_counts
 from lakeweave.llm.pii import find_pii
 from lakeweave.llm.quality_rules import quality_rules
 from lakeweave.llm.secrets import find_secrets
+from lakeweave.llm.token_output import packed_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(word_counts(table(spark, sf_dir, "documents")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -35,10 +41,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_decontamination": op2_decontamination,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_pii": op5_pii,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_token_output": op10_token_output,
 }
