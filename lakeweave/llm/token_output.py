@@ -41,7 +41,8 @@ ROWS = (
     "resets array<int>, ids binary"
 )
 # Blanks beyond ASCII join the runs of blanks around them; texts that hold one are encoded whole.
-_OTHER_BLANK = re.compile("[\x85\xa0  -     　]")
+_OTHER_BLANKS = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_OTHER_BLANK = re.compile("[" + "".join(map(chr, _OTHER_BLANKS)) + "]")
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
