@@ -8,9 +8,11 @@ from lakeweave.llm.decontaminate import contaminated
 from lakeweave.llm.near_dedup import near_duplicates
 from lakeweave.llm.packing import best_fit_packing, word_counts
 from lakeweave.llm.pii import find_pii
+from lakeweave.llm.quality_model import score_quality
 from lakeweave.llm.quality_rules import quality_rules
 from lakeweave.llm.secrets import find_secrets
 from lakeweave.llm.token_output import packed_tokens
+from lakeweave.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,9 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_pii": op5_pii,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
 }
