@@ -40,10 +40,10 @@ from lakeweave.llm.textbytes import Texts, mix, slices
 SHINGLE = 5
 COLLECTIONS, PER_COLLECTION = 16, 2
 SIMILAR = (75, 100)
-# Documents of a bucket whose pairs are made; documents of a block in larger ones; pivots by round.
+# Documents of a bucket whose pairs are made; pivots of a cluster, and documents of a block in it.
 SMALL_BUCKET = 16
+PIVOTS = 8
 BLOCK = 256
-PIVOTS = (1, 8)
 
 _RNG = np.random.default_rng(7)
 _SCALE = _RNG.integers(0, 1 << 63, COLLECTIONS * PER_COLLECTION, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,27 +162,24 @@ def _pairs(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """All pairs of nodes in the given buckets, each once."""
     few = rows.join(keys, "key")
     other = few.select("key", F.col("node").alias("b"))
-    return few.join(other, "key").where("node < b").select(F.col("node").alias("a"), "b").distinct()
+    return few.join(other, "key").where("node < b").select(F.col("node").alias("a"), "b")
 
 
-def _with_comp(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _against_pivots(clusters: DataFrame) -> DataFrame:
+    """Pairs of a few nodes of each cluster with all its nodes, each once."""
+    best = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)]
+    chosen = clusters.groupBy("cluster").agg(F.array_distinct(F.array(*best)).alias("chosen"))
+    against = clusters.join(chosen.select("cluster", F.explode("chosen").alias("pivot")), "cluster").where("node <> pivot")
+    return against.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+
+
+def _still_apart(clusters: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of clusters that hold more than one component, with their component as ``comp``."""
-    state = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    state = clusters.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = state.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     return state.join(mixed.select("cluster"), "cluster")
 
 
-def _against_pivots(state: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of some nodes of each cluster with all nodes of other components in it."""
-    best = [F.min_by("node", F.xxhash64("node", F.lit(pivots * 1000 + k))).alias(f"p{k}") for k in range(pivots)]
-    chosen = state.groupBy("cluster").agg(*best)
-    chosen = chosen.select("cluster", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(pivots)]))).alias("node"))
-    centre = state.join(chosen, ["cluster", "node"])
-    centre = centre.select("cluster", F.col("node").alias("pivot"), F.col("comp").alias("comp_p"))
-    against = state.join(centre, "cluster").where("comp <> comp_p")
-    return against.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-
-
 def _block_pairs(state: DataFrame) -> DataFrame:
     """(cluster, x, y, side, node, comp): blocks of the nodes outside a cluster's largest component
     (side 0) against blocks of all its nodes (side 1)."""
@@ -294,32 +291,29 @@ def _link(scratch: Scratch, texts: DataFrame, sizes: DataFrame, rows: DataFrame)
     def needed(ids: DataFrame) -> DataFrame:
         return scratch.save(semi_join(texts, ids.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct(), "texts")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
-        fits = F.col("n_a").between(F.ceil(F.col("n_b") * part / whole), F.floor(F.col("n_b") * whole / part))
-        pairs = scratch.save(pairs.where(fits).select("a", "b"), "pairs")
-        found = needed(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        for side in ("b", "a"):
-            pairs = pairs.join(found.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return scratch.save(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"), "links")
-
     members = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"))
-    links = confirm(_pairs(rows, members.where(F.col("n") <= SMALL_BUCKET).select("key")))
-    large = scratch.save(
-        rows.join(members.where(F.col("n") > SMALL_BUCKET), "key").select("node", "low").distinct(), "large"
-    )
-    roots = components(scratch, links, "a", "b")
-    if large.isEmpty():
-        return roots
-    tied = components(scratch, large, "node", "low")
+    pairs = _pairs(rows, members.where(F.col("n") <= SMALL_BUCKET).select("key"))
+    large = rows.join(members.where(F.col("n") > SMALL_BUCKET), "key").select("node", "low").distinct()
+    tied = components(scratch, scratch.save(large, "large"), "node", "low")
     clusters = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
     clusters = clusters.withColumnRenamed("root", "cluster")
-    known = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    for pivots in PIVOTS:
-        state = scratch.save(_with_comp(clusters, roots), "state")
-        roots = components(scratch, known().unionByName(confirm(_against_pivots(state, pivots))), "a", "b")
-    blocks = scratch.save(_block_pairs(scratch.save(_with_comp(clusters, roots), "state")), "blocks")
+
+    pairs = pairs.unionByName(_against_pivots(clusters)).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
+    fits = F.col("n_a").between(F.ceil(F.col("n_b") * part / whole), F.floor(F.col("n_b") * whole / part))
+    pairs = scratch.save(pairs.where(fits).select("a", "b"), "pairs")
+    found = needed(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    for side in ("b", "a"):
+        pairs = pairs.join(found.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
+    roots = components(scratch, scratch.save(links, "links"), "a", "b")
+
+    apart = scratch.save(_still_apart(clusters, roots), "apart")
+    if apart.isEmpty():
+        return roots
+    blocks = scratch.save(_block_pairs(apart), "blocks")
     found = needed(blocks.select("node")).withColumnRenamed("doc_id", "node")
-    last = blocks.join(found, "node").groupBy("cluster", "x", "y").applyInArrow(_linked_blocks, "a long, b long")
-    return components(scratch, known().unionByName(scratch.save(last, "links")), "a", "b")
+    more = blocks.join(found, "node").groupBy("cluster", "x", "y").applyInArrow(_linked_blocks, "a long, b long")
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(scratch, known.unionByName(scratch.save(more, "links")), "a", "b")

@@ -29,9 +29,9 @@ from lakeweave.llm.textbytes import LOWER, slices
 
 SAMPLE_TEXTS, SAMPLE_BYTES, FIT_ROWS = 3000, 8_000_000, 20_000
 DICTIONARY_BYTES, PIECE = 16_384, 256
-# A run of RUN bytes is kept if at least LEAST_TEXTS texts of its kind hold it, and their share is
-# at least RATIO times that of the other kind.
-RUN, LEAST_TEXTS, RATIO = 5, 5, 4
+# A run of RUN bytes is kept if at least LEAST_TEXTS texts of its kind hold it, if their share is at
+# least RATIO times that of the other kind, and if the shares differ by SURE standard errors.
+RUN, LEAST_TEXTS, RATIO, SURE = 5, 5, 4, 6
 WINDOW, LEVEL = 128, 3
 # Every window begins with the same run, which either dictionary compresses alike: a match in
 # the window then costs and saves its own bytes only.
@@ -86,9 +86,15 @@ def pruned(trained: bytes, own: Sequence[bytes], other: Sequence[bytes]) -> byte
         return Counter(run for t in texts for run in {t[k : k + RUN] for k in range(len(t) - RUN + 1)} & wanted)
 
     here, there = texts_with(own), texts_with(other)
-    good = [
-        here[r] >= LEAST_TEXTS and here[r] * max(len(other), 1) >= RATIO * (there[r] + 1) * len(own) for r in runs
-    ]
+    m, n = max(len(own), 1), max(len(other), 1)
+
+    def specific(run: bytes) -> bool:
+        a, b = here[run], there[run]
+        both = (a + b) / (m + n)
+        error = (both * (1 - both) * (1 / m + 1 / n)) ** 0.5
+        return a >= LEAST_TEXTS and a * n >= RATIO * (b + 1) * m and a / m - b / n >= SURE * error
+
+    good = [specific(r) for r in runs]
     kept, k = {}, 0
     while k < len(good):
         end = k
@@ -96,7 +102,7 @@ def pruned(trained: bytes, own: Sequence[bytes], other: Sequence[bytes]) -> byte
             end += 1
         if end > k:
             piece = _whole_words(trained[k : end + RUN - 1])
-            if len(piece) > RUN:
+            if len(piece) >= RUN:
                 kept[piece] = max(kept.get(piece, 0), here[runs[k]])
         k = max(end, k + 1)
     single = [p for p in kept if not any(p != q and p in q for q in kept)]
