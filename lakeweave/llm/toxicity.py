@@ -28,18 +28,22 @@ from lakeweave.llm.shared import Scratch
 from lakeweave.llm.textbytes import LOWER, slices
 
 SAMPLE_TEXTS, SAMPLE_BYTES, FIT_ROWS = 3000, 8_000_000, 20_000
-DICTIONARY_BYTES, PIECE = 16_384, 256
+# A dictionary is this share of its texts, within limits, as the trainer advises.
+SHARE, LEAST_BYTES, MOST_BYTES, PIECE = 32, 16_384, 65_536, 256
 # A run of RUN bytes is kept if at least LEAST_TEXTS texts of its kind hold it, if their share is at
 # least RATIO times that of the other kind, and if the shares differ by SURE standard errors.
 RUN, LEAST_TEXTS, RATIO, SURE = 5, 5, 4, 6
 WINDOW, LEVEL = 128, 3
+# Matches shorter than a run would be chance.
+PARAMETERS = {"strategy": zstandard.STRATEGY_LAZY, "min_match": RUN, "window_log": 10, "hash_log": 12, "chain_log": 12}
+APART = b"\1"
 # Every window begins with the same run, which either dictionary compresses alike: a match in
 # the window then costs and saves its own bytes only.
 LEAD = b"\0" * 32
 THRESHOLD = 0.3
 
 _GAPS = re.compile(rb"[\x20\x09-\x0D]+")
-FEATURES = ("mean", "share2", "share3", "share4", "most", "most3", "log_windows")
+FEATURES = ("mean", "share1", "share2", "share4", "most", "most3", "log_windows")
 
 
 def plain(text: bytes) -> bytes:
@@ -63,10 +67,11 @@ def windows(text: bytes) -> list[bytes]:
 
 def _trained(texts: Sequence[bytes]) -> bytes:
     samples = [t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)]
+    size = min(max(sum(map(len, texts)) // SHARE, LEAST_BYTES), MOST_BYTES)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the texts are the dictionary
-        return b"".join(samples)[:DICTIONARY_BYTES]
+        return b"".join(samples)[:size]
 
 
 def _whole_words(run: bytes) -> bytes:
@@ -106,7 +111,7 @@ def pruned(trained: bytes, own: Sequence[bytes], other: Sequence[bytes]) -> byte
                 kept[piece] = max(kept.get(piece, 0), here[runs[k]])
         k = max(end, k + 1)
     single = [p for p in kept if not any(p != q and p in q for q in kept)]
-    return b"".join(sorted(single, key=lambda p: (kept[p], p)))
+    return APART.join(sorted(single, key=lambda p: (kept[p], p)))
 
 
 def dictionaries(texts: Sequence[tuple[int, bytes]]) -> tuple[bytes, bytes]:
@@ -116,14 +121,17 @@ def dictionaries(texts: Sequence[tuple[int, bytes]]) -> tuple[bytes, bytes]:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(content.rjust(64, b"\1"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data)
+    data = zstandard.ZstdCompressionDict(content.rjust(64, APART), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    parameters = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, source_size=WINDOW + len(LEAD), dict_size=len(data), **PARAMETERS
+    )
+    data.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(compression_params=parameters, dict_data=data)
 
 
 def summary(distances: np.ndarray) -> list[float]:
     top = np.sort(distances)[::-1]
-    shares = [float((distances >= k).mean()) for k in (2, 3, 4)]
+    shares = [float((distances >= k).mean()) for k in (1, 2, 4)]
     return [float(distances.mean()), *shares, float(top[0]), float(top[:3].mean()), float(np.log(len(top)))]
 
 
