@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeweave.llm.decontaminate import contaminated
+from lakeweave.llm.language_model import score_texts
 from lakeweave.llm.near_dedup import near_duplicates
 from lakeweave.llm.packing import best_fit_packing, word_counts
 from lakeweave.llm.pii import find_pii
@@ -31,6 +32,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(word_counts(table(spark, sf_dir, "documents")))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
