@@ -103,7 +103,8 @@ def _scores(scratch: Scratch, graph: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context,
+    row_key.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are not read. Null counts as an empty
     text, which has no spans. Rows come back as often as they went in, whatever their id (null

@@ -85,45 +85,66 @@ def outside(size: int, packed: int, bands: Sequence[tuple[int, float, float]]) -
     return not least <= packed / size <= most
 
 
-def _rules(bands: Sequence[tuple[int, float, float]]):
+class Rules:
+    """Counts and verdicts of texts under the limits of some bands."""
+
+    def __init__(self, bands: Sequence[tuple[int, float, float]]) -> None:
+        self.bands = bands
+        self.packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
+
+    def bands_of(self, data: bytes) -> tuple[float, int, int, bool]:
+        """(compressed share, chunks, chunks outside their limits, whether the text breaks the rule)."""
+        if not data:
+            return 0.0, 0, 0, False
+        packed = len(self.packer.compress(data))
+        parts = [data[j : j + CHUNK] for j in range(0, len(data), CHUNK)]
+        bad = 0
+        if len(parts) > 1:
+            bad = sum(outside(len(p), len(self.packer.compress(p)), self.bands) for p in parts)
+        failed = outside(len(data), packed, self.bands) or bad > BAD_CHUNKS * len(parts)
+        return packed / len(data), len(parts), bad, failed
+
+    def measure(self, texts: Texts) -> list[np.ndarray]:
+        """The columns after ``doc_id``."""
+        with np.errstate(over="ignore"):
+            repeat, lines = repeated_words(texts), duplicate_lines(texts)
+        word_chars = texts.sums(_BEGINS[texts.buf] & ~SPACE[texts.buf])
+        shares, chunks, bad, failed = zip(*(self.bands_of(texts.bytes_of(i)) for i in range(texts.size)), strict=True)
+        return [
+            texts.n_words.astype(np.int64), word_chars, texts.sums(_SYMBOL[texts.buf]), lines, repeat,
+            np.diff(texts.offsets), np.array(shares, float), np.array(chunks, np.int64), np.array(bad, np.int64),
+            np.array(failed, bool),
+        ]
+
+
+def _measured(bands: Sequence[tuple[int, float, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
+        rules = Rules(bands)
         for batch in batches:
             for row, texts in slices(batch.column(1)):
-                with np.errstate(over="ignore"):
-                    repeat, lines = repeated_words(texts), duplicate_lines(texts)
-                word_chars = texts.sums(_BEGINS[texts.buf] & ~SPACE[texts.buf])
-                shares, chunks, bad = [], [], []
-                failed = []
-                for i in range(texts.size):
-                    data = texts.bytes_of(i)
-                    packed = len(packer.compress(data)) if data else 0
-                    parts = [data[j : j + CHUNK] for j in range(0, len(data), CHUNK)]
-                    wrong = sum(outside(len(p), len(packer.compress(p)), bands) for p in parts) if len(parts) > 1 else 0
-                    shares.append(packed / len(data) if data else 0.0)
-                    chunks.append(len(parts))
-                    bad.append(wrong)
-                    failed.append(outside(len(data), packed, bands) or wrong > BAD_CHUNKS * len(parts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, texts.size).cast(pa.int64()),
-                        pa.array(texts.n_words.astype(np.int64)),
-                        pa.array(word_chars),
-                        pa.array(texts.sums(_SYMBOL[texts.buf])),
-                        pa.array(lines),
-                        pa.array(repeat),
-                        pa.array(np.diff(texts.offsets)),
-                        pa.array(shares, pa.float64()),
-                        pa.array(chunks, pa.int64()),
-                        pa.array(bad, pa.int64()),
-                        pa.array(failed, pa.bool_()),
-                    ],
-                    names=_COLUMNS,
-                )
+                columns = [pa.array(c) for c in rules.measure(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, texts.size), *columns], names=_COLUMNS)
 
     return run
 
 
+def _passing(bands: Sequence[tuple[int, float, float]], text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = Rules(bands)
+        for batch in batches:
+            for row, texts in slices(batch.column(text)):
+                n_words, *_, failed = found = rules.measure(texts)
+                good = (n_words >= LEAST_WORDS) & (found[4] * 100 <= n_words * REPEAT_PERCENT) & ~failed
+                yield batch.slice(row, texts.size).filter(pa.array(good))
+
+    return run
+
+
+def keep_good(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    return docs.mapInArrow(_passing(tuple(bands), docs.columns.index("text")), docs.schema)
+
+
 def quality_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS) -> DataFrame:
     """One row per document: counts, compression figures, ``base_failed`` and ``kept``.
 
@@ -132,7 +153,7 @@ def quality_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = B
     often as they went in, whatever their ``doc_id``; an empty table gives an empty result.
     One pass without a shuffle; a task holds one Arrow batch of texts.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rules(tuple(bands)), _SCHEMA)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured(tuple(bands)), _SCHEMA)
     repeats = F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT
     failed = (F.col("n_words") < LEAST_WORDS) | repeats
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("bands_failed"))

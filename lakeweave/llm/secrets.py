@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.shared import Scratch
+from lakeweave.llm.shared import Scratch, small
 from lakeweave.llm.spans import digest, matches, of_kind, row_key
 
 KINDS = ("assign", "access", "hex")
@@ -107,7 +107,7 @@ def discarded(tested: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, row_key.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are not read. Null counts as an empty
     text, which has no spans. Rows come back as often as they went in, whatever their id (null
@@ -135,29 +135,29 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return digest(rows.select("doc_id", "row_key", "base"), random.select("row_key", "start", "end"), KINDS, FOUND)
 
 
-def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``find_secrets`` replaced; texts without spans are as they were.
+def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", length: str = "n_chars") -> DataFrame:
+    """``docs`` with every span of ``find_secrets`` replaced; rows without spans are as they were.
 
-    ``found`` is joined by id; overlapping spans are replaced by one mark.
+    Overlapping spans are replaced by one mark. The column ``length``, if there is one, gets the
+    length of a text that changed. Other columns stay.
     """
-    hits = found.where("spans <> ''").select("doc_id", "spans").distinct()
-    hits = hits.groupBy("doc_id").agg(F.array_join(F.collect_set("spans"), ",").alias("spans"))
-    parts = F.transform(
-        F.split("spans", ","),
-        lambda s: F.struct(F.get(F.split(s, ":"), F.lit(1)).cast("int").alias("start"), F.get(F.split(s, ":"), F.lit(2)).cast("int").alias("end")),
-    )
+    hits = found.where("spans <> ''").select("row_key", "spans").distinct()
+    at = lambda s, k: F.get(F.split(s, ":"), F.lit(k)).cast("int")
+    parts = F.transform(F.split("__spans", ","), lambda s: F.struct(at(s, 1).alias("start"), at(s, 2).alias("end")))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, span: Column) -> Column:
-        fresh = span["start"] >= s["at"]
-        begin = F.greatest(s["at"], span["start"])
-        gap = F.substring(F.col("text"), s["at"] + 1, begin - s["at"])
-        return F.struct(
-            F.greatest(s["at"], span["end"]).alias("at"),
-            F.concat(s["out"], F.when(fresh, F.concat(gap, F.lit(mark))).otherwise("")).alias("out"),
-        )
+        gap = F.substring(F.col("text"), s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
+        piece = F.when(span["start"] >= s["at"], F.concat(gap, F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
 
     done = F.aggregate(F.array_sort(parts), state, step)
-    rest = F.substring(F.col("text"), done["at"] + 1, F.length("text"))
-    clean = F.when(F.col("spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat(done["out"], rest))
-    return docs.join(hits, "doc_id", "left").withColumn("text", clean).drop("spans")
+    clean = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
+    hits = hits.withColumnRenamed("row_key", "__key").withColumnRenamed("spans", "__spans")
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    joined = keyed.join(F.broadcast(hits) if small(hits) else hits, "__key", "left")
+    out = joined.withColumn("__clean", F.when(F.col("__spans").isNotNull(), clean))
+    if length in docs.columns:
+        changed = F.length("__clean").cast(docs.schema[length].dataType)
+        out = out.withColumn(length, F.coalesce(changed, F.col(length)))
+    return out.withColumn("text", F.coalesce("__clean", "text")).select(*docs.columns)

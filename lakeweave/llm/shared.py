@@ -42,3 +42,8 @@ def semi_join(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_ROWS
     shuffled to find a few of them; a longer one is joined by shuffle.
     """
     return df.join(F.broadcast(ids) if small(ids, most) else ids, on, "left_semi")
+
+
+def anti_join(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` whose key is not among ``ids``, rows without a key included; as ``semi_join``."""
+    return df.join(F.broadcast(ids) if small(ids, most) else ids, on, "left_anti")

@@ -78,7 +78,7 @@ def digest(rows: DataFrame, extra: DataFrame, kinds: Sequence[str], found: str)
     """Result rows from ``rows`` (doc_id, row_key, base) and ``extra`` (row_key, start, end).
 
     Base kinds are counted and hashed on their own; the spans the method added have the kind
-    ``found`` and are listed with the others.
+    ``found`` and are listed with the others. ``row_key`` stays, to find the rows again.
     """
     added = F.struct(
         F.col("start").cast("int").alias("start"), F.lit(len(kinds)).alias("kind"), F.col("end").cast("int").alias("end")
@@ -95,4 +95,5 @@ def digest(rows: DataFrame, extra: DataFrame, kinds: Sequence[str], found: str)
         F.sha2(joined(F.col("base"), kinds).cast("binary"), 256).alias("base_sha256"),
         joined(every, [*kinds, found]).alias("spans"),
         F.size(F.coalesce("added", F.array())).cast("long").alias(f"n_{found}"),
+        "row_key",
     )
