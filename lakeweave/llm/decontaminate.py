@@ -67,7 +67,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BR
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and ``text``; other
     columns are not read. Words are lower-cased (A-Z). ``overlap_score`` is the best score over
-    all alignments with a common seed; ``n_alignments`` counts those that reach ``LEAST_SCORE``.
+    all alignments with a common seed; ``n_alignments`` counts those that reach ``LEAST_SCORE``,
+    for several texts under one id in the text that has most.
 
     Null, empty and short texts (fewer than ``SPAN`` words) have no window, so they hold no
     item and are none. Rows without an id are not searched. Rows repeated under an id count
@@ -87,12 +88,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BR
     item_words = items.select("item_id", words(lower_ascii(F.col("text"))).alias("item_words"))
     found = semi_join(texts, hits.select("doc_id").distinct(), "doc_id", broadcast_rows).distinct()
     found = found.select("doc_id", words(lower_ascii(F.col("text"))).alias("doc_words"))
-    scored = (
-        hits.join(found, "doc_id")
-        .join(item_words, "item_id")
-        .select("doc_id", "item_id", "shift", _score(F.col("shift"), F.col("doc_words"), F.col("item_words")).alias("score"))
-        .where(F.col("score") >= LEAST_SCORE)
-    )
-    return scored.groupBy("doc_id", "item_id").agg(
-        F.max("score").alias("overlap_score"), F.count_distinct("shift").alias("n_alignments")
+    # A text lies against an item in at most as many ways as it has words, so its row stays bounded
+    # by the text; were each way a row, a repetitive text would be copied to all of them.
+    ways = hits.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts"))
+    each = ways.join(found, "doc_id").join(item_words, "item_id")
+    scores = F.transform("shifts", lambda shift: _score(shift, F.col("doc_words"), F.col("item_words")))
+    scored = each.select("doc_id", "item_id", F.filter(scores, lambda x: x >= LEAST_SCORE).alias("scores"), "shifts")
+    best = scored.where(F.size("scores") > 0).select("doc_id", "item_id", F.array_max("scores").alias("best"), F.size("scores").alias("n"))
+    return best.groupBy("doc_id", "item_id").agg(
+        F.max("best").alias("overlap_score"), F.max("n").cast("long").alias("n_alignments")
     )

@@ -1,0 +1,121 @@
+import random
+
+import pytest
+
+from lakeweave.llm.packing import LENGTHS, best_fit, best_fit_packing, cost, pieces, word_counts
+from lakeweave.llm.token_output import (
+    CAPACITY, END, VOCABULARY, SegmentTree, best_fit_decreasing, encoding, id_matrix, packed_tokens, read_vocabulary,
+    write_packed,
+)
+
+
+def slow_best_fit(sizes, lengths):
+    """The rule written out: look at every open bin and every length."""
+    bins, to_come = [], sum(sizes)
+    for i, size in enumerate(sizes):
+        to_come -= size
+        fitting = [(c - sum(sizes[j] for j in held), b) for b, (c, held) in enumerate(bins)]
+        fitting = [(room, b) for room, b in fitting if room >= size]
+        if fitting:
+            bins[min(fitting)[1]][1].append(i)
+        else:
+            able = [c for c in lengths if c >= size]
+            bins.append((min(able, key=lambda c: (cost(c) / (size + min(c - size, to_come)), c)), [i]))
+    return [(min(c for c in lengths if c >= sum(sizes[j] for j in held)), held) for _, held in bins]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_equals_the_rule(seed):
+    rng = random.Random(seed)
+    lengths = (8, 16, 32)
+    sizes = sorted((rng.randint(1, 32) for _ in range(rng.randint(1, 120))), reverse=True)
+    assert best_fit(sizes, lengths) == slow_best_fit(sizes, lengths)
+
+
+def test_best_fit_without_pieces():
+    assert best_fit([], LENGTHS) == []
+
+
+def test_bins_hold_every_token_once(spark):
+    rng = random.Random(1)
+    sizes = [(i, rng.choice([1, 5, 300, 511, 512, 4096, 10_000])) for i in range(300)]
+    sizes += [(1, 7), (1, 7), (None, 9), (500, 0), (501, None)]
+    df = spark.createDataFrame([(i, n, "clash") for i, n in sizes], "doc_id long, n_tokens long, bin string")
+    rows = best_fit_packing(df, shard_rows=50, window=64).collect()
+    seen = sorted(
+        (str(d), o, n) for r in rows for d, o, n in zip(r["doc_ids"], r["offsets"], r["lengths"], strict=True)
+    )
+    assert seen == sorted((str(i), o, n) for i, size in sizes if size for o, n in pieces(size, max(LENGTHS)))
+    assert len({(r["shard"], r["bin"]) for r in rows}) == len(rows)
+    for r in rows:
+        assert r["n_tokens"] == sum(r["lengths"]) <= r["capacity"]
+        assert r["capacity"] == min(c for c in LENGTHS if c >= r["n_tokens"])
+
+
+def test_packing_of_edge_rows(make_docs, edge_rows):
+    counts = word_counts(make_docs(edge_rows))
+    rows = best_fit_packing(counts).collect()
+    assert sum(r["n_tokens"] for r in rows) == sum(r["n_tokens"] for r in counts.collect())
+    assert best_fit_packing(word_counts(make_docs([]))).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_segment_tree_finds_the_least_room(seed):
+    rng = random.Random(seed)
+    tree, rooms = SegmentTree(50), []
+    for b in range(400):
+        if rng.random() < 0.5:
+            rooms.append((rng.randint(0, 50), b))
+            tree.put(*rooms[-1])
+        else:
+            size = rng.randint(0, 50)
+            found = tree.take(size)
+            expected = min((r for r, _ in rooms if r >= size), default=None)
+            assert (found and found[0]) == expected
+            if found:
+                rooms.remove(found)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_decreasing_equals_a_scan_of_all_bins(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 40) for _ in range(150)]
+    room, held = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        able = [r for r in room if r >= sizes[i]]
+        if able:
+            room[room.index(min(able))] -= sizes[i]
+        else:
+            room.append(40 - sizes[i])
+        held.append(i)
+    bins = best_fit_decreasing(sizes, 40)
+    assert sorted(40 - sum(sizes[i] for i in b) for b in bins) == sorted(room)
+    assert sorted(i for b in bins for i in b) == sorted(held)
+
+
+def test_ids_come_back_as_they_were(spark, make_docs, edge_rows, corpus, tmp_path):
+    rows = [(i, t) for i, t in edge_rows if i not in (None, 4, 5)]
+    rows += [*corpus.items(), (900, "a  b  c \n\n  d\t\te \r\n"), (901, "it's  <|endoftext|> 12 34!?"), (902, "  lead")]
+    write_packed(packed_tokens(make_docs(rows), capacity=64, window=5000), str(tmp_path / "packed"))
+    parts = {}
+    for r in spark.read.parquet(str(tmp_path / "packed")).collect():
+        (ids,) = id_matrix([bytes(r["ids"])], 64)
+        cuts = r["cu_seqlens"]
+        assert cuts[0] == 0 and cuts[-1] == r["n_tokens"] <= 64
+        assert r["resets"] == (cuts if cuts[-1] < 64 else cuts[:-1])
+        assert (ids[cuts[-1] :] == END).all()
+        for k, (doc, offset) in enumerate(zip(r["doc_ids"], r["offsets"], strict=True)):
+            parts.setdefault(doc, {})[offset] = ids[cuts[k] : cuts[k + 1]].tolist()
+    whole = encoding(read_vocabulary(spark, VOCABULARY))
+    for doc, text in rows:
+        ids = [t for offset in sorted(parts[doc]) for t in parts[doc][offset]]
+        assert ids == [*whole.encode_ordinary(text or ""), END], doc
+        assert whole.decode_bytes(ids[:-1]).decode() == (text or "")
+
+
+def test_repeated_rows_and_empty_tables_of_ids(make_docs, edge_rows):
+    rows = packed_tokens(make_docs(edge_rows)).collect()
+    docs = [d for r in rows for d, o in zip(r["doc_ids"], r["offsets"], strict=True) if o == 0]
+    assert sorted(map(str, docs)) == sorted(str(i) for i, _ in edge_rows)
+    assert all(len(r["ids"]) == 2 * CAPACITY for r in rows)
+    assert packed_tokens(make_docs([])).collect() == []
