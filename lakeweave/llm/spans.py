@@ -12,20 +12,40 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` or a lambda in it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(lengths: Column) -> Column:
     """Sum of all lengths before each of them."""
     add = lambda a, b: a + b
     total = lambda part: F.aggregate(part, F.lit(0), add)
-    size = F.size(lengths)
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")),
+        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")),
         lambda b: total(F.slice(lengths, b * BLOCK + 1, BLOCK)),
     )
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-    return F.transform(
-        lengths,
-        lambda _, i: F.get(before, F.floor(i / BLOCK).cast("int"))
-        + total(F.slice(lengths, i - i % BLOCK + 1, (i % BLOCK).cast("int"))),
+    before = let(blocks, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
+    return let(
+        before,
+        lambda sums: F.transform(
+            lengths,
+            lambda _, i: F.get(sums, F.floor(i / BLOCK).cast("int"))
+            + total(F.slice(lengths, i - i % BLOCK + 1, (i % BLOCK).cast("int"))),
+        ),
+    )
+
+
+def _placed(gaps: Column, values: Column) -> Column:
+    """(start, end, value) of matches, given what lies before each of them."""
+    steps = F.zip_with(gaps, values, lambda gap, v: F.length(gap) + F.length(v))
+    ends = let(steps, lambda lengths: F.zip_with(_starts(lengths), lengths, lambda at, n: at + n))
+    return F.zip_with(
+        ends,
+        values,
+        lambda end, v: F.struct(
+            (end - F.length(v)).cast("int").alias("start"), end.cast("int").alias("end"), v.alias("value")
+        ),
     )
 
 
@@ -35,18 +55,8 @@ def matches(text: Column, pattern: str, gate: Column) -> Column:
     ``gate`` is a cheap condition that every text with a match meets.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(values)), values, lambda b, v: F.length(b) + F.length(v))
-    starts = _starts(steps)
-    found = F.transform(
-        F.arrays_zip(between.alias("gap"), values.alias("value"), starts.alias("at")),
-        lambda m: F.struct(
-            (m["at"] + F.length(m["gap"])).cast("int").alias("start"),
-            (m["at"] + F.length(m["gap"]) + F.length(m["value"])).cast("int").alias("end"),
-            m["value"].alias("value"),
-        ),
-    )
-    found = F.filter(found, lambda m: m["value"].isNotNull())
+    gaps = F.split(text, pattern, -1)
+    found = let(values, lambda v: let(F.slice(gaps, F.lit(1), F.size(v)), lambda g: _placed(g, v)))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return F.when(gate & text.rlike(pattern), found).otherwise(none)
 
