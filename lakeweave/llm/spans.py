@@ -96,9 +96,8 @@ def digest(rows: DataFrame, extra: DataFrame, kinds: Sequence[str], found: str)
     extra = extra.distinct().groupBy("row_key").agg(F.collect_list(added).alias("added"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     every = F.concat(base, F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds)
-    ]
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{name}") for kind, name in enumerate(kinds)]
     return rows.join(extra, "row_key", "left").select(
         "doc_id",
         *counts,
