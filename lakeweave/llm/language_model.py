@@ -248,15 +248,15 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, model_words: in
     counts = scratch.save(counts, "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    head = counts.orderBy(F.desc("c"), "word").limit(head_words).toPandas()  # at most head_words rows of two numbers
-    vocabulary = Vocabulary.of(head["word"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), model_words)
+    head = counts.orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # at most head_words rows of two numbers
+    vocabulary = Vocabulary.of(head["word"].to_numpy().view(np.uint64), head["c"].to_numpy(), model_words)
     in_model = vocabulary.ids < vocabulary.other
     other_n, other_v = n - int(vocabulary.counts[in_model].sum()), max(v - int(in_model.sum()), 0)
 
     shared = context.broadcast((vocabulary.words, vocabulary.counts, vocabulary.ids, vocabulary.size))
     pairs = training.mapInArrow(_pair_counts(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    pairs = pairs.toPandas().sort_values("pair")  # at most model_words squared rows of two numbers
-    table = train(pairs["pair"].to_numpy(np.int64), pairs["c"].to_numpy(np.float64), vocabulary.size)
+    pairs = pairs.toArrow().sort_by("pair")  # at most model_words squared rows of two numbers
+    table = train(pairs["pair"].to_numpy(), pairs["c"].to_numpy().astype(np.float64), vocabulary.size)
     all_upto, other_upto = float(n + v + 1), float(other_n + other_v + 1)
     rows = docs.mapInArrow(_scores(shared, context.broadcast(table), all_upto, other_upto), _SCORES)
     rows = scratch.save(rows, "rows")

@@ -232,7 +232,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     numbers = scratch.save(docs.mapInArrow(_numbers, kinds), "numbers")
     known = training_labels(labels, "quality", ~held_out & F.col("doc_id").isNotNull())
     chosen = F.broadcast(first_by_hash(known, TRAIN_ROWS, 6))  # at most TRAIN_ROWS rows
-    rows = numbers.join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = numbers.join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().to_pandas()
     model = fit(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
     found = numbers.mapInArrow(_scores(model), "doc_id long, score double")
     return found.select("doc_id", held_out.alias("held_out"), "score").withColumn(

@@ -186,7 +186,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     kinds = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
     found = scratch.save(docs.mapInArrow(_distances(ordinary, toxic), kinds), "distances")
     fit = first_by_hash(known.where(half == 1), FIT_ROWS, 9)
-    rows = found.join(F.broadcast(fit), "doc_id").dropDuplicates(["doc_id"]).select("y", *FEATURES).toPandas()
+    rows = found.join(F.broadcast(fit), "doc_id").dropDuplicates(["doc_id"]).select("y", *FEATURES).toArrow().to_pandas()
     y = rows["y"].to_numpy(float)
     if len(set(y)) == 2:
         w = logistic(rows[list(FEATURES)].to_numpy(float), y)

@@ -80,7 +80,7 @@ def labelled():
 
 
 def labels_of(spark, labels):
-    odd = [(None, 1, 1), (5, None, None), (99_999, 0, 0), (3, labels[3][1], labels[3][2])]
+    odd = [(None, 1, 1), (5, None, None), (99_999, 0, 0), *labels[3:4]]
     return spark.createDataFrame([(*x, "clash") for x in labels + odd], "doc_id long, quality int, toxic int, y string")
 
 
@@ -114,7 +114,7 @@ def test_held_out_labels_teach_nothing(spark, make_docs, labelled, score):
     turned = [(i, 1 - q, 1 - t) if fold(i, folds) == held else (i, q, t) for i, q, t in labels]
     a, b = (
         {r["doc_id"]: r["score"] for r in score(make_docs(rows), labels_of(spark, x)).collect()}
-        for x in (labels, [*turned, *[x for x in labels[3:4]]])
+        for x in (labels, turned)
     )
     assert a == b
 
