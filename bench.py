@@ -10,11 +10,12 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from lakeweave.benchmark_queries import QUERIES
 from lakeweave.operators import distinct_rows, rank_readings
-from lakeweave.session import local_session
+from lakeweave.session import CHECKPOINT_DIR, cluster_conf, local_session
 from lakeweave.sources import star_views as star
 from lakeweave.sources.tables import partition_predicate
 
@@ -66,16 +67,29 @@ def seconds(spark, query, sf_dir) -> float:
     return time.perf_counter() - start
 
 
+def forget_databases(spark) -> None:
+    """Drop the databases that a query's writes registered."""
+    for database in spark.catalog.listDatabases("lakeweave_*"):
+        spark.sql(f"DROP NAMESPACE IF EXISTS `{database.name}` CASCADE")
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cores, "bench", {"spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")})
+    # Partitions and adaptive settings as on a cluster of this size, for the bytes of the tables.
+    conf = cluster_conf(0, int(cores) // 2) | {
+        "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+        CHECKPOINT_DIR: os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="bench-"),
+        "spark.sql.files.maxPartitionBytes": "128MB",
+    }
+    spark = local_session(cores, "bench", conf)
     spark.sparkContext.setLogLevel("ERROR")
     timings = {}
     for name, query in HEADLINE.items():
         for _ in range(WARM_UPS):
             seconds(spark, query, sf_dir)
         timings[name] = round(statistics.median(seconds(spark, query, sf_dir) for _ in range(RUNS)), 3)
+        forget_databases(spark)
         print(f"{name}: {timings[name]}", file=sys.stderr)
     spark.stop()
     print(

@@ -167,7 +167,8 @@ FROM raw_events GROUP BY event_date, region""",
     "pruned_read": f"WITH {EVENTS} SELECT * FROM raw_events WHERE {CHOSEN}",
     "replicate_partitions": f"""WITH {EVENTS}
 SELECT event_date, region, event_type, count(*) AS events
-FROM raw_events WHERE {CHOSEN} GROUP BY event_date, region, event_type""",
+FROM raw_events WHERE {CHOSEN} AND NOT (region = 'ASIA' AND event_date = '2024-01-05')
+GROUP BY event_date, region, event_type""",
     "write_evidence": f"WITH {EVENTS} SELECT DISTINCT event_date, region FROM raw_events",
     "load_history": f"""WITH {READINGS}
 SELECT 'sensor_readings' AS tbl, 'append' AS operation, count(*) AS rows_written FROM readings
@@ -185,6 +186,36 @@ sizes AS (
         SELECT DISTINCT region, event_type FROM events LEFT JOIN regions ON c_custkey = user_id)
 )
 SELECT tbl, n AS rows_written, n AS rows_read, true AS verified FROM sizes""",
+    "publish_self_read": f"""WITH {EVENTS}
+SELECT region, event_type, count(*) AS event_count, count(DISTINCT customer_id) AS unique_users
+FROM raw_events WHERE event_type <> 'view' GROUP BY region, event_type""",
+    "aggregates_from_tables": f"""WITH {CUSTOMERS}, {LINES}, {PRODUCTS}, {REVENUE}, {LTV},
+summary AS (
+    SELECT region, tier, count(*) AS n, max(signup_date) AS last_date FROM customers GROUP BY region, tier
+), funnel AS (
+    SELECT region, event_type, count(*) AS n, count(DISTINCT user_id) AS users
+    FROM events LEFT JOIN regions ON c_custkey = user_id GROUP BY region, event_type
+)
+SELECT 'regional_summary' AS tbl, count(*) AS rows, CAST(sum(n) AS BIGINT) AS total, CAST(0 AS DOUBLE) AS amount,
+       max(last_date) AS last_date FROM summary
+UNION ALL SELECT 'product_revenue', count(*), CAST(sum(order_count) AS BIGINT), round(sum(total_revenue), 0), NULL FROM revenue
+UNION ALL SELECT 'customer_ltv', count(*), CAST(sum(total_orders) AS BIGINT), round(sum(lifetime_value), 0),
+       max(last_order_date) FROM ltv
+UNION ALL SELECT 'event_funnel', count(*), CAST(sum(n) AS BIGINT), CAST(sum(users) AS DOUBLE), NULL FROM funnel""",
+    "inline_rows_joined": f"""WITH {REGIONS}, given(region, code) AS (VALUES ('ASIA', 'AS'), ('EUROPE', NULL), ('AFRICA', 'AF'))
+SELECT region, code, customers FROM given
+LEFT JOIN (SELECT region, count(*) AS customers FROM regions GROUP BY region) USING (region)""",
+    "few_files": "SELECT CAST(2 AS BIGINT) AS files, count(*) AS rows FROM part",
+    "table_comments": """SELECT column_name, comment, n_values FROM (
+    VALUES ('product_id', 'product key'), ('name', 'product name'), ('category', 'main group'),
+           ('sub_category', 'group within the category'), ('list_price', 'catalogue price'),
+           ('is_active', 'still on sale')) AS c(column_name, comment)
+JOIN (SELECT unnest(['product_id', 'name', 'category', 'sub_category', 'list_price', 'is_active']) AS column_name,
+             unnest([count(p_partkey), count(p_name), count(p_type), count(p_brand), count(p_retailprice),
+                     count(p_size)]) AS n_values FROM part) USING (column_name)""",
+    "table_properties": """SELECT key, value, rows FROM (
+    VALUES ('write.format.default', 'parquet'), ('write.parquet.compression-codec', 'snappy')) AS p(key, value),
+    (SELECT count(*) AS rows FROM part)""",
     "overwrite_idempotent": f"WITH {PRODUCTS} SELECT * FROM products",
     "cross_catalog_copy": f"WITH {CUSTOMERS} SELECT * FROM customers",
     "filter_ne_in": f"""WITH {LINES}
@@ -213,10 +244,22 @@ FROM information_schema.columns JOIN sizes ON table_name = tbl""",
     "file_report": f"""SELECT tbl, 'PARQUET' AS file_format, rows AS record_count
 FROM ({_counts(ALL_TABLES)})""",
     "reset_owned": """SELECT 'operational' AS catalog_name, 'products' AS tbl, 'dropped' AS first_outcome,
-       'absent' AS second_outcome, count(*) AS rows_in_files FROM part
-UNION ALL SELECT 'operational', 'raw_events', 'dropped', 'absent', count(*) FROM events
-UNION ALL SELECT 'analytical', 'customer', 'not owned', 'not owned', count(*) FROM customer""",
-    "orphan_keys": f"WITH {LINES}\n"
+       'absent' AS second_outcome, count(*) AS rows_in_files, CAST(0 AS BIGINT) AS rows_made_anew FROM part
+UNION ALL SELECT 'operational', 'raw_events', 'dropped', 'absent', count(*), 0 FROM events
+UNION ALL SELECT 'analytical', 'customer', 'not owned', 'not owned', count(*), NULL FROM customer""",
+    "orphan_keys": f"""WITH {LINES}
+SELECT 'orders.customer_id' AS reference, count(*) AS child_rows,
+       count(DISTINCT customer_id) FILTER (WHERE customer_id NOT IN (SELECT c_custkey FROM customer)) AS orphan_keys,
+       count(*) FILTER (WHERE customer_id NOT IN (SELECT c_custkey FROM customer)) AS orphan_rows FROM lines
+UNION ALL
+SELECT 'orders.product_id', count(*),
+       count(DISTINCT product_id) FILTER (WHERE product_id NOT IN (SELECT p_partkey FROM part)),
+       count(*) FILTER (WHERE product_id NOT IN (SELECT p_partkey FROM part)) FROM lines
+UNION ALL
+SELECT 'raw_events.customer_id', count(*),
+       count(DISTINCT user_id) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer)),
+       count(*) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer)) FROM events""",
+    "orphan_keys_of_filtered_parents": f"WITH {LINES}\n"
     + "\nUNION ALL\n".join(
         [
             _orphans("orders.customer_id", "lines", "customer_id", BUYERS),

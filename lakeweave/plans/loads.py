@@ -75,7 +75,7 @@ def load_with_reconciliation(
     added = append_batches(spark, target, batches, specs, positional)
     after = {row["tbl"]: row["rows"] for row in counts_of(spark, target, batches).collect()}
     report = [
-        (name, before[name], added[name], after[name], before[name] + added[name] == after[name])
+        (name, before[name], int(added[name]), after[name], before[name] + added[name] == after[name])
         for name in batches
     ]
     return spark.createDataFrame(

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeweave.schemas import TableSpec
 from lakeweave.sinks.ddl import create_table, ensure_namespace
 from lakeweave.sinks.history import Load, record_loads
-from lakeweave.sinks.writes import overwrite, overwrite_partitions
+from lakeweave.sinks.writes import counted, empty_partitions, overwrite, overwrite_partitions, written
 from lakeweave.sources.bindings import CatalogBinding
-from lakeweave.sources.tables import scan_partitions, scan_table
+from lakeweave.sources.tables import partition_predicate, scan_partitions, scan_table
 
 
 def cross_catalog_copy(
@@ -53,13 +55,24 @@ def replicate_partitions(
 ) -> int:
     """Copy the selected partitions, replacing them in the target and nothing else.
 
-    Whole partitions are selected, and the scan opens no others. The source is laid out by
+    Selected partitions of the target that the source no longer has are emptied. Whole partitions are selected, and the scan opens no others. The source is laid out by
     the same columns, so its files go across without a shuffle and a big partition is
     copied by as many tasks as it has file splits.
     """
     ensure_namespace(spark, target)
     create_table(spark, target, table, spec)
     chosen = scan_partitions(scan_table(spark, source, table), spec, values, ranges)
-    rows = overwrite_partitions(spark, target, table, chosen)
+    if target.kind == "v2":
+        copied, seen = counted(chosen)
+        copied.writeTo(target.table(table)).overwrite(partition_predicate(spec.partition_by, values, ranges))
+        rows = written(seen)
+    else:
+        rows = overwrite_partitions(spark, target, table, chosen)
+        held = scan_partitions(scan_table(spark, target, table), spec, values, ranges)
+        there, here = (df.select(*spec.partition_by).distinct() for df in (held, chosen.toDF(*chosen.columns)))
+        here = here.toDF(*(f"source_{c}" for c in spec.partition_by))
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"source_{c}")) for c in spec.partition_by))
+        gone = there.join(here, same, "left_anti").collect()  # one row per partition, no data
+        empty_partitions(spark, target, table, [row.asDict() for row in gone])
     record_loads(spark, target, [Load(table, "overwrite", rows)])
     return rows

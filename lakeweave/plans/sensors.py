@@ -66,4 +66,4 @@ def dedup_and_rank(
         lambda df: rank_readings(distinct_rows(df)),
         sort_within,
     )
-    return DedupReport(scan_table(spark, source, source_table).count(), written)
+    return DedupReport(scan_table(spark, source, source_table).count(), int(written))

@@ -25,6 +25,7 @@ class TableSpec:
         return self.schema.fieldNames()
 
 
+# Column names and types of the operational and analytical tables.
 _INT, _LONG, _DOUBLE = T.IntegerType(), T.LongType(), T.DoubleType()
 _TEXT, _FLAG, _TIME = T.StringType(), T.BooleanType(), T.TimestampType()
 

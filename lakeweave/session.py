@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,8 +25,6 @@ JOB_CONF = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_TARGET_BYTES = 200 * 1024 * 1024
-# Beyond this the blocks between map and reduce tasks cost more than larger partitions that spill.
-MOST_SHUFFLE_PARTITIONS = 50_000
 
 
 def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
@@ -35,7 +34,7 @@ def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
     out to be small, but it cannot split the ordinary partition of an aggregate.
     """
     by_size = -(-shuffled_bytes // SHUFFLE_TARGET_BYTES)
-    return max(min(by_size, MOST_SHUFFLE_PARTITIONS), 2 * cores)
+    return max(by_size, 2 * cores)
 
 
 def cluster_conf(shuffled_bytes: int, cores: int) -> dict[str, str]:
@@ -76,6 +75,6 @@ def workspace(spark: SparkSession) -> str:
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         return f"{shared.rstrip('/')}/{leaf}"
-    if spark.conf.get("spark.master", "").startswith("local"):
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
         return f"{tempfile.mkdtemp(prefix='lakeweave-')}/{leaf}"
     raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
 from lakeweave.schemas import TableSpec
-from lakeweave.sources.bindings import CatalogBinding, bind, quoted
+from lakeweave.sources.bindings import BindingConflict, CatalogBinding, bind, quoted
 
 # Marks the tables this library created; ``reset`` drops no other.
 OWNER_PROPERTY = "lakeweave.owned"
@@ -42,18 +44,50 @@ def ensure_namespace(
     if properties:
         clauses.append(f"WITH DBPROPERTIES {property_list(properties)}")
     spark.sql(" ".join(clauses))
+    if binding.kind == "session":
+        check_root(spark, binding)
 
 
-def create_table(spark: SparkSession, binding: CatalogBinding, table: str, spec: TableSpec) -> None:
-    """Create the table if it is absent, over a folder of its own when the binding has a root."""
-    properties = {OWNER_PROPERTY: "true"}
+def check_root(spark: SparkSession, binding: CatalogBinding) -> None:
+    """Refuse a namespace that exists with another folder than the binding's."""
+    plain = lambda path: re.sub("^file:/+", "/", path).rstrip("/")
+    described = spark.sql(f"DESCRIBE NAMESPACE {binding.full_namespace}").collect()
+    there = next(row["info_value"] for row in described if row["info_name"] == "Location")
+    if plain(there) != plain(binding.root):
+        raise BindingConflict(f"{binding.namespace} lies in {there}, not in {binding.root}")
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and len(files.listStatus(folder)) > 0
+
+
+def create_table(
+    spark: SparkSession,
+    binding: CatalogBinding,
+    table: str,
+    spec: TableSpec,
+    properties: Mapping[str, str] | None = None,
+) -> None:
+    """Create the table if it is absent, over a folder of its own when the binding has a root.
+
+    Files that lie in the folder already, of a table dropped before, are not taken over: the new
+    table gets a folder beside it.
+    """
+    name, location = binding.table(table), binding.location(table)
+    if spark.catalog.tableExists(name):
+        return
+    if location and has_files(spark, location):
+        location = f"{location}-{uuid.uuid4().hex[:12]}"
+    properties = {OWNER_PROPERTY: "true", **(properties or {})}
     if binding.format == "iceberg":
         properties |= LAKEHOUSE_PROPERTIES
-    clauses = [f"CREATE TABLE IF NOT EXISTS {binding.table(table)} ({spec.schema.toDDL()}) USING {binding.format}"]
+    clauses = [f"CREATE TABLE IF NOT EXISTS {name} ({spec.schema.toDDL()}) USING {binding.format}"]
     if spec.partition_by:
         clauses.append(f"PARTITIONED BY ({', '.join(map(quoted, spec.partition_by))})")
-    if binding.location(table):
-        clauses.append(f"LOCATION {sql_string(binding.location(table))}")
+    if location:
+        clauses.append(f"LOCATION {sql_string(location)}")
     if spec.comment:
         clauses.append(f"COMMENT {sql_string(spec.comment)}")
     clauses.append(f"TBLPROPERTIES {property_list(properties)}")
@@ -84,3 +118,8 @@ def drop_table(spark: SparkSession, binding: CatalogBinding, table: str) -> str:
         return "not owned"
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     return "dropped"
+
+
+def drop_namespace(spark: SparkSession, binding: CatalogBinding) -> None:
+    """Forget the namespace and its tables; files of external tables stay."""
+    spark.sql(f"DROP NAMESPACE IF EXISTS {binding.full_namespace} CASCADE")

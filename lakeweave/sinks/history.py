@@ -37,5 +37,5 @@ def record_loads(spark: SparkSession, binding: CatalogBinding, loads: Sequence[L
     if not loads or binding.format == "iceberg":
         return
     create_table(spark, binding, HISTORY_TABLE, LOAD_HISTORY)
-    entries = [(load.run_id, load.table, load.operation, load.rows, load.committed_at) for load in loads]
+    entries = [(load.run_id, load.table, load.operation, int(load.rows), load.committed_at) for load in loads]
     append(spark, binding, HISTORY_TABLE, spark.createDataFrame(entries, LOAD_HISTORY.schema).coalesce(1))

@@ -6,23 +6,40 @@ readers may see a write halfway. Bind a lakehouse catalog where that matters.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import re
+import uuid
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeweave.sources.bindings import CatalogBinding, quoted
 
 
-def conform(df: DataFrame, schema: T.StructType, positional: bool = False) -> DataFrame:
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+class Written(int):
+    """Number of rows written; ``digest`` is the sum of their hashes."""
+
+    digest: str = "0"
+
+
+def conform(
+    df: DataFrame, schema: T.StructType, positional: bool = False, absent: Sequence[str] = ()
+) -> DataFrame:
     """Columns in the order and of the types of ``schema``.
 
-    Matching is by name: a column ``df`` lacks becomes NULL, one the schema lacks is an
-    error. ``positional`` pairs columns by place as an INSERT does. Under Spark's default
-    ANSI mode a value that does not fit its type is an error too.
+    Matching is by name: a column of either side that the other lacks is an error, unless
+    ``absent`` names it as one that ``df`` leaves NULL. ``positional`` pairs columns by place as
+    an INSERT does. A value that does not fit its type is an error, which takes ANSI mode:
+    without it a cast would change values, so nothing is written then.
     """
+    if df.sparkSession.conf.get("spark.sql.ansi.enabled").lower() != "true":
+        raise ValueError("set spark.sql.ansi.enabled to true: values that do not fit must be errors")
     if positional:
         if len(df.columns) != len(schema):
             raise ValueError(f"{len(df.columns)} columns for a table of {len(schema)}")
@@ -31,6 +48,9 @@ def conform(df: DataFrame, schema: T.StructType, positional: bool = False) -> Da
     if unknown:
         raise ValueError(f"the table has no column {', '.join(unknown)}")
     present = set(df.columns)
+    missing = sorted(set(schema.fieldNames()) - present - set(absent))
+    if missing:
+        raise ValueError(f"no values for {', '.join(missing)}; name in absent what is meant to be NULL")
     casts = []
     for f in schema.fields:
         value = quoted(f.name) if f.name in present else "NULL"
@@ -55,19 +75,32 @@ def laid_out(
     """
     if target_files is not None:
         df = df.repartition(target_files)
-    elif partition_by and spark.conf.get("spark.sql.adaptive.enabled") == "true":
+    elif partition_by and spark.conf.get("spark.sql.adaptive.enabled").lower() == "true":
         df = df.hint("rebalance", *partition_by)
     return df.sortWithinPartitions(*sort_within) if sort_within else df
 
 
+def fingerprint(df: DataFrame) -> tuple[Column, Column]:
+    """Aggregates of all rows: their number, and the sum of their hashes as text."""
+    columns = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    hashes = F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))
+    return F.count(F.lit(1)).alias("rows"), F.coalesce(hashes, F.lit(0)).cast("string").alias("digest")
+
+
 def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
-    """Count rows on their way into the sink.
+    """Count and fingerprint rows on their way into the sink.
 
-    The metric sits in the stage that writes, where a task that is run again is counted
+    The metrics sit in the stage that writes, where a task that is run again is counted
     once.
     """
     seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+    return df.observe(seen, *fingerprint(df)), seen
+
+
+def written(seen: Observation) -> Written:
+    out = Written(seen.get["rows"])
+    out.digest = seen.get["digest"]
+    return out
 
 
 @contextmanager
@@ -95,20 +128,22 @@ def append(
     partition_by: Sequence[str] = (),
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
-) -> int:
+    absent: Sequence[str] = (),
+) -> Written:
     """Add the rows of ``df`` to a table and return how many there were.
 
-    ``partition_by`` names the table's partition columns, for the distribution of rows.
+    ``partition_by`` names the table's partition columns, for the distribution of rows;
+    ``absent`` those that ``df`` leaves NULL.
     """
     name = binding.table(table)
-    rows = conform(df, spark.table(name).schema, positional)
+    rows = conform(df, spark.table(name).schema, positional, absent)
     rows = laid_out(spark, rows, partition_by, target_files, sort_within)
     rows, seen = counted(rows)
     if binding.kind == "v2":
         rows.writeTo(name).append()
     else:
         rows.write.insertInto(name)
-    return seen.get["rows"]
+    return written(seen)
 
 
 def overwrite(
@@ -120,7 +155,7 @@ def overwrite(
     partition_by: Sequence[str] = (),
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
-) -> int:
+) -> Written:
     """Replace all rows of a table. Spark refuses a ``df`` that reads the same table."""
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema)
@@ -131,12 +166,12 @@ def overwrite(
     else:
         with partition_overwrite(spark, "static"):
             rows.write.insertInto(name, overwrite=True)
-    return seen.get["rows"]
+    return written(seen)
 
 
 def overwrite_partitions(
     spark: SparkSession, binding: CatalogBinding, table: str, df: DataFrame, *, partition_by: Sequence[str] = ()
-) -> int:
+) -> Written:
     """Replace the partitions ``df`` has rows for and leave the others.
 
     Leave ``partition_by`` out, and with it a shuffle, when ``df`` comes straight from a
@@ -151,7 +186,47 @@ def overwrite_partitions(
     else:
         with partition_overwrite(spark, "dynamic"):
             rows.write.insertInto(name, overwrite=True)
-    return seen.get["rows"]
+    return written(seen)
+
+
+def empty_partitions(
+    spark: SparkSession, binding: CatalogBinding, table: str, partitions: Iterable[Mapping[str, str | None]]
+) -> None:
+    """Remove the rows of whole partitions of a session table, files included."""
+    name = binding.table(table)
+    for values in partitions:
+        clause = ", ".join(f"{quoted(c)} = {'NULL' if v is None else literal(v)}" for c, v in values.items())
+        none = spark.table(name).drop(*values).schema
+        with partition_overwrite(spark, "static"):
+            spark.sql(
+                f"INSERT OVERWRITE TABLE {name} PARTITION ({clause}) SELECT * FROM {{none}}",
+                none=spark.createDataFrame([], none),
+            )
+
+
+def location_of(spark: SparkSession, name: str) -> str:
+    """Folder of a table as the catalog has it."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
+
+
+def replace_files(
+    spark: SparkSession, binding: CatalogBinding, table: str, df: DataFrame, *, sort_within: Sequence[str] = ()
+) -> Written:
+    """Replace the rows of an unpartitioned session table by writing a fresh folder.
+
+    The rows go to a new folder below the table's own; only when all are there is the table
+    pointed at it. ``df`` may read the table, a failure leaves the old rows, and readers that
+    have begun keep their files. Old folders stay, for the storage's lifecycle rules.
+    """
+    name = binding.table(table)
+    home = re.sub(r"/run-[0-9a-f]{32}$", "", location_of(spark, name).rstrip("/"))
+    fresh = f"{home}/run-{uuid.uuid4().hex}"
+    rows, seen = counted(laid_out(spark, df, sort_within=sort_within))
+    rows.write.format(binding.format).save(fresh)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION {literal(fresh)}")
+    spark.catalog.refreshTable(name)
+    return written(seen)
 
 
 def overwrite_folder(
@@ -161,14 +236,14 @@ def overwrite_folder(
     *,
     tables: Iterable[str] = (),
     sort_within: Sequence[str] = (),
-) -> int:
-    """Replace the Parquet files in ``path``.
+) -> Written:
+    """Replace the Parquet files in ``path``, which ``df`` must not read.
 
-    A session that has read a table over this path would go on reading the old file list,
+    The old files go first; ``replace_files`` keeps them until the new ones are there. A session that has read a table over this path would go on reading the old file list,
     so the full names in ``tables`` are refreshed.
     """
     rows, seen = counted(laid_out(spark, df, sort_within=sort_within))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
     for name in tables:
         spark.catalog.refreshTable(name)
-    return seen.get["rows"]
+    return written(seen)

@@ -116,20 +116,35 @@ def order_lines(spark: SparkSession, sf_dir: str, statuses: Collection[str] | No
     return joined if statuses is None else joined.where(F.col("status").isin(list(statuses)))
 
 
-def order_line_counts(spark: SparkSession, sf_dir: str, *line_columns: str) -> DataFrame:
-    """Lines and units by order and the given ``lineitem`` columns, joined to their order.
+def order_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and units by order, those of returned lines beside them, joined to the order.
 
     For questions that need no single line. Counting ahead of the join brings an order with
-    very many lines down to few rows.
+    very many lines down to one row, and the shuffle of the count serves the join.
     """
     counted = (
         read(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", *line_columns)
-        .agg(F.expr("count(*) AS lines"), F.expr("sum(CAST(l_quantity AS INT)) AS units"))
+        .groupBy("l_orderkey")
+        .agg(
+            F.expr("count(*) AS lines"),
+            F.expr("sum(CAST(l_quantity AS INT)) AS units"),
+            F.expr("count_if(l_returnflag = 'R') AS returned_lines"),
+            F.expr("coalesce(sum(CAST(l_quantity AS INT)) FILTER (WHERE l_returnflag = 'R'), 0) AS returned_units"),
+        )
     )
     return counted.join(read(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
 
 
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and units by status: at most one row for each status."""
+    states = " ".join(f"WHEN o_orderstatus = '{state}' THEN '{name}'" for state, name in STATUS_OF_STATE.items())
+    by_order = order_line_counts(spark, sf_dir).selectExpr(
+        f"stack(2, '{RETURNED_STATUS}', returned_lines, returned_units,"
+        f" CASE {states} END, lines - returned_lines, units - returned_units) AS (status, lines, units)"
+    )
+    return by_order.where("lines > 0").groupBy("status").agg(F.expr("sum(lines) AS lines"), F.expr("sum(units) AS units"))
+
+
 def with_region(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add the region of each event's customer; events of unknown customers keep NULL."""
     regions = customer_regions(spark, sf_dir).select("c_custkey", "region")

@@ -61,7 +61,8 @@ def commit_history(spark: SparkSession, binding: CatalogBinding, table: str) ->
     """Writes to ``table``, oldest first.
 
     A lakehouse table keeps its own list of snapshots; elsewhere the rows come from the
-    ``load_history`` table that the library's writes append to.
+    ``load_history`` table that the library's writes append to. Without writes there is none,
+    and no rows.
     """
     if binding.format == "iceberg":
         snapshots = spark.table(f"{binding.table(table)}.snapshots").select(
@@ -71,9 +72,12 @@ def commit_history(spark: SparkSession, binding: CatalogBinding, table: str) ->
             "committed_at",
         )
         return snapshots.orderBy("committed_at")
+    if spark.catalog.tableExists(binding.table("load_history")):
+        loads = scan_table(spark, binding, "load_history")
+    else:
+        loads = spark.createDataFrame([], LOAD_HISTORY.schema)
     return (
-        scan_files(spark, binding.location("load_history"), LOAD_HISTORY)
-        .where(F.col("tbl") == table)
+        loads.where(F.col("tbl") == table)
         .select("run_id", "operation", "rows_written", "committed_at")
         .orderBy("committed_at")
     )

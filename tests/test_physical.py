@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from lakeweave import benchmark_queries as queries
 from lakeweave import operators as ops
-from lakeweave import sinks
+from lakeweave import plans, sinks
 from lakeweave.functions import typed_dates
-from lakeweave.schemas import ORDERS, PRODUCTS, RAW_EVENTS
+from lakeweave.schemas import OPERATIONAL, ORDERS, PRODUCTS, RAW_EVENTS
 from lakeweave.session import CHECKPOINT_DIR, cluster_conf, shuffle_partitions, workspace
 from lakeweave.sinks.writes import laid_out
-from lakeweave.sources import file_report, scan_partitions, scan_table
+from lakeweave.sources import file_report, inline_rows, scan_partitions, scan_table
 from lakeweave.sources import star_views as star
+from tests import seed
 
 ADAPTIVE = "spark.sql.adaptive."
 
@@ -243,14 +244,48 @@ def test_workspace_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match=CHECKPOINT_DIR):
         workspace(Session)
-    Session.conf = Conf({"spark.master": "local[2]"})
-    assert workspace(Session)
+    Session.conf = Conf({"spark.master": "local-cluster[2,1,1024]"})
+    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+        workspace(Session)
+    for master in ("local", "local[2]", "local[*,3]"):
+        Session.conf = Conf({"spark.master": master})
+        assert workspace(Session)
 
 
 def test_cluster_settings():
     assert shuffle_partitions(0, 8) == 16
     assert shuffle_partitions(2 * 2**40, 4000) == 10_486
-    assert shuffle_partitions(100 * 2**40, 4000) == 50_000
+    assert shuffle_partitions(100 * 2**40, 4000) == 524_288
     conf = cluster_conf(2 * 2**40, 4000)
     assert conf["spark.sql.shuffle.partitions"] == "10486"
     assert conf["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_aggregates_of_stored_tables_sort_nothing(spark, operational, capsys):
+    star_of_seed = {n: inline_rows(spark, seed.BOTH[n], spec) for n, spec in OPERATIONAL.items()}
+    plans.load_tables(spark, operational, star_of_seed)
+    stored = [scan_table(spark, operational, n) for n in ("customers", "products", "orders", "raw_events")]
+    for name, result in plans.compute_aggregates(*stored).items():
+        plan = plan_of(result, capsys, "simple")
+        assert "SortAggregate" not in plan and "HashAggregate" in plan, name
+
+
+def test_malformed_dates_of_stored_tables_are_errors(spark, operational):
+    customers = spark.createDataFrame([(1, "a", "EMEA", "x", "1 June")], "customer_id long, name string, region string, tier string, signup_date string")
+    empty = [inline_rows(spark, [], OPERATIONAL[n]) for n in ("products", "orders", "raw_events")]
+    with pytest.raises(Exception, match="not an ISO date"):
+        plans.compute_aggregates(customers, *empty)["regional_summary"].collect()
+
+
+def test_the_count_of_lines_serves_the_join(spark, sf_dir, capsys):
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = plan_of(star.order_line_counts(spark, sf_dir), capsys, "simple")
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert plan_of(queries.filter_ne_in(spark, sf_dir), capsys, "simple").count("SortMergeJoin") == 1
+
+
+def test_both_batches_reach_the_scans(spark, sf_dir, capsys):
+    orders, events = star.order_lines(spark, sf_dir), star.raw_events(spark, sf_dir, region=False)
+    for batch in (queries.FIRST_BATCH, queries.REST):
+        assert "(o_orderdate" in plan_of(orders.where(batch["orders"]), capsys, "formatted").split("PushedFilters", 1)[1]
+        assert "(ts" in plan_of(events.where(batch["raw_events"]), capsys, "formatted").split("PushedFilters", 1)[1]

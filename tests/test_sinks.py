@@ -25,6 +25,7 @@ from lakeweave.sources import (
     scan_table,
     write_evidence,
 )
+from lakeweave.sinks.writes import empty_partitions
 from lakeweave.sources.tables import partition_predicate
 from tests import seed
 from tests.conftest import rows
@@ -82,7 +83,9 @@ def test_conform_matches_by_name_or_by_place(spark):
     df = spark.createDataFrame([(2.0, 7)], "b double, a long")
     schema = "a int, b double, c string"
     target = spark.createDataFrame([], schema).schema
-    assert rows(sinks.conform(df, target)) == [(7, 2.0, None)]
+    assert rows(sinks.conform(df, target, absent=["c"])) == [(7, 2.0, None)]
+    with pytest.raises(ValueError, match="no values for c"):
+        sinks.conform(df, target)
     swapped = spark.createDataFrame([(7, 2.5, 3)], "x long, y double, z long")
     assert rows(sinks.conform(swapped, target, positional=True)) == [(7, 2.5, "3")]
     with pytest.raises(ValueError, match="no column x, y, z"):
@@ -91,7 +94,20 @@ def test_conform_matches_by_name_or_by_place(spark):
         sinks.conform(df, target, positional=True)
     too_big = spark.createDataFrame([(2**40,)], "a long")
     with pytest.raises(PySparkException, match="OVERFLOW"):
-        sinks.conform(too_big, target).collect()
+        sinks.conform(too_big, target, absent=["b", "c"]).collect()
+
+
+@pytest.mark.parametrize("value", [5_000_000_000, "abc"])
+def test_values_that_do_not_fit_are_errors_without_ansi_mode_too(spark, operational, value):
+    spec = TableSpec(spark.createDataFrame([], "a int").schema)
+    sinks.create_table(spark, operational, "t", spec)
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="ansi"):
+            sinks.append(spark, operational, "t", spark.createDataFrame([(value,)], ["a"]))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+    assert scan_table(spark, operational, "t").count() == 0
 
 
 def test_target_files(spark, operational):
@@ -150,6 +166,83 @@ def test_replicate_copies_and_replaces_chosen_partitions(spark, operational, ana
     assert scan_table(spark, analytical, "raw_events").count() == 9
 
 
+def test_replicate_empties_partitions_that_the_source_lost(spark, operational, analytical, events):
+    load(spark, operational, "raw_events", events, RAW_EVENTS)
+    copy = lambda region: plans.replicate_partitions(
+        spark, operational, analytical, "raw_events", RAW_EVENTS, {"region": [region]}
+    )
+    copy("APAC"), copy("EMEA")
+    day = scan_table(spark, operational, "raw_events").where("region = 'APAC'").first()["event_date"]
+    empty_partitions(spark, operational, "raw_events", [{"event_date": day, "region": "APAC"}])
+    copy("APAC")
+    held = scan_table(spark, analytical, "raw_events")
+    assert rows(held) == rows(scan_table(spark, operational, "raw_events").where("region <> 'AMER'"))
+    assert held.where(f"region = 'APAC' AND event_date = '{day}'").count() == 0
+    assert held.where("region = 'EMEA'").count() == 3
+
+
+def test_a_result_may_read_the_table_it_replaces(spark, analytical, products):
+    specs = {"products": PRODUCTS}
+    plans.register(spark, analytical, specs)
+    plans.publish(spark, analytical, {"products": products}, specs)
+    held = scan_table(spark, analytical, "products")
+    written = plans.publish(spark, analytical, {"products": held.where("is_active")}, specs, {"products": ["name"]})
+    assert written == {"products": 8} and plans.verify(spark, analytical, written).first()["verified"]
+    stored = [r["name"] for r in scan_table(spark, analytical, "products").coalesce(1).collect()]
+    assert len(stored) == 8 and scan_table(spark, analytical, "products").where("NOT is_active").count() == 0
+
+
+def test_a_failing_result_leaves_the_old_rows(spark, analytical, products):
+    specs = {"products": PRODUCTS}
+    plans.register(spark, analytical, specs)
+    plans.publish(spark, analytical, {"products": products}, specs)
+    broken = products.withColumn("name", F.expr("IF(product_id > 0, raise_error('broken'), name)"))
+    with pytest.raises(PySparkException, match="broken"):
+        plans.publish(spark, analytical, {"products": broken}, specs)
+    assert rows(scan_table(spark, analytical, "products")) == rows(products)
+
+
+def test_stale_rows_are_not_verified(spark, analytical, products):
+    specs = {"products": PRODUCTS}
+    plans.register(spark, analytical, specs)
+    written = plans.publish(spark, analytical, {"products": products}, specs)
+    sinks.overwrite(spark, analytical, "products", products.withColumn("name", F.upper("name")))
+    report = plans.verify(spark, analytical, written).first()
+    assert report["rows_written"] == report["rows_read"] == 10 and not report["verified"]
+
+
+def test_results_are_written_in_the_format_of_the_binding(spark, tmp_path, products):
+    binding = CatalogBinding("orc", "t_orc_results", str(tmp_path / "orc"), format="orc")
+    specs = {"products": PRODUCTS}
+    plans.register(spark, binding, specs)
+    written = plans.publish(spark, binding, {"products": products}, specs)
+    assert plans.verify(spark, binding, written).first()["verified"]
+    sinks.drop_namespace(spark, binding)
+
+
+def test_a_namespace_with_another_folder_is_a_conflict(spark, tmp_path):
+    first = CatalogBinding("a", "t_moved", str(tmp_path / "a"))
+    sinks.ensure_namespace(spark, first)
+    sinks.ensure_namespace(spark, first)
+    with pytest.raises(BindingConflict, match="t_moved"):
+        sinks.ensure_namespace(spark, CatalogBinding("b", "t_moved", str(tmp_path / "b")))
+    sinks.drop_namespace(spark, first)
+    sinks.ensure_namespace(spark, CatalogBinding("b", "t_moved", str(tmp_path / "b")))
+
+
+def test_history_of_a_binding_without_writes_is_empty(spark, operational):
+    assert commit_history(spark, operational, "products").collect() == []
+
+
+def test_a_table_made_after_a_reset_is_empty(spark, operational, products):
+    load(spark, operational, "products", products, PRODUCTS)
+    plans.reset(spark, [(operational, "products")])
+    sinks.create_table(spark, operational, "products", PRODUCTS)
+    assert scan_table(spark, operational, "products").count() == 0
+    assert sinks.append(spark, operational, "products", products) == 10
+    assert scan_table(spark, operational, "products").count() == 10
+
+
 def test_cross_catalog_copy_transforms(spark, operational, analytical, products):
     load(spark, operational, "products", products, PRODUCTS)
     for _ in range(2):
