@@ -28,7 +28,7 @@ MISMATCH = 2
 LEAST_SCORE = 12
 
 
-def _seeds(hashes: Column, keep: list[str]) -> tuple[Column, Column]:
+def _seeds(hashes: Column) -> tuple[Column, Column]:
     """(generator of windows, seeds of a window): to be applied one after the other."""
     count = F.size(hashes) - (SPAN - 1)
     shifted = [F.slice(hashes, k + 1, F.greatest(count, F.lit(0))).alias(f"w{k}") for k in range(SPAN)]
@@ -44,7 +44,7 @@ def _seeds(hashes: Column, keep: list[str]) -> tuple[Column, Column]:
 def _with_seeds(texts: DataFrame, key: str) -> DataFrame:
     """(key, at, seed) for every window and mask."""
     hashed = texts.select(key, F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
-    windows, seeds = _seeds(F.col("h"), [key])
+    windows, seeds = _seeds(F.col("h"))
     return hashed.select(key, windows).select(key, "at", seeds)
 
 
