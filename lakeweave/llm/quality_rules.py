@@ -1,13 +1,20 @@
 """Quality rules: base counts of words and lines, and compression bands.
 
 The text as a whole and its chunks of ``CHUNK`` bytes are compressed with zstandard. What
-compresses far better than prose is repetitive, what hardly compresses is no language. How
-well prose compresses depends on its length, so the limits are those of the length's band.
+compresses far better than the other documents is repetitive, what compresses far worse is no
+language. How well prose compresses depends on its length, so every band of length has limits
+of its own, one pair for whole texts and one for chunks: ``SPREADS`` robust spreads below and
+above the median share of all distinct texts or chunks of that length, where the spread of a
+side is taken from its quartile. The shares of all documents are counted by Spark in a
+histogram of bounded size. ``BANDS`` are outer limits, which hold in any case and alone where a
+band has fewer than ``LEAST_TEXTS`` different texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +26,17 @@ from lakeweave.llm.textbytes import SPACE, Texts, slices
 
 LEVEL = 3
 CHUNK = 4096
-# (bytes from which on the band holds, least and most compressed share of the text).
+# Outer limits: (bytes from which on the band holds, least and most compressed share of the text).
 BANDS = ((0, 0.0, 9.0), (512, 0.30, 0.80), (2048, 0.25, 0.72), (8192, 0.20, 0.66), (65_536, 0.15, 0.62))
+# Bands with limits of their own: from 2**k bytes to the next power of two.
+LEAST_BAND, MOST_BAND = 6, 26
+SPREADS, LEAST_SPREAD, LEAST_TEXTS = 4.0, 0.008, 50
+# Quartiles of a normal distribution lie so many standard deviations from its median.
+QUARTILE = 0.6745
+# The histogram has so many bins for each unit of the compressed share.
+BINS_PER_UNIT = 1000
 # Share of the chunks of a text that may lie outside the limits of a chunk's own band.
-BAD_CHUNKS = 0.5
+BAD_CHUNKS = 0.1
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 
@@ -85,24 +99,96 @@ def outside(size: int, packed: int, bands: Sequence[tuple[int, float, float]]) -
     return not least <= packed / size <= most
 
 
+def band_of(size: int) -> int:
+    """The band of length of a text of so many bytes."""
+    return min(max(size.bit_length() - 1, LEAST_BAND), MOST_BAND)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Least and most compressed share: the outer ones, and those of (is chunk, band of length)."""
+
+    outer: tuple[tuple[int, float, float], ...]
+    learned: dict[tuple[bool, int], tuple[float, float]]
+
+    def broken(self, size: int, packed: int, chunk: bool) -> bool:
+        """Whether a text or chunk of so many bytes, compressed to so many, breaks its limits."""
+        if not size:
+            return False
+        least, most = self.learned.get((chunk, band_of(size)), (0.0, np.inf))
+        return outside(size, packed, self.outer) or not least <= packed / size <= most
+
+
+def limits_of(bins: np.ndarray, counts: np.ndarray) -> tuple[float, float] | None:
+    """The limits that a histogram of compressed shares sets; none if it counts too few."""
+    order = np.argsort(bins)
+    upto = np.cumsum(counts[order])
+    if not len(upto) or upto[-1] < LEAST_TEXTS:
+        return None
+    low, middle, high = ((bins[order][np.searchsorted(upto, q * upto[-1])] + 0.5) / BINS_PER_UNIT for q in (0.25, 0.5, 0.75))
+    below, above = (max(d / QUARTILE, LEAST_SPREAD) for d in (middle - low, high - middle))
+    return middle - SPREADS * below, middle + SPREADS * above
+
+
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
+
+
+def _chunks(data: bytes) -> list[bytes]:
+    """The chunks of a text; none if it is a single one."""
+    return [data[j : j + CHUNK] for j in range(0, len(data), CHUNK)] if len(data) > CHUNK else []
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = _packer()
+    for batch in batches:
+        for _, texts in slices(batch.column(0)):
+            rows = []
+            for i in range(texts.size):
+                data = texts.bytes_of(i)
+                for chunk, part in ((False, data), *((True, c) for c in _chunks(data))):
+                    if part:
+                        key = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+                        rows.append((key, chunk, band_of(len(part)), len(packer.compress(part)) * BINS_PER_UNIT // len(part)))
+            if rows:
+                key, chunk, band, level = zip(*rows, strict=True)
+                columns = [pa.array(key, pa.int64()), pa.array(chunk), pa.array(band, pa.int32()), pa.array(level, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "chunk", "band", "bin"])
+
+
+def learn_limits(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS) -> Limits:
+    """Limits of every band, from the compressed shares of all texts and chunks of ``docs``.
+
+    Equal texts, and equal chunks, count once, so that one text in many copies does not make
+    the spread. The driver gets one row for each bin of each band.
+    """
+    each = docs.select("text").mapInArrow(_shares, "key long, chunk boolean, band int, bin int").distinct()
+    table = each.groupBy("chunk", "band", "bin").agg(F.count("*").alias("c")).collect()
+    learned = {}
+    for kind in {(r["chunk"], r["band"]) for r in table}:
+        rows = [r for r in table if (r["chunk"], r["band"]) == kind]
+        found = limits_of(np.array([r["bin"] for r in rows]), np.array([r["c"] for r in rows]))
+        if found:
+            learned[kind] = found
+    return Limits(tuple(bands), learned)
+
+
 class Rules:
-    """Counts and verdicts of texts under the limits of some bands."""
+    """Counts and verdicts of texts under some limits."""
 
-    def __init__(self, bands: Sequence[tuple[int, float, float]]) -> None:
-        self.bands = bands
-        self.packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
+    def __init__(self, limits: Limits) -> None:
+        self.limits = limits
+        self.packer = _packer()
 
     def bands_of(self, data: bytes) -> tuple[float, int, int, bool]:
         """(compressed share, chunks, chunks outside their limits, whether the text breaks the rule)."""
         if not data:
             return 0.0, 0, 0, False
         packed = len(self.packer.compress(data))
-        parts = [data[j : j + CHUNK] for j in range(0, len(data), CHUNK)]
-        bad = 0
-        if len(parts) > 1:
-            bad = sum(outside(len(p), len(self.packer.compress(p)), self.bands) for p in parts)
-        failed = outside(len(data), packed, self.bands) or bad > BAD_CHUNKS * len(parts)
-        return packed / len(data), len(parts), bad, failed
+        parts = _chunks(data)
+        bad = sum(self.limits.broken(len(p), len(self.packer.compress(p)), True) for p in parts)
+        failed = self.limits.broken(len(data), packed, False) or bad > BAD_CHUNKS * len(parts)
+        return packed / len(data), max(len(parts), 1), bad, failed
 
     def measure(self, texts: Texts) -> list[np.ndarray]:
         """The columns after ``doc_id``."""
@@ -117,9 +203,9 @@ class Rules:
         ]
 
 
-def _measured(bands: Sequence[tuple[int, float, float]]):
+def _measured(limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(bands)
+        rules = Rules(limits)
         for batch in batches:
             for row, texts in slices(batch.column(1)):
                 columns = [pa.array(c) for c in rules.measure(texts)]
@@ -128,9 +214,9 @@ def _measured(bands: Sequence[tuple[int, float, float]]):
     return run
 
 
-def _passing(bands: Sequence[tuple[int, float, float]], text: int):
+def _passing(limits: Limits, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(bands)
+        rules = Rules(limits)
         for batch in batches:
             for row, texts in slices(batch.column(text)):
                 n_words, *_, failed = found = rules.measure(texts)
@@ -142,7 +228,7 @@ def _passing(bands: Sequence[tuple[int, float, float]], text: int):
 
 def keep_good(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
-    return docs.mapInArrow(_passing(tuple(bands), docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(_passing(learn_limits(docs, bands), docs.columns.index("text")), docs.schema)
 
 
 def quality_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS) -> DataFrame:
@@ -151,9 +237,11 @@ def quality_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = B
     ``docs`` has ``doc_id`` and ``text``; other columns are not read. A null text counts as
     empty: no words, so the base rule fails and the document is not kept. Rows come back as
     often as they went in, whatever their ``doc_id``; an empty table gives an empty result.
-    One pass without a shuffle; a task holds one Arrow batch of texts.
+    One pass sets the limits, another measures; only hashes and shares of the first are
+    shuffled. A task holds one Arrow batch of texts.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured(tuple(bands)), _SCHEMA)
+    limits = learn_limits(docs, bands)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured(limits), _SCHEMA)
     repeats = F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT
     failed = (F.col("n_words") < LEAST_WORDS) | repeats
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("bands_failed"))

@@ -1,6 +1,6 @@
 import random
 
-from lakeweave.llm.quality_rules import keep_good, outside, quality_rules
+from lakeweave.llm.quality_rules import CHUNK, keep_good, learn_limits, outside, quality_rules
 
 from . import brute
 from .conftest import sentence
@@ -50,3 +50,30 @@ def test_edge_rows_and_filter(make_docs, edge_rows, corpus):
     assert kept.schema == docs.schema
     expected = quality_rules(docs).where("kept").select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in expected)
+
+
+def test_limits_follow_the_documents(make_docs):
+    """Texts and chunks that the outer limits allow, but that are unlike all others of their length."""
+    rng = random.Random(7)
+    prose = {i: sentence(rng, 58, 100_000) for i in range(80)}
+    long = {100 + i: sentence(rng, 3000, 100_000) for i in range(60)}
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(60))
+    dull = " ".join(rng.choice(["na", "no"]) + rng.choice(["nana", "nono"]) for _ in range(60))
+    # A quarter of its chunks are dull, fewer than half.
+    part = " ".join(f"{'na' * 40}{i % 97}{i % 89}" for i in range(50))
+    mixed = long[100][: 3 * CHUNK] + " " + part[:CHUNK] + " " + long[101][: 3 * CHUNK]
+    docs = make_docs([*prose.items(), *long.items(), (200, noise), (201, dull), (202, mixed)])
+    assert {(False, 8), (True, 12)} <= learn_limits(docs).learned.keys()
+    found = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert not [found[i] for i in [*prose, *long] if not found[i]["kept"]]
+    assert found[200]["n_bytes"] < 512 and found[200]["bands_failed"]
+    assert found[201]["n_bytes"] < 512 and found[201]["bands_failed"]
+    assert found[202]["n_bad_chunks"] >= 1 and found[202]["bands_failed"]
+
+
+def test_copies_of_one_text_do_not_set_the_limits(make_docs):
+    rng = random.Random(9)
+    prose = {i: sentence(rng, 58, 100_000) for i in range(80)}
+    alone = learn_limits(make_docs(prose.items()))
+    assert learn_limits(make_docs([*prose.items(), *((1000 + i, prose[0]) for i in range(500))])) == alone
