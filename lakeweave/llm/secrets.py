@@ -1,6 +1,9 @@
 """Secrets in texts: patterns, and a battery of randomness tests for what no pattern names.
 
-Long runs of characters that encodings use are candidates. The encoding is inferred (hex,
+Long runs of characters that encodings use are candidates; ``=`` ends a run, as padding or as
+the sign between a name and its value. A run that mixes the symbols of base64 with those of
+its variant for addresses is no string of either: its longest pieces that are one are tested
+instead, and may overlap. The encoding is inferred (hex,
 base32, base64), and under the hypothesis that its symbols are drawn at random three tests
 are made: chi-squared of the symbol counts, the number of runs above and below the middle
 of the alphabet, and the correlation of neighbours. The smallest p-value, times three, is the
@@ -33,7 +36,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 
 LEAST_LENGTH = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+# Padding belongs to a run only where no symbol follows it.
+PADDING = r"(?:=++(?![A-Za-z0-9+/_-]))?+"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{20,}}+{PADDING}"
+PIECES = tuple(rf"(?<![{of}])[{of}]{{20,}}+{PADDING}" for of in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 # Name, the strings it fits (padding aside) and its alphabet; the first that fits is taken.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -96,6 +102,18 @@ def battery(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.least(3 * F.least(*tests), F.lit(1.0))).drop("body", "alphabet", "x", "k", "n")
 
 
+def pieces() -> Column:
+    """What to test of a run (start, end, value): the whole if one encoding fits it, or its pieces."""
+    value, start = F.col("value"), F.col("start")
+    whole = F.array(F.struct("start", "end", "value"))
+    parts = F.concat(*[matches(value, pattern, F.lit(True)) for pattern in PIECES])
+    moved = F.transform(
+        parts,
+        lambda m: F.struct((start + m["start"]).alias("start"), (start + m["end"]).alias("end"), m["value"].alias("value")),
+    )
+    return F.when(value.rlike("[+/]") & value.rlike("[_-]"), moved).otherwise(whole)
+
+
 def discarded(tested: DataFrame) -> DataFrame:
     """(band, cut): bins from ``cut`` on are not random, by Benjamini-Hochberg within the band."""
     counts = tested.groupBy("band", "bin").agg(F.count("*").alias("c"))
@@ -124,6 +142,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     )
     rows = scratch.save(rows, "spans")
     each = rows.where(F.size("candidates") > 0).select("row_key", "base", F.explode("candidates").alias("c"))
+    each = each.select("row_key", "base", "c.*").select("row_key", "base", F.explode(pieces()).alias("c"))
     free = ~F.exists("base", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
     each = each.where(free).select("row_key", "c.*").distinct()
     # Bands of length: powers of the square root of two, so that strings of like power are compared.

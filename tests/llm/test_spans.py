@@ -81,6 +81,26 @@ def test_unnamed_random_strings_are_secrets_and_words_are_not(make_docs):
     assert all(r["spans"] == "" for i, r in found.items() if i != 1)
 
 
+def test_random_values_after_a_name_and_in_mixed_runs_are_secrets(make_docs):
+    rng = random.Random(6)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    padded = base64.b64encode(rng.randbytes(31)).decode()
+    texts = {
+        1: "SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENGbPxRfiCY", 2: f"sig={padded} end", 3: f"DB_KEY={key}", 4: f"a-b_c/{key}",
+        5: f"x=https://a.example/some_path-to?sig={padded}&next=1", 6: f"{key}+/+{key[::-1]}-_-{key.swapcase()}", 7: f"{padded}==",
+    }
+    docs = make_docs([*texts.items(), *((10 + i, "internationalization=" + "ness" * (i % 7)) for i in range(50))])
+    found = find_secrets(docs)
+    rows = {r["doc_id"]: r for r in found.collect()}
+    spans = {i: [tuple(map(int, s.split(":")[1:])) for s in rows[i]["spans"].split(",")] for i in texts}
+    parts = {i: [texts[i][a:b] for a, b in spans[i]] for i in texts}
+    assert parts[1] == ["wJalrXUtnFEMI/K7MDENGbPxRfiCY"] and parts[2] == [padded] and parts[3] == [key]
+    assert key in "".join(parts[4]) and parts[5] == [padded] and parts[7] == [padded + "=="]
+    assert all(rows[10 + i]["spans"] == "" for i in range(50))
+    clean = {r["doc_id"]: r["text"] for r in redact(docs, found).collect()}
+    assert clean[2] == "sig=[SECRET] end" and not any(k in clean[6] for k in (key, key[::-1], key.swapcase()))
+
+
 def test_redaction(make_docs):
     rows = [(1, "a token = \"" + "deadbeef" * 4 + "\" z"), (2, "nothing"), (3, None), (None, "password=abcdefg!")]
     docs = make_docs(rows).withColumn("n_chars", F.length("text").cast("long"))
