@@ -1,12 +1,18 @@
 """Scores of texts under a log-bilinear language model and under smoothed word counts.
 
-Counts of all words of all training texts are tables. The most frequent words are the model's
-vocabulary; the rest is one symbol, ``OTHER``, which is split by the counts. The model predicts
-a word from the one before: the context's vector is mapped by a matrix, and its products with
-all word vectors, plus a bias for each word, are the log-weights. It is trained in numpy by noise-contrastive
-estimation on the counts of all pairs of neighbours in the training texts, which the tasks sum up: at
-most ``MODEL_WORDS`` squared numbers. One matrix product then gives the log-probabilities of
-every word after every other, normalised over the vocabulary; tasks look their tokens up in them.
+Counts of all words of all training texts are tables. The most frequent words are symbols of
+the model; every other word belongs to one of some classes, which are symbols too. The class of a
+word follows from its last two bytes; endings are dealt to classes by the tokens they cover. The
+model predicts a symbol from the one before: the context's vector is mapped by a matrix, and its
+products with all vectors, plus a bias for each symbol, are the log-weights. A word of a class has
+the probability of the class in its context times its smoothed share of the class in the full
+count table. So every token is predicted and is a context.
+
+The model is trained in numpy by noise-contrastive estimation on the counts of all pairs of
+neighbours in the training texts, which the tasks sum up: at most ``MODEL_WORDS`` squared numbers.
+Each of ``PASSES`` passes takes the exact gradient over all these counts, and over all noise
+symbols by their expectation; nothing is drawn. One matrix product then gives the log-probabilities
+of every symbol after every other, normalised; tasks look their tokens up in them.
 
 Words are known by 64-bit hashes. Counts of ``HEAD_WORDS`` frequent words go to every task; the
 rest, rare words all of them, are joined by shuffle.
@@ -14,8 +20,9 @@ rest, rare words all of them, are joined by shuffle.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,12 @@ from lakeweave.llm.textbytes import Texts, slices
 
 HEAD_WORDS = 131_072
 MODEL_WORDS = 2_048
-DIMENSIONS, NOISE, BATCH, STEPS, RATE = 32, 64, 4_096, 600, 0.1
+# One symbol in so many is a class of words.
+CLASS_SHARE = 4
+DIMENSIONS, NOISE, PASSES, RATE = 32, 64, 300, 0.1
+# Rows of the pair matrix that a pass works on at once.
+BLOCK = 256
+ENDINGS = 1 << 16
 # Distinct words a task gathers before it passes their counts on.
 MOST_COUNTS = 1_000_000
 
@@ -37,49 +49,74 @@ END = np.uint64(0x5DEECE66D1234567)
 END_ID = 0
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+def endings(texts: Texts) -> np.ndarray:
+    """The last two bytes of every word as a number; a word of one byte has its byte."""
+    last = texts.buf[texts.ends - 1].astype(np.int64)
+    return last | np.where(texts.ends - texts.starts > 1, texts.buf[texts.ends - 2].astype(np.int64) << 8, 0)
+
+
+def _merged(keys: list[np.ndarray], ends: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    found, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return [found, np.concatenate(ends)[first], np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)]
 
 
 def _rows(keys: np.ndarray, counts: np.ndarray, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=[name, "c"])
 
 
+def _words(keys: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(keys.view(np.int64)), pa.array(ends.astype(np.int32)), pa.array(counts)]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "ending", "c"])
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, texts_seen, size = [], [], 0, 0
+    parts, texts_seen, size = [], 0, 0
     for batch in batches:
         for _, texts in slices(batch.column(0), lower=True):
             with np.errstate(over="ignore"):
-                k, c = np.unique(texts.word_hashes(), return_counts=True)
-            keys.append(k)
-            counts.append(c)
+                k, first, c = np.unique(texts.word_hashes(), return_index=True, return_counts=True)
+            parts.append([k, endings(texts)[first], c])
             texts_seen += texts.size
             size += len(k)
             if size > MOST_COUNTS:
-                k, c = _merged(keys, counts)
-                keys, counts, size = [k], [c], len(k)
+                parts = [_merged(*zip(*parts, strict=True))]
+                size = len(parts[0][0])
                 if size > MOST_COUNTS // 2:
-                    yield _rows(k, c, "word")
-                    keys, counts, size = [], [], 0
-    if keys:
-        yield _rows(*_merged(keys, counts), "word")
+                    yield _words(*parts[0])
+                    parts, size = [], 0
+    if parts:
+        yield _words(*_merged(*zip(*parts, strict=True)))
     if texts_seen:
-        yield _rows(np.array([END]), np.array([texts_seen]), "word")
+        yield _words(np.array([END]), np.array([0]), np.array([texts_seen]))
+
+
+def classes_of(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The class of every ending, from the tokens of each outside the model's words.
+
+    Endings go by decreasing tokens to the class that has fewest, so frequent ones stand alone.
+    """
+    out = np.arange(len(tokens)) % size
+    load = [(0, k) for k in range(size)]
+    for e in sorted(np.flatnonzero(tokens), key=lambda e: (-tokens[e], e)):
+        n, k = heapq.heappop(load)
+        out[e] = k
+        heapq.heappush(load, (n + int(tokens[e]), k))
+    return out
 
 
 @dataclass
 class Vocabulary:
-    """Frequent words: sorted hashes, their counts, and ids in the model (``other`` if none)."""
+    """Frequent words: sorted hashes, their counts, and whether they are among the model's words.
+
+    Symbols below ``n_words`` are words, the others classes; ``classes`` has the class of each ending.
+    """
 
     words: np.ndarray
     counts: np.ndarray
     ids: np.ndarray
+    n_words: int
     size: int
-
-    @property
-    def other(self) -> int:
-        return self.size - 1
+    classes: np.ndarray
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, size: int) -> Vocabulary:
@@ -87,17 +124,22 @@ class Vocabulary:
         is_end = words == END
         words = np.concatenate(([END], words[~is_end]))
         counts = np.concatenate((counts[is_end] if is_end.any() else [0], counts[~is_end])).astype(np.int64)
-        size = min(size, len(words) + 1)
-        ids = np.minimum(np.arange(len(words)), size - 1)
+        n_classes = max(size // CLASS_SHARE, 1)
+        n_words = min(size - n_classes, len(words))
         order = np.argsort(words)
-        return cls(words[order], counts[order], ids[order], size)
+        none = np.zeros(ENDINGS, np.int64)
+        return cls(words[order], counts[order], np.arange(len(words))[order], n_words, n_words + n_classes, none)
+
+    def model_words(self) -> np.ndarray:
+        return self.words[self.ids < self.n_words]
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether among the words, count, id) of each hash."""
+    def find(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether among the words, count, symbol) of each hash and ending."""
         at = np.searchsorted(self.words, h)
         at[at == len(self.words)] = 0
         known = self.words[at] == h
-        return known, np.where(known, self.counts[at], 0), np.where(known, self.ids[at], self.other)
+        own = known & (self.ids[at] < self.n_words)
+        return known, np.where(known, self.counts[at], 0), np.where(own, self.ids[at], self.n_words + self.classes[ends])
 
 
 def neighbours(texts: Texts, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +160,7 @@ def _pair_counts(vocabulary):
         for batch in batches:
             for _, texts in slices(batch.column(0), lower=True):
                 with np.errstate(over="ignore"):
-                    ids = v.find(texts.word_hashes())[2]
+                    ids = v.find(texts.word_hashes(), endings(texts))[2]
                 before, here, last, end = neighbours(texts, ids)
                 codes = np.concatenate((before * v.size + here, last * v.size + end))
                 total += np.bincount(codes, minlength=len(total))
@@ -129,43 +171,43 @@ def _pair_counts(vocabulary):
     return run
 
 
-def train(pairs: np.ndarray, counts: np.ndarray, size: int, steps: int = STEPS) -> np.ndarray:
+def train(pairs: np.ndarray, counts: np.ndarray, size: int, steps: int = PASSES) -> np.ndarray:
     """Log-probabilities (base 10) of every symbol after every other, from counts of pairs.
 
-    Noise-contrastive estimation: each pair drawn from the counts is told from ``NOISE`` symbols
-    drawn from the symbol frequencies, which a batch shares. AdaGrad steps; the seed is fixed.
+    Noise-contrastive estimation: each pair is told from ``NOISE`` symbols with the symbol
+    frequencies. Each of ``steps`` passes takes all pairs with their counts and the expectation
+    over the noise. AdaGrad steps; the seed is fixed.
     """
     rng = np.random.default_rng(4)
     unigram = np.bincount(pairs % size, counts, size) + 1.0
     unigram /= unigram.sum()
-    log_noise = np.log(NOISE * unigram)
+    log_noise = np.log(NOISE * unigram).astype(np.float32)
+    noise = (NOISE * unigram).astype(np.float32)
     vectors = rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32)
     mapping = np.eye(DIMENSIONS, dtype=np.float32)
     bias = np.log(unigram).astype(np.float32)
-    seen = [np.full(p.shape, 1e-2, np.float32) for p in (vectors, mapping, bias)]
-    drawn_upto, noise_upto = np.cumsum(counts) if len(counts) else None, np.cumsum(unigram)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    seen = [np.full(p.shape, 1e-20, np.float32) for p in (vectors, mapping, bias)]
+    share = np.zeros(size * size, np.float32)
+    if len(counts):
+        share[pairs] = counts / counts.sum()
+    share = share.reshape(size, size)
+    context_share = share.sum(1, keepdims=True)
     for _ in range(steps if len(counts) else 0):
-        at = np.searchsorted(drawn_upto, rng.random(BATCH) * drawn_upto[-1], "right")
-        before, here = np.divmod(pairs[np.minimum(at, len(pairs) - 1)], size)
-        noise = np.minimum(np.searchsorted(noise_upto, rng.random(NOISE) * noise_upto[-1]), size - 1)
-        context = vectors[before]
-        query = context @ mapping
-        g_here = (1 - sigmoid((query * vectors[here]).sum(1) + bias[here] - log_noise[here])).astype(np.float32)
-        g_noise = -sigmoid(query @ vectors[noise].T + bias[noise] - log_noise[noise]).astype(np.float32)
-        g_query = g_here[:, None] * vectors[here] + g_noise @ vectors[noise]
         gradient = [np.zeros_like(p) for p in (vectors, mapping, bias)]
-        for d in range(DIMENSIONS):
-            gradient[0][:, d] += np.bincount(here, g_here * query[:, d], size)
-        np.add.at(gradient[0], noise, g_noise.T @ query)
-        back = g_query @ mapping.T
-        for d in range(DIMENSIONS):
-            gradient[0][:, d] += np.bincount(before, back[:, d], size)
-        gradient[1] += context.T @ g_query
-        gradient[2] += np.bincount(here, g_here, size)
-        np.add.at(gradient[2], noise, g_noise.sum(0))
+        query = vectors @ mapping
+        back = np.empty_like(vectors)
+        for k in range(0, size, BLOCK):
+            rows = slice(k, k + BLOCK)
+            z = query[rows] @ vectors.T
+            z += bias - log_noise
+            is_pair = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            error = share[rows] * (1 - is_pair) - context_share[rows] * noise * is_pair
+            gradient[0] += error.T @ query[rows]
+            back[rows] = error @ vectors
+            gradient[2] += error.sum(0)
+        gradient[0] += back @ mapping.T
+        gradient[1] += vectors.T @ back
         for p, g, s in zip((vectors, mapping, bias), gradient, seen, strict=True):
-            g /= BATCH
             s += g * g
             p += RATE * g / np.sqrt(s)
     weights = (vectors.astype(np.float64) @ mapping) @ vectors.T + bias
@@ -179,26 +221,29 @@ _SCORES = (
 )
 
 
-def _scores(vocabulary, table, all_upto: float, other_upto: float):
+def _scores(vocabulary, table, all_upto: float, class_upto: np.ndarray):
     """Sums over the tokens whose counts are at hand, and the hashes of the others.
 
-    ``all_upto`` and ``other_upto`` are the totals that smoothed counts of all words and of the
-    words outside the model are divided by.
+    ``all_upto`` and ``class_upto`` are the totals that smoothed counts of all words and of the
+    words of each class are divided by.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, log_p = Vocabulary(*vocabulary.value), table.value
-        end_known, end_count, _ = v.find(np.array([END]))
+        _, end_count, _ = v.find(np.array([END]), np.array([0]))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for start, texts in slices(batch.column(1), lower=True):
                 with np.errstate(over="ignore"):
                     h = texts.word_hashes()
-                known, counts, ids = v.find(h)
+                known, counts, ids = v.find(h, endings(texts))
                 before, here, last, end = neighbours(texts, ids)
                 base = np.where(known, np.log10((counts + 1) / all_upto), 0.0)
                 model = log_p[before, here].astype(np.float64)
-                model += np.where(known & (ids == v.other), np.log10((counts + 1) / other_upto), 0.0)
+                # Counts of rare words, which are all in a class, come from the table later.
+                in_class = ids >= v.n_words
+                model -= np.where(in_class, np.log10(class_upto[np.maximum(ids - v.n_words, 0)]), 0.0)
+                model += np.where(in_class & known, np.log10(counts + 1), 0.0)
                 bounds = texts.first_word
 
                 def by_text(values: np.ndarray, bounds: np.ndarray = bounds) -> np.ndarray:
@@ -236,7 +281,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, model_words: in
     without an id, which are not held out either.
 
     Null and empty texts are an end token. Rows come back, and count, as often as they went in.
-    Without training rows the counts are 0 and the model knows its two symbols only.
+    Without training rows the counts are 0 and the model knows the end and its classes only.
     """
     scratch = Scratch(docs.sparkSession)
     context = docs.sparkSession.sparkContext
@@ -244,21 +289,29 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, model_words: in
     held_out = F.coalesce(remainder_is_held(), F.lit(False)) if held_out is None else held_out
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = docs.where(folds).select("text")
-    counts = training.mapInArrow(_word_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = training.mapInArrow(_word_counts, "word long, ending int, c long")
+    counts = counts.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
     counts = scratch.save(counts, "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     head = counts.orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # at most head_words rows of two numbers
     vocabulary = Vocabulary.of(head["word"].to_numpy().view(np.uint64), head["c"].to_numpy(), model_words)
-    in_model = vocabulary.ids < vocabulary.other
-    other_n, other_v = n - int(vocabulary.counts[in_model].sum()), max(v - int(in_model.sum()), 0)
-
-    shared = context.broadcast((vocabulary.words, vocabulary.counts, vocabulary.ids, vocabulary.size))
+    own = docs.sparkSession.createDataFrame([(int(w),) for w in vocabulary.model_words().view(np.int64)], "word long")
+    others = counts.join(F.broadcast(own), "word", "left_anti").groupBy("ending")
+    others = others.agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # at most ENDINGS rows
+    tokens, words = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+    tokens[others["ending"].to_numpy()] = others["n"].to_numpy()
+    words[others["ending"].to_numpy()] = others["v"].to_numpy()
+    n_classes = vocabulary.size - vocabulary.n_words
+    vocabulary.classes = classes_of(tokens, n_classes)
+    class_upto = np.bincount(vocabulary.classes, tokens + words, n_classes) + 1.0
+
+    shared = context.broadcast(tuple(getattr(vocabulary, f.name) for f in fields(vocabulary)))
     pairs = training.mapInArrow(_pair_counts(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
     pairs = pairs.toArrow().sort_by("pair")  # at most model_words squared rows of two numbers
     table = train(pairs["pair"].to_numpy(), pairs["c"].to_numpy().astype(np.float64), vocabulary.size)
-    all_upto, other_upto = float(n + v + 1), float(other_n + other_v + 1)
-    rows = docs.mapInArrow(_scores(shared, context.broadcast(table), all_upto, other_upto), _SCORES)
+    all_upto = float(n + v + 1)
+    rows = docs.mapInArrow(_scores(shared, context.broadcast(table), all_upto, class_upto), _SCORES)
     rows = scratch.save(rows, "rows")
 
     rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word")
@@ -271,7 +324,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, model_words: in
         (F.col("n_known") + found).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_rare") * float(np.log10(all_upto))).alias("base_score"),
-        (F.col("model") + logs - F.col("n_rare") * float(np.log10(other_upto))).alias("score"),
+        (F.col("model") + logs).alias("score"),
     )
 
 

@@ -53,6 +53,22 @@ def test_model_is_normalised_and_learns_what_follows_what():
     assert learned > (train(pairs, counts, size, steps=0).ravel() * counts).sum() / counts.sum() + 0.3
 
 
+def test_words_outside_the_model_are_predicted_by_class(make_docs):
+    """Rare words of two endings that depend on the word before, as words and as contexts."""
+    rng = random.Random(12)
+    held = {i for i in range(400) if fold(i, 7) == 2}
+    rows = []
+    for i in range(400):
+        pairs = [(f"lead{k}", f"r{rng.randrange(10**6)}{'ing' if k else 'est'}", f"tail{k}") for k in rng.choices((0, 1), k=30)]
+        # The same words with the endings of the other kind: as likely by their counts alone.
+        if i in held and i % 2:
+            pairs = [(a, b[:-3] + ("est" if b.endswith("ing") else "ing"), c) for a, b, c in pairs]
+        rows.append((i, " ".join(" ".join(p) for p in pairs)))
+    found = [r for r in score_texts(make_docs(rows), model_words=40).collect() if r["held_out"]]
+    per_token = {odd: [r["score"] / r["n_tokens"] for r in found if r["doc_id"] % 2 == odd] for odd in (0, 1)}
+    assert min(per_token[0]) > max(per_token[1]) + 0.1
+
+
 def test_language_model_of_an_empty_table(make_docs):
     assert score_texts(make_docs([])).collect() == []
     only_held_out = next(i for i in range(100) if fold(i, 7) == 2)
