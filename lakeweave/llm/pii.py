@@ -15,7 +15,7 @@ its mean is low, so it promotes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.llm.shared import Scratch
@@ -33,6 +33,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # A token without blanks that holds a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# Tokens with digits in a row, joined by blanks as phones, cards and account numbers are; one group
+# of capitals may lie between two of them. A longer row than 16 is cut: it is a table of numbers.
+GROUP = r"[^\x20\x09-\x0D0-9@]*+[0-9][^\x20\x09-\x0D@]*+(?![^\x20\x09-\x0D])"
+RUN = rf"(?<![^\x20\x09-\x0D]){GROUP}(?:(?<=[A-Za-z0-9)/-])\x20++(?:[A-Z]{{1,4}}\x20++)?{GROUP}){{1,15}}+"
+# Shorter numbers stand for different things in different places: they count by place.
 LEAST_DIGITS = 6
 # Code points looked at on either side of a span for its context.
 CONTEXT = 80
@@ -108,15 +113,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     ``docs`` has ``doc_id`` and ``text``; other columns are not read. Null counts as an empty
     text, which has no spans. Rows come back as often as they went in, whatever their id (null
-    too); an empty table gives no rows. Candidates are tokens with ``LEAST_DIGITS`` digits or
-    an at sign that overlap no base span. Texts with the same id and text share their result.
+    too); an empty table gives no rows. Candidates are tokens with a digit or an at sign, and
+    runs of tokens with digits joined by blanks, that overlap no base span; of spans that lie in
+    each other the longest is listed. One with fewer than ``LEAST_DIGITS`` digits and no at sign is
+    an instance of its own in every context. Texts with the same id and text share their result.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.filter(
-        matches(text, TOKEN, F.lit(True)),
-        lambda m: m["value"].contains("@") | (F.length(_digits(m["value"])) >= LEAST_DIGITS),
-    )
+    tokens = F.array_distinct(F.concat(matches(text, RUN, text.rlike("[0-9]")), matches(text, TOKEN, F.lit(True))))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
@@ -124,13 +128,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
         base_spans(text).alias("base"),
         tokens.alias("tokens"),
     )
-    place = lambda s, seed: F.struct(
-        s["start"].alias("start"),
-        s["end"].alias("end"),
-        F.xxhash64(F.lower(s["value"])).alias("instance"),
-        F.lit(seed).alias("seed"),
-        _contexts(F.col("text"), s["start"], s["end"]).alias("patterns"),
-    )
+
+    def place(s: Column, seed: int) -> Column:
+        patterns = _contexts(F.col("text"), s["start"], s["end"])
+        lasting = F.lit(seed == 1) | s["value"].contains("@") | (F.length(_digits(s["value"])) >= LEAST_DIGITS)
+        instance = F.when(lasting, F.xxhash64(F.lower(s["value"]))).otherwise(F.xxhash64(F.lower(s["value"]), patterns))
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), instance.alias("instance"), F.lit(seed).alias("seed"),
+            patterns.alias("patterns"),
+        )
+
     free = F.filter(
         "tokens", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     )
@@ -139,5 +146,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = rows.where(F.size("places") > 0).select("row_key", F.explode("places").alias("p")).select("row_key", "p.*")
     graph = found.select(F.explode("patterns").alias("pattern"), "instance", "seed")
     scores = _scores(scratch, graph).where(F.col("score") >= LEAST_SCORE)
-    extra = found.where("seed = 0").join(scores, "instance").select("row_key", "start", "end")
+    extra = found.where("seed = 0").join(scores, "instance").select("row_key", "start", "end").distinct()
+    # Spans lie in each other or apart: one is within another if an earlier or equal start ends no sooner.
+    before = Window.partitionBy("row_key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    extra = extra.withColumn("upto", F.max("end").over(before)).where("upto IS NULL OR end > upto").drop("upto")
     return digest(rows.select("doc_id", "row_key", "base"), extra, KINDS, FOUND)

@@ -121,6 +121,17 @@ def test_contexts_of_seeds_find_unseen_identifiers(make_docs):
     assert all(r["n_context"] == 0 for i, r in found.items() if i < 100)
 
 
+def test_identifiers_in_groups_and_short_ones_are_found_whole(make_docs):
+    forms = ["017 555 7713", "(017) 555-77 13", "(017) 555-7713", "4111 1111 1111 1112", "GB29 NWBK 6016 1331 9268 19", "AB-123", "ID-99887766"]
+    rows = [(i, f"filler{i} please contact user{i}@example{i}.org today ok") for i in range(40)]
+    rows += [(100 + k, f"you may please contact {form} today ok") for k, form in enumerate(forms)]
+    rows += [(200, "the part AB-123 is sold out"), (201, "in march 2020 we had 5 people")]
+    found = {r["doc_id"]: r for r in find_pii(make_docs(rows)).collect()}
+    for k, form in enumerate(forms):
+        assert found[100 + k]["spans"] == f"context:23:{23 + len(form)}", form
+    assert found[200]["spans"] == "" and found[201]["spans"] == ""
+
+
 def test_a_pattern_of_few_instances_says_nothing(make_docs):
     few = pii.LEAST_INSTANCES - 2
     rows = [(i, f"please contact user{i}@example.org today") for i in range(few)]
