@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lakeweave.llm import quality_model
+from lakeweave.llm.labelled import sample_texts
 from lakeweave.llm.language_model import score_texts, train
 from lakeweave.llm.quality_model import score_quality
 from lakeweave.llm.toxicity import dictionaries, plain, score_toxicity, windows
@@ -156,3 +157,10 @@ def test_trees_find_the_cut():
     assert tree[0] == tree[1] < 0 < tree[2] == tree[3]
     gain, table = quality_model.quadrant_tree(np.array([[9.0, -9], [-9, 9]]), np.ones((2, 2)), np.ones((2, 2)) * 100)
     assert gain > 0 and table[0, 0] > 0 > table[0, 1]
+
+
+def test_a_long_text_does_not_empty_the_sample(spark, make_docs):
+    rows = [(i, "short text" if i % 5 else "long " * 50_000) for i in range(20)]
+    chosen = spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, y int")
+    found = sample_texts(make_docs(rows), chosen, 100_000)
+    assert len(found) == 20 and sum(len(t) for _, t in found) <= 100_000
