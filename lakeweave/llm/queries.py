@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeweave.llm.decontaminate import contaminated
 from lakeweave.llm.language_model import score_texts
+from lakeweave.llm.letter_runs import letter_words
 from lakeweave.llm.near_dedup import near_duplicates
 from lakeweave.llm.packing import best_fit_packing, word_counts
+from lakeweave.llm.periodic_runs import periodic_runs
 from lakeweave.llm.pii import find_pii
 from lakeweave.llm.quality_model import score_quality
 from lakeweave.llm.quality_rules import quality_rules
 from lakeweave.llm.secrets import find_secrets
+from lakeweave.llm.spelling import spelling_variants
+from lakeweave.llm.token_counts import VOCABULARY, token_counts
 from lakeweave.llm.token_output import packed_tokens
 from lakeweave.llm.toxicity import score_toxicity
+from lakeweave.llm.words import words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +67,45 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(letter_words(table(spark, sf_dir, "documents"), least=5, lost=97).where("n >= 3"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by a hash of its id, repeats some of its words up to its end by a rule."""
+    h, w = F.crc32(F.col("doc_id").cast("string").cast("binary")), words(F.col("text"))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    planted = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, w))
+    planted = planted.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    left = n - F.col("a")
+    planted = planted.withColumn("p", (1 + F.floor(left / (3 + g % 8))).cast("int"))
+    block = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(left / F.col("p")).cast("int"))), 1, left)
+    text = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), tail)
+    return planted.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    order = lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = found.withColumn("best", F.array_max(F.transform("runs", order)))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.l").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.l div -best.p").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_decontamination": op2_decontamination,
@@ -71,4 +117,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_counts": op12_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }

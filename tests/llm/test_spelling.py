@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+import __spark_entry__ as contract
+from lakeweave.llm.letter_runs import letter_words
+from lakeweave.llm.spelling import common_prefix, spelling_variants, within_one_edit
+from tests import oracle
+
+from . import brute
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def expected(n: dict[str, int]) -> set[tuple]:
+    near = {w: [v for v in n if abs(len(v) - len(w)) < 2 and distance(v, w) == 1] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+    out = set()
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.add((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return out
+
+
+def answer(df) -> list[tuple]:
+    return [tuple(r) for r in df.select("word", "form", "root", "n", "n_near", "form_n").collect()]
+
+
+@pytest.fixture
+def vocabulary(spark):
+    def make(rows):
+        return spark.createDataFrame([(w, n, "x", "y") for w, n in rows], "word string, n long, near string, key string")
+
+    return make
+
+
+def test_scan_of_a_sorted_list():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = sorted({"".join(rng.choices("ab\x00é", k=rng.randint(0, 5))) for _ in range(rng.randint(1, 25))})
+        lcps = [0, *(common_prefix(a, b) for a, b in zip(words, words[1:]))]
+        for query in words:
+            assert within_one_edit(query, words, lcps) == [k for k, w in enumerate(words) if distance(query, w) <= 1]
+
+
+@pytest.mark.parametrize("largest", [1, 7, 1000])
+def test_equals_brute_force_whatever_the_buckets(vocabulary, largest):
+    rng = random.Random(largest)
+    words = {"".join(rng.choices("abcé", k=rng.randint(1, 7))) for _ in range(500)}
+    words |= {"a" * k for k in range(1, 12)} | {"ab" * 30, "ab" * 30 + "a", "ba" * 30}
+    n = {w: int(rng.paretovariate(0.7)) for w in sorted(words)}
+    got = answer(spelling_variants(vocabulary(n.items()), largest))
+    assert len(got) == len(n)
+    assert set(got) == expected(n)
+
+
+def test_a_third_of_the_words_in_one_bucket(vocabulary):
+    """Words that share their first half; the bucket is dealt out again, and no pair is lost."""
+    n = {f"prefix{a}{b}{c}": 1 + i for i, a in enumerate("abcdefgh") for b in "abcdefgh" for c in "abc"}
+    n |= {f"{a}{b}suffix": 7 for a in "xyzuv" for b in "xyzuv"}
+    assert set(answer(spelling_variants(vocabulary(n.items()), 10))) == expected(n)
+
+
+def test_edge_rows(vocabulary):
+    rows = [(None, 5), ("", 5), ("word", 2), ("word", 3), ("words", 10), ("ward", 10), ("zero", 0), ("none", None), ("x", 1)]
+    rows += [("lång" * 20_000, 1), ("lang" + "lång" * 19_999, 2)]
+    got = {r[0]: r[1:] for r in answer(spelling_variants(vocabulary(rows)))}
+    assert got.pop("lång" * 20_000) == ("lang" + "lång" * 19_999,) * 2 + (1, 1, 2)
+    assert got.pop("lang" + "lång" * 19_999)[0] is None
+    assert got == {
+        "word": ("ward", "ward", 5, 2, 10), "words": (None, "words", 10, 1, None), "ward": (None, "ward", 10, 1, None),
+        "x": (None, "x", 1, 0, None),
+    }
+
+
+def test_empty_table(vocabulary):
+    assert answer(spelling_variants(vocabulary([]))) == []
+
+
+def letter_counts(rows, least: int, lost: int | None) -> Counter:
+    out = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(brute.UPPER)
+            h = zlib.crc32(f"{doc_id}:{run}".encode())
+            if lost and doc_id is not None and h % lost == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least:
+                out[run] += 1
+    return out
+
+
+@pytest.mark.parametrize(("least", "lost"), [(1, None), (1, 3), (5, 7)])
+def test_words_equal_brute_force(make_docs, corpus, edge_rows, least, lost):
+    rows = [*corpus.items(), *edge_rows, (90, "École ÉCOLE naïve×÷ ÿ" + "é" * 300), (91, "A" * 70 + " " + "B" * 64)]
+    rows += [(i, f"some words of number{i} and Straße à la carte\x00Ω") for i in range(300)]
+    got = letter_words(make_docs(rows), least, lost).collect()
+    counts = letter_counts(rows, least, lost)
+    counts.pop("", None)
+    assert {r["word"]: r["n"] for r in got if r["word"]} == counts
+    assert len(got) == len({r["word"] for r in got})
+
+
+def test_query_equals_sql(spark, sf_dir):
+    name = "op11_spelling_variants"
+    columns, rows = oracle.spark_answer(contract.queries()[name](spark, sf_dir))
+    assert (columns, rows) == oracle.sql_answer(oracle.connect(sf_dir), contract.oracle_sql()[name])
+    assert any(r[0] for r in rows)
+
+
+def test_the_whole_vocabulary_is_nowhere_broadcast(spark, vocabulary):
+    n = {f"word{k}": k for k in range(2000)}
+    plan = spelling_variants(vocabulary(n.items()))._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -1,0 +1,87 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import __spark_entry__ as contract
+from lakeweave.llm import token_counts as module
+from lakeweave.llm.token_counts import VOCABULARY, check_cuts, safe_cuts, token_counts
+
+PATH = public_tokenizers.path(VOCABULARY)
+PIECES = [
+    "word", "Don't", "we'LL", " ", "\n", "\t \x0b", " ", " ", "\x85", "7", "2024", "½", "é", "é", "́", "ΑΣ", "İ", "ß", "中文", "。", "😀",
+    "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "<|endof", "|", "≠", "...", "a.b,c;", "x" * 40, "\x00", "\x1f",
+]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def expected(tokenizer, text: str | None) -> tuple[int, int]:
+    return len((text or "").encode()), len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+
+
+def odd_texts(n: int, most: int) -> list[str]:
+    rng = random.Random(n)
+    return ["".join(rng.choices(PIECES, k=rng.randint(0, most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("part", [16, 100, 1 << 20])
+def test_equals_the_library(make_docs, corpus, tokenizer, part, monkeypatch):
+    monkeypatch.setattr(module, "BATCH_BYTES", 500)
+    texts = dict(enumerate([*corpus.values(), *odd_texts(400, 60), "".join(odd_texts(30, 2000))]))
+    rows = token_counts(make_docs(texts.items()), PATH, limit=50, part=part).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["n_bytes"], r["n_tokens"]) == expected(tokenizer, texts[r["doc_id"]])
+        assert r["over_limit"] == (r["n_tokens"] > 50)
+
+
+def test_cuts_are_safe_and_near_the_wanted_size(tokenizer):
+    for text in filter(None, odd_texts(200, 300)):
+        raw = text.encode()
+        cuts = safe_cuts(np.frombuffer(raw, np.uint8), 60)
+        assert cuts[0] == 0 and cuts[-1] == len(raw) and cuts == sorted(set(cuts))
+        pieces = [raw[a:b].decode() for a, b in zip(cuts, cuts[1:])]
+        assert sum(expected(tokenizer, p)[1] for p in pieces) == expected(tokenizer, text)[1]
+    plain = b"word " * 1000
+    assert max(np.diff(safe_cuts(np.frombuffer(plain, np.uint8), 64))) <= 64
+    assert safe_cuts(np.frombuffer("中".encode() * 100, np.uint8), 30) == [0, 300]
+
+
+def test_forgetting_changes_nothing(make_docs, corpus, tokenizer, monkeypatch):
+    monkeypatch.setattr(module, "REMEMBERED", 20)
+    for r in token_counts(make_docs(corpus.items()), PATH).collect():
+        assert (r["n_bytes"], r["n_tokens"]) == expected(tokenizer, corpus[r["doc_id"]])
+
+
+def test_edge_rows(make_docs, edge_rows, tokenizer):
+    rows = token_counts(make_docs(edge_rows), PATH).collect()
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"]) for r in rows) == sorted(
+        (i or -1, *expected(tokenizer, t)) for i, t in edge_rows
+    )
+
+
+def test_empty_table(make_docs):
+    assert token_counts(make_docs([]), PATH).collect() == []
+
+
+def test_other_rules_are_refused():
+    for name in ("byte_bpe_50k.json",):
+        with pytest.raises(ValueError, match="blanks"):
+            check_cuts(Tokenizer.from_file(public_tokenizers.path(name)))
+
+
+def test_query(spark, sf_dir, tokenizer):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = contract.queries()["op12_token_counts"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        size, tokens = expected(tokenizer, texts[r["doc_id"]])
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (size, tokens, tokens > 2048)
