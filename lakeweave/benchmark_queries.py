@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from lakeweave import operators as ops
 from lakeweave import plans, sinks
+from lakeweave.functions.exact import exact_sums, folded, sum_bin, sum_parts
 from lakeweave.schemas import (
     ANALYTICAL,
     CUSTOMERS,
     OPERATIONAL,
+    ORDERS,
     PRODUCTS,
     RAW_EVENTS,
     SENSOR_READINGS,
@@ -32,7 +34,7 @@ from lakeweave.sinks.ddl import LAKEHOUSE_PROPERTIES
 from lakeweave.sinks.writes import empty_partitions
 from lakeweave.sources import star_views as star
 from lakeweave.sources.bindings import CatalogBinding
-from lakeweave.sources.files import file_report, write_evidence
+from lakeweave.sources.files import file_ranges, file_report, overlapping_files, write_evidence
 from lakeweave.sources.inline import inline_rows
 from lakeweave.sources.inventory import federated_inventory
 from lakeweave.sources.tables import commit_history, scan_files, scan_partitions, scan_table
@@ -64,6 +66,20 @@ REST = {
     "raw_events": "ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00' OR ts IS NULL",
 }
 
+# A result with partitions.
+DAILY_EVENTS = TableSpec(
+    T.StructType(
+        [
+            column("event_date", T.StringType(), "day"),
+            column("event_type", T.StringType(), "kind of event"),
+            column("events", T.LongType(), "events"),
+            column("region", T.StringType(), "partition: sales region"),
+        ]
+    ),
+    "events by day, kind and region",
+    ("region",),
+)
+
 # The slice of partitions that the pruned scan and the replication select.
 CHOSEN_REGIONS = {"region": ["ASIA", "EUROPE"]}
 CHOSEN_DAYS = {"event_date": ("2024-01-05", "2024-01-20")}
@@ -353,6 +369,127 @@ def cross_catalog_copy(spark, sf_dir):
     return scan_table(spark, analytical, "customers_copy").drop("email")
 
 
+# Writes in order, replication of differences, results kept up to date
+
+
+def ordered_write(spark, sf_dir):
+    """Order lines written in the order of their days, and what the files say of it."""
+    operational, _ = bindings(spark)
+    sinks.create_table(spark, operational, "orders", ORDERS)
+    sinks.overwrite(spark, operational, "orders", star.order_lines(spark, sf_dir), order_by=["order_date"], target_files=8)
+    ranges = file_ranges(scan_table(spark, operational, "orders"), "order_date")
+    late = overlapping_files(ranges).agg(F.count(F.lit(1)).alias("overlapping_files"))
+    whole = ranges.agg(
+        F.count(F.lit(1)).alias("files"), F.sum("record_count").alias("rows"), F.min("low").alias("first_day"), F.max("high").alias("last_day")
+    )
+    both = whole.unionByName(late, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("files", "rows", "first_day", "last_day", "overlapping_files")])
+
+
+def replicate_changes(spark, sf_dir):
+    """A replica follows its source: a row changes there, a partition goes, and only these are dealt with."""
+    operational, analytical = bindings(spark)
+    _stored_events(spark, sf_dir, operational)
+    replica = plans.Replica(spark, operational, analytical, "raw_events", RAW_EVENTS, ["event_id"])
+    replica.sync()
+    (first_day, last_day), regions = CHOSEN_DAYS["event_date"], CHOSEN_REGIONS["region"]
+    one = star.raw_events(spark, sf_dir).where((F.col("event_date") == F.lit(first_day)) & (F.col("region") == regions[0]))
+    least = one.agg(F.min("event_id").alias("least"))
+    payload = F.when(F.col("event_id") == F.col("least"), "changed").otherwise(F.col("payload"))
+    one = one.join(F.broadcast(least)).withColumn("payload", payload).drop("least")  # a single row
+    sinks.overwrite_partitions(spark, operational, "raw_events", one)
+    empty_partitions(spark, operational, "raw_events", [{"event_date": last_day, "region": regions[1]}])
+    by = ["event_date", "region"]
+    rows = replica.row_changes().groupBy(*by).agg(F.count(F.lit(1)).alias("row_changes"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # the partitions that differ: two at most
+    synced = replica.sync()
+    held = scan_table(spark, analytical, "raw_events").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("payload") == "changed").alias("changed_events")
+    )
+    copied = held.unionByName(synced.partitions, allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
+    return copied.groupBy(*by).agg(
+        F.coalesce(F.max("events"), F.lit(0)).alias("events"), F.coalesce(F.max("changed_events"), F.lit(0)).alias("changed_events"),
+        F.max("change").alias("change"), F.coalesce(F.max("row_changes"), F.lit(0)).alias("row_changes"),
+    )
+
+
+def chosen_partitions(spark, sf_dir):
+    """The events of each region's busiest day, opened by a table of partitions."""
+    operational, _ = bindings(spark)
+    _stored_events(spark, sf_dir, operational)
+    stored = scan_table(spark, operational, "raw_events")
+    days = stored.groupBy("event_date", "region").agg(F.count(F.lit(1)).alias("events"))
+    busiest = days.groupBy("region").agg(F.min(F.struct((-F.col("events")).alias("order"), "event_date")).alias("best"))
+    control = busiest.select("region", "best.event_date")
+    return scan_partitions(stored, RAW_EVENTS, chosen=control).select("event_id", "event_type", "event_date", "region")
+
+
+def published_partitions(spark, sf_dir):
+    """A partitioned result published twice; the second time it reads the table that it replaces."""
+    _, analytical = bindings(spark)
+    specs = {"daily_events": DAILY_EVENTS}
+    plans.register(spark, analytical, specs)
+    daily = star.raw_events(spark, sf_dir).groupBy(F.col("event_date").cast("string").alias("event_date"), "event_type", "region")
+    plans.publish(spark, analytical, {"daily_events": daily.agg(F.count(F.lit(1)).alias("events"))}, specs)
+    held = scan_table(spark, analytical, "daily_events")
+    plans.publish(spark, analytical, {"daily_events": held.where("event_type <> 'view'")}, specs)
+    return scan_table(spark, analytical, "daily_events")
+
+
+def _refreshed(spark, sf_dir, result):
+    """A result after two batches; the second one comes twice."""
+    _, analytical = bindings(spark)
+    tables = star_tables(spark, sf_dir)
+    first = {name: df.where(FIRST_BATCH[name]) for name, df in tables.items()}
+    rest = {name: df.where(REST[name]) for name, df in tables.items()}
+    for batch_id, batch in (("first", first), ("rest", rest), ("rest", rest)):
+        plans.refresh(spark, analytical, batch_id, batch, [result])
+    return plans.refreshed(spark, analytical, result)
+
+
+def refreshed_regions(spark, sf_dir):
+    return _refreshed(spark, sf_dir, "regional_summary")
+
+
+def refreshed_revenue(spark, sf_dir):
+    return _refreshed(spark, sf_dir, "product_revenue")
+
+
+def refreshed_ltv(spark, sf_dir):
+    return _refreshed(spark, sf_dir, "customer_ltv")
+
+
+def refreshed_funnel(spark, sf_dir):
+    return _refreshed(spark, sf_dir, "event_funnel")
+
+
+def exact_revenue(spark, sf_dir):
+    """Revenue by status added up along three routes, and how many different doubles come out."""
+    lines = star.order_lines(spark, sf_dir)
+    amount = F.col("quantity") * F.col("unit_price")
+
+    def by_way_of(column_name):
+        parts = lines.groupBy("status", column_name, sum_bin(amount).alias("bin")).agg(sum_parts(amount).alias("part"))
+        merged = parts.groupBy("status", "bin").agg(F.sum("part").cast("decimal(38,0)").alias("part"))
+        return merged.groupBy("status").agg(folded("bin", "part").alias("total"))
+
+    routes = [exact_sums(lines, ["status"], amount, "total"), by_way_of("order_date"), by_way_of("customer_id")]
+    totals = reduce(DataFrame.unionByName, routes)
+    return totals.groupBy("status").agg(
+        F.round(F.max("total"), 2).alias("revenue"), F.count_distinct("total").alias("different_totals"), F.count(F.lit(1)).alias("routes")
+    )
+
+
+def incremental_distinct(spark, sf_dir):
+    """Distinct ranked readings from batches that overlap; the last one brings nothing new."""
+    _, analytical = bindings(spark)
+    readings = star.sensor_readings(spark, sf_dir)
+    early = readings.where("recorded_at < TIMESTAMP '2024-01-15 00:00:00'")
+    for batch in (early, early.unionByName(early), readings, readings):
+        plans.dedup_increment(spark, analytical, batch, spec=RANKED)
+    return with_time_text(plans.scan_distinct(spark, analytical, "sensor_readings_distinct"))
+
+
 # Projections, filters, sorts
 
 
@@ -599,6 +736,16 @@ QUERIES = {
     "aggregates_from_tables": aggregates_from_tables,
     "overwrite_idempotent": overwrite_idempotent,
     "cross_catalog_copy": cross_catalog_copy,
+    "ordered_write": ordered_write,
+    "replicate_changes": replicate_changes,
+    "chosen_partitions": chosen_partitions,
+    "published_partitions": published_partitions,
+    "refreshed_regions": refreshed_regions,
+    "refreshed_revenue": refreshed_revenue,
+    "refreshed_ltv": refreshed_ltv,
+    "refreshed_funnel": refreshed_funnel,
+    "exact_revenue": exact_revenue,
+    "incremental_distinct": incremental_distinct,
     "filter_ne_in": filter_ne_in,
     "labelled_projection": labelled_projection,
     "sort_multi_key": sort_multi_key,

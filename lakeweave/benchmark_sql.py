@@ -218,6 +218,42 @@ JOIN (SELECT unnest(['product_id', 'name', 'category', 'sub_category', 'list_pri
     (SELECT count(*) AS rows FROM part)""",
     "overwrite_idempotent": f"WITH {PRODUCTS} SELECT * FROM products",
     "cross_catalog_copy": f"WITH {CUSTOMERS} SELECT * FROM customers",
+    "ordered_write": f"""WITH {LINES}
+SELECT CAST(8 AS BIGINT) AS files, count(*) AS rows, min(order_date) AS first_day, max(order_date) AS last_day,
+       CAST(0 AS BIGINT) AS overlapping_files FROM lines""",
+    "replicate_changes": f"""WITH {EVENTS}, grouped AS (
+    SELECT event_date, region, count(*) AS n,
+           coalesce(event_date = '2024-01-05' AND region = 'ASIA', false) AS changed,
+           coalesce(event_date = '2024-01-20' AND region = 'EUROPE', false) AS gone
+    FROM raw_events GROUP BY event_date, region
+)
+SELECT event_date, region, CASE WHEN gone THEN 0 ELSE n END AS events, CAST(changed AS BIGINT) AS changed_events,
+       CASE WHEN changed THEN 'changed' WHEN gone THEN 'gone' END AS change,
+       CASE WHEN changed THEN 1 WHEN gone THEN n ELSE 0 END AS row_changes
+FROM grouped""",
+    "chosen_partitions": f"""WITH {EVENTS}, days AS (
+    SELECT event_date, region, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, event_date) AS place
+    FROM raw_events GROUP BY event_date, region
+)
+SELECT event_id, event_type, e.event_date, e.region FROM raw_events e JOIN days d
+ON e.event_date = d.event_date AND e.region IS NOT DISTINCT FROM d.region WHERE place = 1""",
+    "published_partitions": f"""WITH {EVENTS}
+SELECT event_date, event_type, count(*) AS events, region FROM raw_events
+WHERE event_type <> 'view' GROUP BY event_date, event_type, region""",
+    "refreshed_regions": f"""WITH {CUSTOMERS}
+SELECT region, tier, count(*) AS customer_count,
+       min(signup_date) AS earliest_signup, max(signup_date) AS latest_signup
+FROM customers GROUP BY region, tier""",
+    "refreshed_revenue": f"WITH {LINES}, {PRODUCTS}, {REVENUE} SELECT * FROM revenue",
+    "refreshed_ltv": f"WITH {REGIONS}, {LINES}, {LTV} SELECT * FROM ltv",
+    "refreshed_funnel": f"""WITH {EVENTS}
+SELECT region, event_type, count(*) AS event_count, count(DISTINCT customer_id) AS unique_users
+FROM raw_events GROUP BY region, event_type""",
+    "exact_revenue": f"""WITH {LINES}
+SELECT status, CAST(round(sum(CAST(quantity * unit_price AS DECIMAL(38, 12))), 2) AS DOUBLE) AS revenue,
+       CAST(1 AS BIGINT) AS different_totals, CAST(3 AS BIGINT) AS routes
+FROM lines GROUP BY status""",
+    "incremental_distinct": f"WITH {READINGS} SELECT DISTINCT *, {RANKING} FROM readings",
     "filter_ne_in": f"""WITH {LINES}
 SELECT 'not cancelled' AS selection, status, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units
 FROM lines WHERE status != 'CANCELLED' GROUP BY status

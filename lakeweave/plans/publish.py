@@ -13,7 +13,7 @@ from lakeweave.operators.analytics import customer_ltv, event_funnel, product_re
 from lakeweave.schemas import ANALYTICAL, TableSpec
 from lakeweave.sinks.ddl import create_table, ensure_namespace
 from lakeweave.sinks.history import Load, record_loads
-from lakeweave.sinks.writes import Written, conform, fingerprint, overwrite, replace_files
+from lakeweave.sinks.writes import Written, conform, fingerprint, overwrite, replace_files, tracks_partitions
 from lakeweave.sources.bindings import CatalogBinding
 from lakeweave.sources.tables import scan_table
 
@@ -27,7 +27,7 @@ def register(
     """Create namespace and empty tables; no rows yet."""
     ensure_namespace(spark, target, comment)
     for name, spec in specs.items():
-        create_table(spark, target, name, spec)
+        create_table(spark, target, name, spec, listed=True)
 
 
 def compute_aggregates(
@@ -59,10 +59,12 @@ def write_result(
     spec: TableSpec,
     sort_within: Sequence[str] = (),
 ) -> Written:
+    """Replace a result's rows; in one switch, but for tables whose partitions the catalog keeps."""
     rows = conform(result, spec.schema)
-    if target.kind == "v2" or spec.partition_by:
-        return overwrite(spark, target, table, rows, partition_by=spec.partition_by, sort_within=sort_within)
-    return replace_files(spark, target, table, rows, sort_within=sort_within)
+    how = {"partition_by": spec.partition_by, "sort_within": sort_within}
+    if target.kind == "v2" or (spec.partition_by and tracks_partitions(spark, target.table(table))):
+        return overwrite(spark, target, table, rows, **how)
+    return replace_files(spark, target, table, rows, **how)
 
 
 def publish(
@@ -75,9 +77,9 @@ def publish(
     """Replace the rows of each result table and return how many were written.
 
     Tables of the session catalog are written to a fresh folder and then pointed at it, so a
-    result may read its own table and a failure leaves the old rows. Partitioned tables and those
-    of plugin catalogs are written through the catalog. ``sort_within`` orders the rows of
-    each file of a table.
+    result may read its own table and a failure leaves the old rows, partitioned or not. Tables of plugin
+    catalogs, and partitioned ones that ``register`` did not make, are written through the catalog.
+    ``sort_within`` orders the rows of each file of a table.
     """
     sort_within = sort_within or {}
     done: list[Load] = []

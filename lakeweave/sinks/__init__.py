@@ -6,7 +6,9 @@ from lakeweave.sinks.writes import (
     Written,
     append,
     conform,
+    is_done,
     location_of,
+    old_runs,
     overwrite,
     overwrite_folder,
     overwrite_partitions,
@@ -23,8 +25,10 @@ __all__ = [
     "drop_namespace",
     "drop_table",
     "ensure_namespace",
+    "is_done",
     "is_owned",
     "location_of",
+    "old_runs",
     "overwrite",
     "overwrite_folder",
     "overwrite_partitions",

@@ -14,6 +14,9 @@ from lakeweave.sources.bindings import BindingConflict, CatalogBinding, bind, qu
 # Marks the tables this library created; ``reset`` drops no other.
 OWNER_PROPERTY = "lakeweave.owned"
 
+# Whether the session catalog keeps a list of the partitions of a table made now.
+TRACK_PARTITIONS = "spark.sql.hive.manageFilesourcePartitions"
+
 # File format and codec of lakehouse tables.
 LAKEHOUSE_PROPERTIES = {
     "write.format.default": "parquet",
@@ -69,11 +72,15 @@ def create_table(
     table: str,
     spec: TableSpec,
     properties: Mapping[str, str] | None = None,
+    listed: bool = False,
 ) -> None:
     """Create the table if it is absent, over a folder of its own when the binding has a root.
 
     Files that lie in the folder already, of a table dropped before, are not taken over: the new
     table gets a folder beside it.
+
+    The partitions of a ``listed`` session table are those that its folder holds, where otherwise the catalog keeps a list
+    of them: such a table can be switched to another folder as a whole.
     """
     name, location = binding.table(table), binding.location(table)
     if spark.catalog.tableExists(name):
@@ -91,7 +98,12 @@ def create_table(
     if spec.comment:
         clauses.append(f"COMMENT {sql_string(spec.comment)}")
     clauses.append(f"TBLPROPERTIES {property_list(properties)}")
-    spark.sql(" ".join(clauses))
+    kept = spark.conf.get(TRACK_PARTITIONS)
+    spark.conf.set(TRACK_PARTITIONS, "false" if listed else kept)
+    try:
+        spark.sql(" ".join(clauses))
+    finally:
+        spark.conf.set(TRACK_PARTITIONS, kept)
 
 
 def register_files(spark: SparkSession, binding: CatalogBinding, table: str, path: str) -> None:

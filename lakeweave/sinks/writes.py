@@ -64,15 +64,22 @@ def laid_out(
     partition_by: Sequence[str] = (),
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Distribute rows over write tasks.
 
+    With ``order_by`` the whole is in order, not each file alone; see ``ranged``.
+
     ``target_files`` is for a caller who knows that few files are enough; everything ahead
     of the write stays parallel. A partitioned write is rebalanced on its partition columns:
     adaptive execution merges small partitions into one task and splits a big one over
     several, so a partition with a third of all rows is written by many tasks. Without
     adaptive execution nothing could split it, and tasks write what they hold.
     """
+    if order_by:
+        if sort_within:
+            raise ValueError("order_by sorts the files too; leave sort_within out")
+        return ranged(df, [*partition_by, *order_by], target_files)
     if target_files is not None:
         df = df.repartition(target_files)
     elif partition_by and spark.conf.get("spark.sql.adaptive.enabled").lower() == "true":
@@ -80,10 +87,30 @@ def laid_out(
     return df.sortWithinPartitions(*sort_within) if sort_within else df
 
 
+def hashable(df: DataFrame) -> list[str]:
+    return [quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
+
+
+def ranged(df: DataFrame, keys: Sequence[str], target_files: int | None = None) -> DataFrame:
+    """Rows in ranges of the keys, a write task for each, and sorted within them.
+
+    Spark samples the rows for the bounds of the ranges. A value with a large share of the rows is split: rows
+    of equal keys are dealt out further by a hash of the whole row, and equal rows by the task that holds them.
+    Bounds are drawn once for a write, so none of that changes when one of its tasks is run again. So the ranges of two files have at most a border value in
+    common. Without ``target_files`` there are as many ranges as shuffle partitions, and adaptive
+    execution joins small neighbours.
+    """
+    tie = "lakeweave tie"
+    order = [quoted(k) for k in keys]
+    spread = [F.col(k) for k in order] + [F.xxhash64(*hashable(df)), F.col(quoted(tie))]
+    tied = df.withColumn(tie, F.spark_partition_id())
+    tied = tied.repartitionByRange(*spread) if target_files is None else tied.repartitionByRange(target_files, *spread)
+    return tied.drop(tie).sortWithinPartitions(*order)
+
+
 def fingerprint(df: DataFrame) -> tuple[Column, Column]:
     """Aggregates of all rows: their number, and the sum of their hashes as text."""
-    columns = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    hashes = F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))
+    hashes = F.sum(F.xxhash64(*hashable(df)).cast("decimal(20,0)"))
     return F.count(F.lit(1)).alias("rows"), F.coalesce(hashes, F.lit(0)).cast("string").alias("digest")
 
 
@@ -128,16 +155,18 @@ def append(
     partition_by: Sequence[str] = (),
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
+    order_by: Sequence[str] = (),
     absent: Sequence[str] = (),
 ) -> Written:
     """Add the rows of ``df`` to a table and return how many there were.
 
     ``partition_by`` names the table's partition columns, for the distribution of rows;
-    ``absent`` those that ``df`` leaves NULL.
+    ``absent`` those that ``df`` leaves NULL. ``sort_within`` orders the rows of each file, ``order_by``
+    those of all files written.
     """
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema, positional, absent)
-    rows = laid_out(spark, rows, partition_by, target_files, sort_within)
+    rows = laid_out(spark, rows, partition_by, target_files, sort_within, order_by)
     rows, seen = counted(rows)
     if binding.kind == "v2":
         rows.writeTo(name).append()
@@ -155,11 +184,16 @@ def overwrite(
     partition_by: Sequence[str] = (),
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
+    order_by: Sequence[str] = (),
 ) -> Written:
-    """Replace all rows of a table. Spark refuses a ``df`` that reads the same table."""
+    """Replace all rows of a table. Spark refuses a ``df`` that reads the same table.
+
+    ``order_by`` puts all rows in order: the files' ranges of these columns do not overlap, within a
+    partition of a partitioned table.
+    """
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema)
-    rows = laid_out(spark, rows, partition_by, target_files, sort_within)
+    rows = laid_out(spark, rows, partition_by, target_files, sort_within, order_by)
     rows, seen = counted(rows)
     if binding.kind == "v2":
         rows.writeTo(name).overwrite(F.lit(True))
@@ -210,25 +244,77 @@ def location_of(spark: SparkSession, name: str) -> str:
     return rows[0]["data_type"]
 
 
+RUN_FOLDER = r"/run-[0-9a-f]{32}$"
+
+
+def home_of(spark: SparkSession, name: str) -> str:
+    """Folder that holds the folders of a table's runs."""
+    return re.sub(RUN_FOLDER, "", location_of(spark, name).rstrip("/"))
+
+
+def run_folder(spark: SparkSession, name: str, run: str | None = None) -> str:
+    """Folder for one replacement of a table; the same for the same name of a run."""
+    leaf = uuid.uuid4().hex if run is None else uuid.uuid5(uuid.NAMESPACE_URL, run).hex
+    return f"{home_of(spark, name)}/run-{leaf}"
+
+
 def replace_files(
-    spark: SparkSession, binding: CatalogBinding, table: str, df: DataFrame, *, sort_within: Sequence[str] = ()
+    spark: SparkSession,
+    binding: CatalogBinding,
+    table: str,
+    df: DataFrame,
+    *,
+    partition_by: Sequence[str] = (),
+    sort_within: Sequence[str] = (),
+    order_by: Sequence[str] = (),
+    run: str | None = None,
 ) -> Written:
-    """Replace the rows of an unpartitioned session table by writing a fresh folder.
+    """Replace the rows of a session table by writing a fresh folder.
 
     The rows go to a new folder below the table's own; only when all are there is the table
     pointed at it. ``df`` may read the table, a failure leaves the old rows, and readers that
-    have begun keep their files. Old folders stay, for the storage's lifecycle rules.
+    have begun keep their files. Old folders stay, for the storage's lifecycle rules; ``old_runs`` lists them.
+
+    A table with partitions has to find them in its folder (``create_table(..., listed=True)``): one statement then
+    switches all of them. Where the catalog keeps a folder for each partition no statement could.
+
+    ``run`` names the replacement. The table's folder tells whether it is done (``is_done``), and what an earlier
+    attempt of that name left behind is written over.
     """
     name = binding.table(table)
-    home = re.sub(r"/run-[0-9a-f]{32}$", "", location_of(spark, name).rstrip("/"))
-    fresh = f"{home}/run-{uuid.uuid4().hex}"
-    rows, seen = counted(laid_out(spark, df, sort_within=sort_within))
-    rows.write.format(binding.format).save(fresh)
+    if partition_by and tracks_partitions(spark, name):
+        raise ValueError(f"{table}: the catalog keeps its partitions, so they cannot be switched at once")
+    fresh = run_folder(spark, name, run)
+    rows, seen = counted(laid_out(spark, df, partition_by, sort_within=sort_within, order_by=order_by))
+    writer = rows.write.format(binding.format).mode("errorifexists" if run is None else "overwrite")
+    writer.option("partitionOverwriteMode", "static").partitionBy(*partition_by).save(fresh)
     spark.sql(f"ALTER TABLE {name} SET LOCATION {literal(fresh)}")
     spark.catalog.refreshTable(name)
     return written(seen)
 
 
+def is_done(spark: SparkSession, binding: CatalogBinding, table: str, run: str) -> bool:
+    """Whether the table's rows are those of the replacement of that name."""
+    name = binding.table(table)
+    return location_of(spark, name).rstrip("/") == run_folder(spark, name, run)
+
+
+def tracks_partitions(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog keeps a list of the table's partitions."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Partition Provider'").collect()
+    return bool(rows) and rows[0]["data_type"] == "Catalog"
+
+
+def old_runs(spark: SparkSession, binding: CatalogBinding, table: str) -> list[str]:
+    """Folders of replacements that the table does not point at: earlier ones and failed ones."""
+    name = binding.table(table)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home_of(spark, name))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(f.getPath().toString()).rstrip("/") for f in files.listStatus(folder) if f.isDirectory()]
+    current = location_of(spark, name).rstrip("/").rsplit("/", 1)[-1]
+    return sorted(f for f in found if re.search(RUN_FOLDER, f) and f.rsplit("/", 1)[-1] != current)
+
+
 def overwrite_folder(
     spark: SparkSession,
     path: str,

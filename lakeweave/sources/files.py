@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave.sources.bindings import CatalogBinding
@@ -36,6 +38,26 @@ def file_report(spark: SparkSession, binding: CatalogBinding, table: str) -> Dat
     return files_of(spark.table(binding.table(table)), binding.format)
 
 
+def file_ranges(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, least and greatest value of a column in each file behind a file-based DataFrame.
+
+    ``by`` are partition columns, to tell partitions apart. Only ``column`` is read.
+    """
+    value = df.select(*by, F.col("_metadata.file_path"), F.col(column).alias("value"))
+    return value.groupBy(*by, "file_path").agg(
+        F.count(F.lit(1)).alias("record_count"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+
+
+def overlapping_files(ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The files that begin below the end of one before them; none where the writes were in order.
+
+    Ranges may have their border value in common. One row per file is sorted, within each partition.
+    """
+    before = Window.partitionBy(*by).orderBy("low", "high", "file_path").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumn("reached", F.max("high").over(before)).where("low < reached")
+
+
 def write_evidence(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """Every matching file below ``root`` with size and time; file contents are not read."""
     return (

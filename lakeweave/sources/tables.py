@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from lakeweave.schemas import LOAD_HISTORY, TableSpec
 from lakeweave.sources.bindings import CatalogBinding
 
+# Partitions that a table of them may name and still be sent to every executor.
+BROADCAST_PARTITIONS = 100_000
+
 
 def scan_table(spark: SparkSession, binding: CatalogBinding, table: str) -> DataFrame:
     return spark.table(binding.table(table))
@@ -52,9 +56,35 @@ def scan_partitions(
     spec: TableSpec,
     values: Mapping[str, Sequence[str]] | None = None,
     ranges: Mapping[str, tuple[str, str]] | None = None,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
-    """Only the selected partitions of a partitioned table's scan."""
-    return df.where(partition_predicate(spec.partition_by, values, ranges))
+    """Only the selected partitions of a partitioned table's scan.
+
+    ``chosen`` is a table of partitions: some or all partition columns, and other columns that are not looked at; NULL
+    means the partition of NULL. Spark reads it first and then opens the folders of the partitions in it. It goes
+    to every executor if its partitions were counted to be at most ``BROADCAST_PARTITIONS``.
+    """
+    if chosen is None:
+        return df.where(partition_predicate(spec.partition_by, values, ranges))
+    if values or ranges:
+        df = df.where(partition_predicate(spec.partition_by, values, ranges))
+    keys = [c for c in spec.partition_by if c in chosen.columns]
+    if not keys:
+        raise ValueError("the table of partitions has no partition column")
+    wanted = chosen.select(*keys).distinct()
+    # Pruning takes plain equality, which NULL has none of: each combination of columns that are NULL is a scan of its own.
+    parts = []
+    for row in wanted.select(*[F.col(k).isNull().alias(k) for k in keys]).distinct().collect():
+        given, absent = ([k for k in keys if row[k] == flag] for flag in (False, True))
+        part, list_ = df, wanted
+        for k in absent:
+            part, list_ = part.where(F.col(k).isNull()), list_.where(F.col(k).isNull())
+        if given:
+            list_ = list_.select(*given).dropna()
+            few = list_.limit(BROADCAST_PARTITIONS + 1).count() <= BROADCAST_PARTITIONS
+            part = part.join(F.broadcast(list_) if few else list_, given, "left_semi")
+        parts.append(part.select(*df.columns))
+    return reduce(DataFrame.unionAll, parts) if parts else df.limit(0)
 
 
 def commit_history(spark: SparkSession, binding: CatalogBinding, table: str) -> DataFrame:
