@@ -14,8 +14,8 @@ put together with array operations.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ END = 50256
 CAPACITY = 2048
 # Tokens that are packed together, and encoded parts that a task remembers.
 WINDOW_TOKENS = 1 << 21
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 ROWS = (
     "part int, bin int, n_tokens int, doc_ids array<long>, offsets array<long>, cu_seqlens array<int>, "
@@ -42,7 +42,20 @@ ROWS = (
 )
 # Blanks beyond ASCII join the runs of blanks around them; texts that hold one are encoded whole.
 _OTHER_BLANKS = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_OTHER_BLANK = re.compile("[" + "".join(map(chr, _OTHER_BLANKS)) + "]")
+_BYTES = [chr(c).encode() for c in _OTHER_BLANKS]
+_LEAD = np.zeros(256, bool)
+_LEAD[[raw[0] for raw in _BYTES]] = True
+_TWO, _THREE = ([int.from_bytes(raw) for raw in _BYTES if len(raw) == n] for n in (2, 3))
+
+
+def with_other_blanks(texts: Texts) -> np.ndarray:
+    """Indexes of the texts that hold a blank beyond ASCII, found by their first bytes."""
+    buf = texts.buf
+    leads = np.flatnonzero(_LEAD[buf])
+    rest = [buf[np.minimum(leads + k, len(buf) - 1)].astype(np.int64) for k in range(3)]
+    two = (rest[0] << 8 | rest[1]) if len(leads) else np.zeros(0, np.int64)
+    found = np.isin(two, _TWO) | np.isin(two << 8 | rest[2], _THREE)
+    return np.unique(np.searchsorted(texts.offsets, leads[found], "right") - 1)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -107,11 +120,19 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[list[int]]:
 
 
 class Encoder:
-    """Token ids of texts; equal parts of them are encoded once."""
+    """Token ids of texts; equal parts of them are encoded once.
+
+    Parts are known by their hash. Their ids lie one after the other in ``flat``, from ``begins`` on.
+    """
 
     def __init__(self, ranks: dict[bytes, int], end: int) -> None:
         self.encoding, self.end = encoding(ranks), end
-        self.known: dict[int, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begins, self.sizes = np.zeros((2, 0), np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _parts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Where the parts begin, and the first part of each text."""
@@ -122,43 +143,51 @@ class Encoder:
         led = (starts > 0) & inside[starts] & (texts.buf[starts - 1] == 0x20)
         # A blank other than a space before a word stands alone; a space goes with the word.
         alone = starts[(starts > 0) & inside[starts] & ~led & blank[starts - 1]] - 1
-        cuts = np.unique(np.concatenate((starts - led, texts.ends, alone, texts.offsets)))
-        cuts = cuts[cuts < len(texts.buf)]
+        marked = np.zeros(len(texts.buf) + 1, bool)
+        for cuts in (starts - led, texts.ends, alone, texts.offsets):
+            marked[cuts] = True
+        cuts = np.flatnonzero(marked[:-1])
         return cuts, np.searchsorted(cuts, texts.offsets)
 
+    def _learn(self, at: np.ndarray, keys: np.ndarray, parts: list[str]) -> None:
+        """Encode parts whose keys belong at these places of the sorted keys."""
+        ids = [self.encoding.encode_ordinary(part) for part in parts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + 2 * len(new), np.int32)))
+        self.flat[self.used : self.used + len(new)] = new
+        self.keys, self.sizes = np.insert(self.keys, at, keys), np.insert(self.sizes, at, sizes)
+        self.begins = np.insert(self.begins, at, self.used + np.cumsum(sizes) - sizes)
+        self.used += len(new)
+
     def encode(self, texts: Texts) -> list[np.ndarray]:
         """Ids of every text, followed by the end id."""
         end = np.array([self.end], np.int32)
         if not len(texts.buf):
             return [end] * texts.size
+        if len(self.keys) > REMEMBERED:
+            self.forget()
         cuts, first = self._parts(texts)
         after = np.append(cuts[1:], len(texts.buf))
         with np.errstate(over="ignore"):
             kinds, example, which = np.unique(texts.hashes(cuts, after), return_index=True, return_inverse=True)
-        ids = []
-        for key, at in zip(kinds.tolist(), example.tolist(), strict=True):
-            part = self.known.get(key)
-            if part is None:
-                raw = texts.raw[cuts[at] : after[at]].tobytes()
-                part = self.known[key] = self.encoding.encode_ordinary(raw.decode())
-            ids.append(part)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((t for part in ids for t in part), np.int32, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[which]
+        at = np.searchsorted(self.keys, kinds)
+        new = np.append(self.keys, 0)[at] != kinds
+        new[at == len(self.keys)] = True
+        if new.any():
+            bounds = zip(cuts[example[new]].tolist(), after[example[new]].tolist(), strict=True)
+            raw = texts.raw.tobytes()
+            self._learn(at[new], kinds[new], [raw[a:b].decode() for a, b in bounds])
+            at = np.searchsorted(self.keys, kinds)
+        begins, counts = self.begins[at][which], self.sizes[at][which]
         ends = np.cumsum(counts)
-        at = np.arange(ends[-1]) + np.repeat(begins[which] - (ends - counts), counts)
-        tokens = flat[at]
+        tokens = self.flat[np.arange(ends[-1]) + np.repeat(begins - (ends - counts), counts)]
         bounds = np.concatenate(([0], ends))[first]
-        out = []
-        for i in range(texts.size):
-            found = tokens[bounds[i] : bounds[i + 1]]
-            text = texts.bytes_of(i)
-            if not text.isascii() and _OTHER_BLANK.search(whole := text.decode()):
-                found = np.array(self.encoding.encode_ordinary(whole), np.int32)
-            out.append(np.concatenate((found, end)))
+        out = [np.concatenate((tokens[a:b], end)) for a, b in zip(bounds, bounds[1:], strict=False)]
+        # Blanks beyond ASCII join those around them, so such a text is encoded whole.
+        for i in with_other_blanks(texts).tolist():
+            out[i] = np.append(np.array(self.encoding.encode_ordinary(texts.bytes_of(i).decode()), np.int32), end)
         return out
 
 
