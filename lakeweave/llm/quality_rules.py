@@ -1,6 +1,7 @@
 """Quality rules: base counts of words and lines, and compression bands.
 
-The text as a whole and its chunks of ``CHUNK`` bytes are compressed with zstandard. What
+The text as a whole and its chunks of ``CHUNK`` bytes are compressed with zstandard; a rest of less than half a
+chunk belongs to the chunk before it, as a few bytes compress to more than they are. What
 compresses far better than the other documents is repetitive, what compresses far worse is no
 language. How well prose compresses depends on its length, so every band of length has limits
 of its own, one pair for whole texts and one for chunks: ``SPREADS`` robust spreads below and
@@ -35,7 +36,7 @@ SPREADS, LEAST_SPREAD, LEAST_TEXTS = 4.0, 0.008, 50
 QUARTILE = 0.6745
 # The histogram has so many bins for each unit of the compressed share.
 BINS_PER_UNIT = 1000
-# Share of the chunks of a text that may lie outside the limits of a chunk's own band.
+# Share of a text's bytes that may be in chunks outside the limits of their own band.
 BAD_CHUNKS = 0.1
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -134,9 +135,10 @@ def _packer() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
 
 
-def _chunks(data: bytes) -> list[bytes]:
+def chunks(data: bytes) -> list[bytes]:
     """The chunks of a text; none if it is a single one."""
-    return [data[j : j + CHUNK] for j in range(0, len(data), CHUNK)] if len(data) > CHUNK else []
+    n = (len(data) + CHUNK // 2) // CHUNK
+    return [data[j * CHUNK : (j + 1) * CHUNK if j + 1 < n else len(data)] for j in range(n)] if n > 1 else []
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i in range(texts.size):
                 data = texts.bytes_of(i)
-                for chunk, part in ((False, data), *((True, c) for c in _chunks(data))):
+                for chunk, part in ((False, data), *((True, c) for c in chunks(data))):
                     if part:
                         key = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
                         rows.append((key, chunk, band_of(len(part)), len(packer.compress(part)) * BINS_PER_UNIT // len(part)))
@@ -185,10 +187,10 @@ class Rules:
         if not data:
             return 0.0, 0, 0, False
         packed = len(self.packer.compress(data))
-        parts = _chunks(data)
-        bad = sum(self.limits.broken(len(p), len(self.packer.compress(p)), True) for p in parts)
-        failed = self.limits.broken(len(data), packed, False) or bad > BAD_CHUNKS * len(parts)
-        return packed / len(data), max(len(parts), 1), bad, failed
+        parts = chunks(data)
+        bad = [len(p) for p in parts if self.limits.broken(len(p), len(self.packer.compress(p)), True)]
+        failed = self.limits.broken(len(data), packed, False) or sum(bad) > BAD_CHUNKS * len(data)
+        return packed / len(data), max(len(parts), 1), len(bad), failed
 
     def measure(self, texts: Texts) -> list[np.ndarray]:
         """The columns after ``doc_id``."""

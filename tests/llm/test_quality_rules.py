@@ -1,6 +1,8 @@
 import random
 
-from lakeweave.llm.quality_rules import CHUNK, keep_good, learn_limits, outside, quality_rules
+import zstandard
+
+from lakeweave.llm.quality_rules import BAD_CHUNKS, CHUNK, LEVEL, band_of, chunks, keep_good, learn_limits, outside, quality_rules
 
 from . import brute
 from .conftest import sentence
@@ -77,3 +79,43 @@ def test_copies_of_one_text_do_not_set_the_limits(make_docs):
     prose = {i: sentence(rng, 58, 100_000) for i in range(80)}
     alone = learn_limits(make_docs(prose.items()))
     assert learn_limits(make_docs([*prose.items(), *((1000 + i, prose[0]) for i in range(500))])) == alone
+
+
+def test_a_short_rest_joins_the_chunk_before_it():
+    for size in (0, 1, CHUNK, CHUNK + 1, CHUNK + CHUNK // 2 - 1):
+        assert chunks(b"x" * size) == []
+    for size in (CHUNK + CHUNK // 2, 2 * CHUNK, 2 * CHUNK + 1, 9 * CHUNK + 2000, 9 * CHUNK + 3000):
+        parts = chunks(bytes(k % 251 for k in range(size)))
+        assert b"".join(parts) == bytes(k % 251 for k in range(size))
+        assert {len(p) for p in parts[:-1]} == {CHUNK} and CHUNK / 2 <= len(parts[-1]) < 1.5 * CHUNK
+
+
+def test_the_last_bytes_of_a_text_do_not_decide(make_docs):
+    """Prose cut a few bytes beyond a chunk gets the verdict of the chunk."""
+    rng = random.Random(3)
+    texts = {1000 * i + k: sentence(rng, 2200, 100_000).encode()[: n * CHUNK + k].decode() for i, n in enumerate((1, 2, 3) * 3) for k in range(0, 65, 4)}
+    rows = quality_rules(make_docs(texts.items())).collect()
+    assert len(rows) == len(texts) and all(r["kept"] and r["n_bad_chunks"] == 0 for r in rows)
+
+
+def test_verdicts_equal_brute_force(make_docs, corpus):
+    rng = random.Random(11)
+    texts = dict(enumerate([*corpus.values(), *(sentence(rng, rng.randint(50, 4000), 9000) for _ in range(120))]))
+    texts |= {5000 + i: t[:2000] + "ab" * rng.randint(0, 3000) + t[2000:] for i, t in enumerate(map(texts.get, range(240, 290))) if t}
+    docs = make_docs(texts.items())
+    limits = learn_limits(docs)
+
+    def broken(part: bytes, chunk: bool) -> bool:
+        share = len(zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False).compress(part)) / len(part)
+        low, high = limits.learned.get((chunk, band_of(len(part))), (0, 99))
+        outer = [b for b in limits.outer if b[0] <= len(part)][-1]
+        return not (low <= share <= high and outer[1] <= share <= outer[2])
+
+    rejected = 0
+    for r in quality_rules(docs).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        bad = [p for p in chunks(data) if broken(p, True)]
+        failed = bool(data) and (broken(data, False) or sum(map(len, bad)) > BAD_CHUNKS * len(data))
+        assert (r["n_bad_chunks"], r["bands_failed"]) == (len(bad), failed)
+        rejected += failed
+    assert limits.learned and rejected
