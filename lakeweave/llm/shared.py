@@ -47,3 +47,24 @@ def semi_join(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_ROWS
 def anti_join(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose key is not among ``ids``, rows without a key included; as ``semi_join``."""
     return df.join(F.broadcast(ids) if small(ids, most) else ids, on, "left_anti")
+
+
+ROW_KEY = "lakeweave row"
+
+
+def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a key in ``ROW_KEY`` that rows have in common only if their id and text are equal.
+
+    It is the ``doc_id`` where that tells texts apart. Rows without one, and all rows of an id that
+    different texts carry, get a hash of id and text.
+    """
+    text = F.xxhash64(F.col("text").isNull(), "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("h")).where("doc_id IS NOT NULL")
+    texts = known.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    shared = scratch.save(texts.select(F.col("doc_id").alias("shared id")), "shared-ids")
+    key, hashed = F.col("doc_id").cast("long"), F.xxhash64(F.lit("row"), "doc_id", F.col("text").isNull(), "text")
+    if shared.isEmpty():
+        return docs.withColumn(ROW_KEY, F.coalesce(key, hashed))
+    shared = F.broadcast(shared) if small(shared) else shared
+    marked = docs.withColumn(ROW_KEY, key).join(shared, F.col(ROW_KEY) == F.col("`shared id`"), "left")
+    return marked.withColumn(ROW_KEY, F.when(F.col("`shared id`").isNull(), F.coalesce(key, hashed)).otherwise(hashed)).drop("shared id")
