@@ -16,7 +16,7 @@ from lakeweave.llm.near_dedup import near_duplicates
 from lakeweave.llm.packing import best_fit_packing, word_counts
 from lakeweave.llm.quality_rules import keep_good
 from lakeweave.llm.secrets import find_secrets, redact
-from lakeweave.llm.shared import Scratch, anti_join, semi_join
+from lakeweave.llm.shared import ROW_KEY, Scratch, anti_join, semi_join, with_row_key
 
 # No SQL: zstandard and best-fit packing are beyond it. The tests compare with brute force.
 ORACLE_SQL = None
@@ -27,26 +27,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Key and text of every row, for operators that tell documents apart by ``doc_id``."""
+    return docs.select(F.col(ROW_KEY).alias("doc_id"), "text")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Rows repeated under one id are one document; the one with the smallest text stays. Rows
-    without an id are in no group and stay.
+    Rows of one id and text are one document. Rows without an id, and different texts under one id, are documents of
+    their own, which a hash stands for; a group of such keeps the one with the smallest.
     """
-    found = Scratch(spark).save(near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "kept"), "found")
-    out = anti_join(docs, found.where("NOT kept").select("doc_id").distinct(), "doc_id")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    scratch = Scratch(spark)
+    rows = with_row_key(docs, scratch)
+    found = scratch.save(near_duplicates(keyed(rows)).select(F.col("doc_id").alias(ROW_KEY), "kept"), "found")
+    out = anti_join(rows, found.where("NOT kept").select(ROW_KEY).distinct(), ROW_KEY)
+    repeated = found.where("kept").groupBy(ROW_KEY).count().where("count > 1").select(ROW_KEY)
     if not repeated.isEmpty():
-        text = F.coalesce(F.col("text"), F.lit(""))
-        smallest = semi_join(out, repeated, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), text).alias("row"))
-        out = anti_join(out, repeated, "doc_id").unionByName(smallest.select("row.*"))
+        one = semi_join(out, repeated, ROW_KEY).groupBy(ROW_KEY).agg(
+            F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row")
+        )
+        out = anti_join(out, repeated, ROW_KEY).select(*docs.columns).unionByName(one.select("row.*"))
     return out.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage; rows without an id stay."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return anti_join(docs, found.select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    """Documents without a benchmark passage, each row by its own text."""
+    rows = with_row_key(docs, Scratch(spark))
+    found = contaminated(keyed(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return anti_join(rows, found.select(F.col("doc_id").alias(ROW_KEY)).distinct(), ROW_KEY).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
