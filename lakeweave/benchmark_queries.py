@@ -37,7 +37,7 @@ from lakeweave.sources.bindings import CatalogBinding
 from lakeweave.sources.files import file_ranges, file_report, overlapping_files, write_evidence
 from lakeweave.sources.inline import inline_rows
 from lakeweave.sources.inventory import federated_inventory
-from lakeweave.sources.tables import commit_history, scan_files, scan_partitions, scan_table
+from lakeweave.sources.tables import commit_history, scan_bucketed, scan_files, scan_partitions, scan_table
 
 # Event keys of the benchmark outgrow the INT that sensors are numbered with.
 READINGS = TableSpec(
@@ -394,10 +394,9 @@ def replicate_changes(spark, sf_dir):
     replica.sync()
     (first_day, last_day), regions = CHOSEN_DAYS["event_date"], CHOSEN_REGIONS["region"]
     one = star.raw_events(spark, sf_dir).where((F.col("event_date") == F.lit(first_day)) & (F.col("region") == regions[0]))
-    least = one.agg(F.min("event_id").alias("least"))
-    payload = F.when(F.col("event_id") == F.col("least"), "changed").otherwise(F.col("payload"))
-    one = one.join(F.broadcast(least)).withColumn("payload", payload).drop("least")  # a single row
-    sinks.overwrite_partitions(spark, operational, "raw_events", one)
+    least = one.agg(F.min("event_id")).first()[0]
+    payload = F.when(F.col("event_id") == F.lit(least), "changed").otherwise(F.col("payload"))
+    sinks.overwrite_partitions(spark, operational, "raw_events", one.withColumn("payload", payload))
     empty_partitions(spark, operational, "raw_events", [{"event_date": last_day, "region": regions[1]}])
     by = ["event_date", "region"]
     rows = replica.row_changes().groupBy(*by).agg(F.count(F.lit(1)).alias("row_changes"))
@@ -490,6 +489,90 @@ def incremental_distinct(spark, sf_dir):
     return with_time_text(plans.scan_distinct(spark, analytical, "sensor_readings_distinct"))
 
 
+def bucketed_ltv(spark, sf_dir):
+    """Lifetime values of tables that are bucketed by customer, joined without a shuffle."""
+    operational, _ = bindings(spark)
+    buckets = ("customer_id", 16)
+    loads = {
+        "customers": (without_email(star.customers(spark, sf_dir, signup=False).withColumn("signup_date", F.lit(None).cast("string"))), CUSTOMERS),
+        "orders": (star.order_lines(spark, sf_dir), ORDERS),
+    }
+    for name, (rows, spec) in loads.items():
+        sinks.create_table(spark, operational, name, spec, bucket_by=buckets)
+        sinks.append(spark, operational, name, rows, bucket_by=buckets)
+    return ops.customer_ltv(*(scan_bucketed(spark, operational, name) for name in loads))
+
+
+def load_quarantine(spark, sf_dir):
+    """Order lines that came as text, some of them no numbers, loaded with their misfits set aside."""
+    operational, _ = bindings(spark)
+    lines = star.order_lines(spark, sf_dir)
+    odd = lambda every, text, column: f"CASE WHEN product_id % {every} = 0 THEN '{text}' ELSE CAST({column} AS STRING) END AS {column}"
+    batch = lines.selectExpr(
+        "order_id", "customer_id", "product_id", odd(10, "many", "quantity"), odd(15, "free", "unit_price"),
+        "CAST(order_date AS STRING) AS order_date", "status",
+    )
+    report = plans.load_with_quarantine(spark, operational, "orders", batch, ORDERS, {"not cancelled": "status <> 'CANCELLED'"})
+    counts = [("offered", report.offered), ("accepted", report.accepted), ("rejected", report.rejected)]
+    counts = spark.createDataFrame([(None, what, n) for what, n in counts], "column_name string, reason string, rows bigint")
+    stored = scan_table(spark, operational, "orders").agg(F.count(F.lit(1)).alias("rows"))
+    stored = stored.select(F.lit(None).cast("string").alias("column_name"), F.lit("stored").alias("reason"), "rows")
+    return plans.reject_reasons(spark, operational, "orders").unionByName(counts).unionByName(stored)
+
+
+def audit_in_one_pass(spark, sf_dir):
+    """Every check of the tables, each table scanned once, with two offenders for each."""
+    customers = star.customers(spark, sf_dir, signup=False)
+    tables = {
+        "customers": customers,
+        "building customers": customers.where("tier = 'BUILDING'"),
+        "products": star.products(spark, sf_dir),
+        "orders": star.order_lines(spark, sf_dir).withColumn("order_date", F.col("order_date").cast("string")),
+        "raw_events": star.raw_events(spark, sf_dir, region=False),
+    }
+    rules = [
+        ops.Domain("customers", "region", ["AMERICA", "EUROPE", "ASIA"]),
+        ops.Domain("orders", "status", ["PENDING", "SHIPPED", "DELIVERED"]),
+        ops.Domain("raw_events", "event_type", ["view", "purchase"]),
+        ops.IsoDate("orders", "order_date"),
+        ops.Unique("customers", ["customer_id"]),
+        ops.Unique("orders", ["order_id"]),
+        ops.Reference("orders", "customer_id", "building customers", "customer_id"),
+        ops.Reference("orders", "product_id", "products", "product_id"),
+        ops.Reference("raw_events", "customer_id", "customers", "customer_id"),
+        ops.Payload("raw_events", required={"view": "k", "purchase": "page"}, fields="k bigint, page string"),
+    ]
+    summary = ops.audit_summary(ops.audit(tables, rules), rules)
+    least, greatest = F.try_element_at("examples", F.lit(1)), F.try_element_at("examples", F.lit(-1))
+    return summary.select("rule", "bad_values", "bad_rows", least.alias("least_value"), greatest.alias("greatest_value"))
+
+
+def compacted_table(spark, sf_dir):
+    """Order lines by status, one of them with half of the rows, in files of about one size."""
+    operational, _ = bindings(spark)
+    by_status = TableSpec(T.StructType([f for f in ORDERS.schema if f.name != "status"] + [ORDERS.schema["status"]]), "", ("status",))
+    sinks.create_table(spark, operational, "orders", by_status, listed=True)
+    lines = star.order_lines(spark, sf_dir).select(*by_status.names)
+    sinks.append(spark, operational, "orders", lines.repartition(16), partition_by=())
+    sizes = [size for *_, size in scan_sizes(spark, operational)]
+    target = max(sum(sizes) // 12, 1)
+    plans.compact(spark, operational, "orders", by_status, target)
+    after = scan_sizes(spark, operational)
+    large = {status for status, total, _ in after if total > 1.5 * target}
+    even = all(0.5 * target <= size <= 1.5 * target for status, _, size in after if status in large)
+    rows = scan_table(spark, operational, "orders").groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("fewer_files", F.lit(len(after) < len(sizes))).withColumn("even_files", F.lit(even))
+
+
+def scan_sizes(spark, binding):
+    """(status, bytes of the status, bytes of the file) for each file."""
+    files = scan_table(spark, binding, "orders").select("status", "_metadata.file_path", "_metadata.file_size").distinct().collect()
+    total = {}
+    for r in files:
+        total[r["status"]] = total.get(r["status"], 0) + r["file_size"]
+    return [(r["status"], total[r["status"]], r["file_size"]) for r in files]
+
+
 # Projections, filters, sorts
 
 
@@ -746,6 +829,10 @@ QUERIES = {
     "refreshed_funnel": refreshed_funnel,
     "exact_revenue": exact_revenue,
     "incremental_distinct": incremental_distinct,
+    "bucketed_ltv": bucketed_ltv,
+    "load_quarantine": load_quarantine,
+    "audit_in_one_pass": audit_in_one_pass,
+    "compacted_table": compacted_table,
     "filter_ne_in": filter_ne_in,
     "labelled_projection": labelled_projection,
     "sort_multi_key": sort_multi_key,

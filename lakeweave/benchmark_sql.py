@@ -123,6 +123,14 @@ def _misdated(label: str, source: str, column: str) -> str:
     )
 
 
+def _audited(rule: str, source: str, value: str, condition: str, having: str = "true") -> str:
+    found = f"SELECT CAST({value} AS VARCHAR) AS value, count(*) AS n FROM {source} WHERE {condition} GROUP BY 1 HAVING {having}"
+    return (
+        f"SELECT '{rule}' AS rule, count(*) AS bad_values, CAST(coalesce(sum(n), 0) AS BIGINT) AS bad_rows,"
+        f" min(value) AS least_value, max(value) AS greatest_value FROM ({found})"
+    )
+
+
 BUYERS = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
 OFFERED = "SELECT p_partkey FROM part WHERE p_size % 2 = 1"
 
@@ -254,6 +262,33 @@ SELECT status, CAST(round(sum(CAST(quantity * unit_price AS DECIMAL(38, 12))), 2
        CAST(1 AS BIGINT) AS different_totals, CAST(3 AS BIGINT) AS routes
 FROM lines GROUP BY status""",
     "incremental_distinct": f"WITH {READINGS} SELECT DISTINCT *, {RANKING} FROM readings",
+    "bucketed_ltv": f"WITH {REGIONS}, {LINES}, {LTV} SELECT * FROM ltv",
+    "load_quarantine": f"""WITH {LINES}, judged AS (
+    SELECT *, product_id % 10 = 0 AS many, product_id % 15 = 0 AS free, coalesce(status = 'CANCELLED', false) AS cancelled FROM lines
+)
+SELECT 'quantity' AS column_name, 'no int' AS reason, count(*) AS rows FROM judged WHERE many
+UNION ALL SELECT 'unit_price', 'no double', count(*) FROM judged WHERE free
+UNION ALL SELECT NULL, 'not cancelled', count(*) FROM judged WHERE cancelled
+UNION ALL SELECT NULL, 'offered', count(*) FROM judged
+UNION ALL SELECT NULL, 'rejected', count(*) FROM judged WHERE many OR free OR cancelled
+UNION ALL SELECT NULL, w, count(*) FROM judged, (VALUES ('accepted'), ('stored')) v(w) WHERE NOT (many OR free OR cancelled) GROUP BY w""",
+    "audit_in_one_pass": f"WITH {REGIONS}, {LINES}\n" + "\nUNION ALL\n".join(
+        [
+            _audited("customers.region in its domain", "regions", "region", "region NOT IN ('AMERICA', 'EUROPE', 'ASIA')"),
+            _audited("orders.status in its domain", "lines", "status", "status NOT IN ('PENDING', 'SHIPPED', 'DELIVERED')"),
+            _audited("raw_events.event_type in its domain", "events", "event_type", "event_type NOT IN ('view', 'purchase')"),
+            _audited("orders.order_date is a date", "lines", "order_date", "try_cast(order_date AS DATE) IS NULL AND order_date IS NOT NULL"),
+            _audited("customers(customer_id) is unique", "customer", "c_custkey", "c_custkey IS NOT NULL", "count(*) > 1"),
+            _audited("orders(order_id) is unique", "lines", "order_id", "order_id IS NOT NULL", "count(*) > 1"),
+            _audited("orders.customer_id refers to building customers", "lines", "customer_id", f"customer_id NOT IN ({BUYERS})"),
+            _audited("orders.product_id refers to products", "lines", "product_id", "product_id NOT IN (SELECT p_partkey FROM part)"),
+            _audited("raw_events.customer_id refers to customers", "events", "user_id", "user_id NOT IN (SELECT c_custkey FROM customer)"),
+            _audited("raw_events.payload has its attributes", "events", "event_type",
+                     "(event_type = 'view' AND json_extract_string(props, '$.k') IS NULL)"
+                     " OR (event_type = 'purchase' AND json_extract_string(props, '$.page') IS NULL)"),
+        ]
+    ),
+    "compacted_table": f"WITH {LINES} SELECT status, count(*) AS rows, true AS fewer_files, true AS even_files FROM lines GROUP BY status",
     "filter_ne_in": f"""WITH {LINES}
 SELECT 'not cancelled' AS selection, status, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units
 FROM lines WHERE status != 'CANCELLED' GROUP BY status

@@ -7,6 +7,7 @@ from lakeweave.operators.analytics import (
     regional_summary,
     top_customers,
 )
+from lakeweave.operators.audit import Domain, IsoDate, Payload, Reference, Unique, audit, audit_summary
 from lakeweave.operators.contracts import (
     bad_dates,
     domain_violations,
@@ -19,6 +20,13 @@ from lakeweave.operators.counts import labelled_count, labelled_counts
 from lakeweave.operators.readings import distinct_rows, rank_readings
 
 __all__ = [
+    "Domain",
+    "IsoDate",
+    "Payload",
+    "Reference",
+    "Unique",
+    "audit",
+    "audit_summary",
     "bad_dates",
     "customer_ltv",
     "distinct_rows",

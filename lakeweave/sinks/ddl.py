@@ -73,6 +73,7 @@ def create_table(
     spec: TableSpec,
     properties: Mapping[str, str] | None = None,
     listed: bool = False,
+    bucket_by: tuple[str, int] | None = None,
 ) -> None:
     """Create the table if it is absent, over a folder of its own when the binding has a root.
 
@@ -81,6 +82,9 @@ def create_table(
 
     The partitions of a ``listed`` session table are those that its folder holds, where otherwise the catalog keeps a list
     of them: such a table can be switched to another folder as a whole.
+
+    ``bucket_by`` is a column and a number of buckets: rows of one key share a file, and tables of the same buckets are joined and
+    grouped by that column without a shuffle. Write to it with the same ``bucket_by``; read it with ``scan_bucketed``.
     """
     name, location = binding.table(table), binding.location(table)
     if spark.catalog.tableExists(name):
@@ -93,6 +97,8 @@ def create_table(
     clauses = [f"CREATE TABLE IF NOT EXISTS {name} ({spec.schema.toDDL()}) USING {binding.format}"]
     if spec.partition_by:
         clauses.append(f"PARTITIONED BY ({', '.join(map(quoted, spec.partition_by))})")
+    if bucket_by:
+        clauses.append(f"CLUSTERED BY ({quoted(bucket_by[0])}) INTO {bucket_by[1]} BUCKETS")
     if location:
         clauses.append(f"LOCATION {sql_string(location)}")
     if spec.comment:

@@ -11,10 +11,12 @@ from pyspark.sql import SparkSession
 
 from lakeweave.schemas import LOAD_HISTORY
 from lakeweave.sinks.ddl import create_table
-from lakeweave.sinks.writes import append
+from lakeweave.sinks.writes import append, replace_files
 from lakeweave.sources.bindings import CatalogBinding
 
 HISTORY_TABLE = "load_history"
+# Files of the history from which on they are merged into one.
+MOST_FILES = 32
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,9 @@ class Load:
 
 
 def record_loads(spark: SparkSession, binding: CatalogBinding, loads: Sequence[Load]) -> None:
-    """Note finished writes, all in one file.
+    """Note finished writes, all in one file; after ``MOST_FILES`` of these they become one.
+
+    The history is replaced in one switch then, so loads of a namespace must note their writes one after the other.
 
     The record helps to audit; it is no snapshot to go back to. A lakehouse table keeps its
     own snapshots and needs none.
@@ -39,3 +43,6 @@ def record_loads(spark: SparkSession, binding: CatalogBinding, loads: Sequence[L
     create_table(spark, binding, HISTORY_TABLE, LOAD_HISTORY)
     entries = [(load.run_id, load.table, load.operation, int(load.rows), load.committed_at) for load in loads]
     append(spark, binding, HISTORY_TABLE, spark.createDataFrame(entries, LOAD_HISTORY.schema).coalesce(1))
+    history = spark.table(binding.table(HISTORY_TABLE))
+    if binding.kind == "session" and len(history.inputFiles()) > MOST_FILES:
+        replace_files(spark, binding, HISTORY_TABLE, history.coalesce(1).sortWithinPartitions("committed_at"), as_dealt=True)

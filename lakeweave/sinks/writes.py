@@ -156,17 +156,21 @@ def append(
     target_files: int | None = None,
     sort_within: Sequence[str] = (),
     order_by: Sequence[str] = (),
+    bucket_by: tuple[str, int] | None = None,
     absent: Sequence[str] = (),
 ) -> Written:
     """Add the rows of ``df`` to a table and return how many there were.
 
     ``partition_by`` names the table's partition columns, for the distribution of rows;
     ``absent`` those that ``df`` leaves NULL. ``sort_within`` orders the rows of each file, ``order_by``
-    those of all files written.
+    those of all files written. With ``bucket_by``, that of the table, a bucket is written by one task into one file.
     """
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema, positional, absent)
-    rows = laid_out(spark, rows, partition_by, target_files, sort_within, order_by)
+    if bucket_by:
+        rows = rows.repartition(bucket_by[1], F.col(quoted(bucket_by[0])))
+    else:
+        rows = laid_out(spark, rows, partition_by, target_files, sort_within, order_by)
     rows, seen = counted(rows)
     if binding.kind == "v2":
         rows.writeTo(name).append()
@@ -267,6 +271,7 @@ def replace_files(
     partition_by: Sequence[str] = (),
     sort_within: Sequence[str] = (),
     order_by: Sequence[str] = (),
+    as_dealt: bool = False,
     run: str | None = None,
 ) -> Written:
     """Replace the rows of a session table by writing a fresh folder.
@@ -278,14 +283,14 @@ def replace_files(
     A table with partitions has to find them in its folder (``create_table(..., listed=True)``): one statement then
     switches all of them. Where the catalog keeps a folder for each partition no statement could.
 
-    ``run`` names the replacement. The table's folder tells whether it is done (``is_done``), and what an earlier
+    ``as_dealt`` says that the tasks of ``df`` hold what each is to write. ``run`` names the replacement. The table's folder tells whether it is done (``is_done``), and what an earlier
     attempt of that name left behind is written over.
     """
     name = binding.table(table)
     if partition_by and tracks_partitions(spark, name):
         raise ValueError(f"{table}: the catalog keeps its partitions, so they cannot be switched at once")
     fresh = run_folder(spark, name, run)
-    rows, seen = counted(laid_out(spark, df, partition_by, sort_within=sort_within, order_by=order_by))
+    rows, seen = counted(df if as_dealt else laid_out(spark, df, partition_by, sort_within=sort_within, order_by=order_by))
     writer = rows.write.format(binding.format).mode("errorifexists" if run is None else "overwrite")
     writer.option("partitionOverwriteMode", "static").partitionBy(*partition_by).save(fresh)
     spark.sql(f"ALTER TABLE {name} SET LOCATION {literal(fresh)}")

@@ -13,12 +13,36 @@ from lakeweave.sources.bindings import CatalogBinding
 
 # Partitions that a table of them may name and still be sent to every executor.
 BROADCAST_PARTITIONS = 100_000
+# The largest bucket that a scan keeps whole, in means of all buckets.
+MOST_SKEW = 4.0
+# Fixed value: how Spark names the files of a bucket.
+BUCKET_NAME = r"_([0-9]{5})(?:\.c[0-9]+)?\.[a-z.]+$"
 
 
 def scan_table(spark: SparkSession, binding: CatalogBinding, table: str) -> DataFrame:
     return spark.table(binding.table(table))
 
 
+def bucket_sizes(spark: SparkSession, binding: CatalogBinding, table: str) -> list[int]:
+    """Bytes of each bucket of a bucketed table, from its file list."""
+    files = spark.table(binding.table(table)).select("_metadata.file_name", "_metadata.file_size", "_metadata.file_path").distinct()
+    bucket = F.regexp_extract("file_name", BUCKET_NAME, 1)
+    return [r[1] for r in files.groupBy(bucket).agg(F.sum("file_size")).collect()]  # one row per bucket
+
+
+def scan_bucketed(spark: SparkSession, binding: CatalogBinding, table: str, most_skew: float = MOST_SKEW) -> DataFrame:
+    """A bucketed table, with its buckets as long as they are of about one size.
+
+    A task reads a bucket as a whole, and nothing could split it. Where the largest has more than ``most_skew`` times the mean, the files are
+    read as any others: joins shuffle them then, and adaptive execution splits the hot key.
+    """
+    sizes, df = bucket_sizes(spark, binding, table), spark.table(binding.table(table))
+    if sizes and max(sizes) > most_skew * sum(sizes) / len(sizes):
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {binding.table(table)}").where("col_name = 'Location'").first()
+        return spark.read.schema(df.schema).format(binding.format).load(described["data_type"])
+    return df
+
+
 def scan_files(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     """Parquet folder under its declared schema.
 
