@@ -503,6 +503,31 @@ def bucketed_ltv(spark, sf_dir):
     return ops.customer_ltv(*(scan_bucketed(spark, operational, name) for name in loads))
 
 
+def resumed_copy(spark, sf_dir):
+    """Products copied in groups of files; the copy stops at the third group and is called again."""
+    operational, analytical = bindings(spark)
+    sinks.create_table(spark, operational, "products", PRODUCTS)
+    sinks.append(spark, operational, "products", star.products(spark, sf_dir), target_files=6)
+    seen = []
+
+    def stops(df):
+        seen.append(df)
+        if len(seen) == 3:
+            raise InterruptedError
+        return df
+
+    copy = lambda f: plans.resumable_copy(
+        spark, operational, "products", analytical, "products_copy", PRODUCTS, "copy", f, group_bytes=1
+    )
+    try:
+        copy(stops)
+    except InterruptedError:
+        pass
+    done = copy(lambda df: df)
+    copied = scan_table(spark, analytical, "products_copy")
+    return copied.withColumn("copied", F.lit(done.copied)).withColumn("skipped", F.lit(done.skipped))
+
+
 def load_quarantine(spark, sf_dir):
     """Order lines that came as text, some of them no numbers, loaded with their misfits set aside."""
     operational, _ = bindings(spark)
@@ -830,6 +855,7 @@ QUERIES = {
     "exact_revenue": exact_revenue,
     "incremental_distinct": incremental_distinct,
     "bucketed_ltv": bucketed_ltv,
+    "resumed_copy": resumed_copy,
     "load_quarantine": load_quarantine,
     "audit_in_one_pass": audit_in_one_pass,
     "compacted_table": compacted_table,

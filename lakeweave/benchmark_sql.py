@@ -263,6 +263,7 @@ SELECT status, CAST(round(sum(CAST(quantity * unit_price AS DECIMAL(38, 12))), 2
 FROM lines GROUP BY status""",
     "incremental_distinct": f"WITH {READINGS} SELECT DISTINCT *, {RANKING} FROM readings",
     "bucketed_ltv": f"WITH {REGIONS}, {LINES}, {LTV} SELECT * FROM ltv",
+    "resumed_copy": f"WITH {PRODUCTS} SELECT *, 4 AS copied, 2 AS skipped FROM products",
     "load_quarantine": f"""WITH {LINES}, judged AS (
     SELECT *, product_id % 10 = 0 AS many, product_id % 15 = 0 AS free, coalesce(status = 'CANCELLED', false) AS cancelled FROM lines
 )

@@ -1,6 +1,7 @@
 """Jobs of several steps that write tables."""
 
 from lakeweave.plans.compact import compact
+from lakeweave.plans.copying import resumable_copy
 from lakeweave.plans.distinct import append_distinct, dedup_increment, scan_distinct
 from lakeweave.plans.loads import load_tables, load_with_reconciliation
 from lakeweave.plans.publish import compute_aggregates, publish, register, verify
@@ -31,6 +32,7 @@ __all__ = [
     "reject_reasons",
     "replicate_partitions",
     "reset",
+    "resumable_copy",
     "scan_distinct",
     "verify",
 ]

@@ -74,6 +74,7 @@ def create_table(
     properties: Mapping[str, str] | None = None,
     listed: bool = False,
     bucket_by: tuple[str, int] | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> None:
     """Create the table if it is absent, over a folder of its own when the binding has a root.
 
@@ -85,6 +86,7 @@ def create_table(
 
     ``bucket_by`` is a column and a number of buckets: rows of one key share a file, and tables of the same buckets are joined and
     grouped by that column without a shuffle. Write to it with the same ``bucket_by``; read it with ``scan_bucketed``.
+    ``options`` are those of the format.
     """
     name, location = binding.table(table), binding.location(table)
     if spark.catalog.tableExists(name):
@@ -95,6 +97,8 @@ def create_table(
     if binding.format == "iceberg":
         properties |= LAKEHOUSE_PROPERTIES
     clauses = [f"CREATE TABLE IF NOT EXISTS {name} ({spec.schema.toDDL()}) USING {binding.format}"]
+    if options:
+        clauses.append(f"OPTIONS {property_list(options)}")
     if spec.partition_by:
         clauses.append(f"PARTITIONED BY ({', '.join(map(quoted, spec.partition_by))})")
     if bucket_by:
