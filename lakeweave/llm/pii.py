@@ -86,18 +86,26 @@ def _contexts(text: Column, start: Column, end: Column) -> Column:
 
 
 def _scores(scratch: Scratch, graph: DataFrame) -> DataFrame:
-    """(instance, score) after some rounds over (pattern, instance, seed)."""
+    """(instance, score) after some rounds over (pattern, instance, seed).
+
+    A pattern is worth the mean score of its instances, and an instance as much as its best pattern; seeds are worth 1. A
+    pattern counts once ``LEAST_INSTANCES`` of its instances are sure, seeds or promoted in a round before, so that what is found
+    in one context leads to others. Worth falls with each step away from the seeds, as unknown instances lower the mean.
+    """
     edges = scratch.save(
         graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph"
     )
-    seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    seeds = scratch.save(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score")), "seeds")
     scores = seeds
     for _ in range(ROUNDS):
+        sure = F.count_if(F.col("score") >= LEAST_SCORE)
         worth = edges.join(scores, "instance").groupBy("pattern").agg(
-            F.avg("score").alias("worth"), F.count("*").alias("n"), F.sum("seed").alias("seeds")
+            F.avg("score").alias("worth"), F.count("*").alias("n"), sure.alias("sure")
         )
-        # Patterns with few instances, or without several seeds among them, say nothing.
-        worth = worth.where((F.col("n") >= LEAST_INSTANCES) & (F.col("seeds") >= LEAST_INSTANCES)).select("pattern", "worth")
+        # Patterns with few instances, or without several sure ones among them, say nothing.
+        worth = worth.where((F.col("n") >= LEAST_INSTANCES) & (F.col("sure") >= LEAST_INSTANCES)).select("pattern", "worth")
+        # Written down, so that the join with a hot pattern's rows can be split.
+        worth = scratch.save(worth, "worth")
         best = edges.join(worth, "pattern").groupBy("instance").agg(F.max("worth").alias("worth"))
         scores = (
             seeds.join(best, "instance", "left")

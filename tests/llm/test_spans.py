@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeweave.llm import pii
 from lakeweave.llm.pii import find_pii
 from lakeweave.llm.secrets import battery, find_secrets, redact
+from lakeweave.llm.shared import Scratch
 from lakeweave.llm.spans import matches
 
 from . import brute
@@ -137,3 +138,41 @@ def test_a_pattern_of_few_instances_says_nothing(make_docs):
     rows = [(i, f"please contact user{i}@example.org today") for i in range(few)]
     rows += [(100, "please contact ID-99887766 today")]
     assert all(r["n_context"] == 0 for r in find_pii(make_docs(rows)).collect())
+
+
+def test_what_is_found_leads_to_more(make_docs):
+    """Identifiers found beside seeds make a second context sure, where there is no seed."""
+    known = [f"AC-{100_000 + 7 * k}-{k}" for k in range(25)]
+    rows = [(i, f"filler{i} call my number +1 (555) 010-{1000 + i:04d} right now") for i in range(300)]
+    rows += [(1000 + k, f"filler call my number {known[k]} right now") for k in range(25)]
+    rows += [(2000 + k, f"your account code {known[k]} was opened") for k in range(25)]
+    rows += [(3000, "your account code ZX-998877-1 was opened"), (3001, "their parcel label ZY-998877-2 was shut")]
+    found = {r["doc_id"]: r for r in find_pii(make_docs(rows)).collect()}
+    assert all(found[1000 + k]["n_context"] == 1 and found[2000 + k]["n_context"] == 1 for k in range(25))
+    assert found[3000]["spans"] == "context:18:29"
+    assert found[3001]["n_context"] == 0
+
+
+def graph_scores(edges: set[tuple[str, int, int]]) -> dict[int, float]:
+    """The rounds over (pattern, instance, seed), one value at a time."""
+    seeds = {i: float(max(s for _, j, s in edges if j == i)) for _, i, _ in edges}
+    scores = dict(seeds)
+    for _ in range(pii.ROUNDS):
+        worth = {}
+        for p in {p for p, _, _ in edges}:
+            inside = [scores[i] for i in {i for q, i, _ in edges if q == p}]
+            if len(inside) >= pii.LEAST_INSTANCES and sum(s >= pii.LEAST_SCORE for s in inside) >= pii.LEAST_INSTANCES:
+                worth[p] = sum(inside) / len(inside)
+        scores = {i: max([seeds[i], *(worth[p] for p, j, _ in edges if j == i and p in worth)]) for i in seeds}
+    return scores
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    edges = {(f"p{rng.randrange(14)}", i, int(i % 20 < 17 and i < 60)) for i in range(90) for _ in range(rng.randint(1, 3))}
+    rows = [e for e in edges for _ in range(rng.randint(1, 3))]
+    got = pii._scores(Scratch(spark), spark.createDataFrame(rows, "pattern string, instance long, seed int"))
+    scores = {r["instance"]: r["score"] for r in got.collect()}
+    expected = graph_scores(edges)
+    assert scores.keys() == expected.keys() and all(abs(scores[i] - expected[i]) < 1e-9 for i in expected)
+    assert any(0 < s < 1 for s in expected.values())
