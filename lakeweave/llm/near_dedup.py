@@ -18,8 +18,9 @@ What keeps it going at scale:
   compared with all of the cluster in blocks: a task takes two blocks of texts and counts the
   common shingles of all their pairs as a matrix product, and returns links of a spanning
   forest. Nothing is skipped, and no bucket or cluster is collected.
-* Minimum and joins back instead of windows: a hot key is reduced in the map tasks, and
-  its join is split by adaptive execution.
+* Minimum and joins back instead of windows: a hot key is reduced in the map tasks. What came of it is
+  written down before it is joined back by the same key: adaptive execution splits a hot key only
+  in a join of tables, not of an aggregate that still lies in the join's own stage.
 """
 
 from __future__ import annotations
@@ -129,11 +130,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield kept
 
 
-def _shared_collections(nodes: DataFrame) -> DataFrame:
+def _shared_collections(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     """(node, keys): the collections of a node that another node has as well, if two or more."""
     each = nodes.select("node", F.posexplode("collections").alias("i", "v"))
     shared = each.groupBy("i", "v").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = shared.where("low <> high").select("i", "v")
+    shared = scratch.save(shared.where("low <> high").select("i", "v"), "shared")
     return (
         each.join(shared, ["i", "v"])
         .groupBy("node")
@@ -142,10 +143,10 @@ def _shared_collections(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _buckets(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     """(key, node) for every table in which both halves of the key are shared."""
     pairs = F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in combinations(range(COLLECTIONS), 2)])
-    halves = _shared_collections(nodes).select("node", "keys", F.explode(pairs).alias("at"))
+    halves = _shared_collections(scratch, nodes).select("node", "keys", F.explode(pairs).alias("at"))
     first, second = F.get("keys", F.col("at")[0]), F.get("keys", F.col("at")[1])
     return halves.where(second.isNotNull()).select(F.xxhash64(first, second).alias("key"), "node")
 
@@ -165,30 +166,30 @@ def _pairs(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return few.join(other, "key").where("node < b").select(F.col("node").alias("a"), "b")
 
 
-def _against_pivots(clusters: DataFrame) -> DataFrame:
+def _against_pivots(scratch: Scratch, clusters: DataFrame) -> DataFrame:
     """Pairs of a few nodes of each cluster with all its nodes, each once."""
     best = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)]
     chosen = clusters.groupBy("cluster").agg(F.array_distinct(F.array(*best)).alias("chosen"))
-    against = clusters.join(chosen.select("cluster", F.explode("chosen").alias("pivot")), "cluster").where("node <> pivot")
+    chosen = scratch.save(chosen.select("cluster", F.explode("chosen").alias("pivot")), "pivots")
+    against = clusters.join(chosen, "cluster").where("node <> pivot")
     return against.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
 
 
-def _still_apart(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+def _still_apart(scratch: Scratch, clusters: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of clusters that hold more than one component, with their component as ``comp``."""
     state = clusters.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = state.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return state.join(mixed.select("cluster"), "cluster")
+    return state.join(scratch.save(mixed.select("cluster"), "mixed"), "cluster")
 
 
-def _block_pairs(state: DataFrame) -> DataFrame:
+def _block_pairs(scratch: Scratch, state: DataFrame) -> DataFrame:
     """(cluster, x, y, side, node, comp): blocks of the nodes outside a cluster's largest component
     (side 0) against blocks of all its nodes (side 1)."""
     sizes = state.groupBy("cluster", "comp").count()
     sizes = sizes.groupBy("cluster").agg(F.max_by("comp", "count").alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    state = state.join(
-        sizes.select("cluster", "main", blocks(F.col("n") - F.col("most")).alias("xs"), blocks(F.col("n")).alias("ys")), "cluster"
-    )
+    sizes = sizes.select("cluster", "main", blocks(F.col("n") - F.col("most")).alias("xs"), blocks(F.col("n")).alias("ys"))
+    state = state.join(scratch.save(sizes, "sizes"), "cluster")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = state.where("comp <> main").withColumn("x", at("xs")).withColumn("y", every("ys"))
@@ -247,6 +248,15 @@ def _linked_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+def _members(scratch: Scratch, linkable: DataFrame) -> DataFrame:
+    """Every document with the smallest one of equal sets as its node; only that one carries its collections on."""
+    same = ["set_a", "set_b", "n_shingles"]
+    least = scratch.save(linkable.groupBy(*same).agg(F.min("doc_id").alias("node")), "sets")
+    return linkable.join(least, same).select(
+        "doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("collections")).alias("collections")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -262,15 +272,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = scratch.save(texts.mapInArrow(_features, FEATURES), "features")
     linkable = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["set_a", "set_b", "n_shingles"]
-    members = scratch.save(
-        linkable.join(linkable.groupBy(*same).agg(F.min("doc_id").alias("node")), same).select(
-            "doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("collections")).alias("collections")
-        ),
-        "members",
-    )
+    members = scratch.save(_members(scratch, linkable), "members")
     nodes = members.where("doc_id = node").select("node", "n_shingles", "collections")
-    rows = scratch.save(_different(scratch.save(_buckets(nodes), "tables")), "buckets")
+    rows = scratch.save(_different(scratch.save(_buckets(scratch, nodes), "tables")), "buckets")
     roots = _link(scratch, texts, nodes.select("node", "n_shingles"), rows)
 
     # The root is the smallest node, and a node is the smallest document of equal sets.
@@ -291,14 +295,14 @@ def _link(scratch: Scratch, texts: DataFrame, sizes: DataFrame, rows: DataFrame)
     def needed(ids: DataFrame) -> DataFrame:
         return scratch.save(semi_join(texts, ids.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct(), "texts")
 
-    members = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"))
+    members = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")), "bucket-sizes")
     pairs = _pairs(rows, members.where(F.col("n") <= SMALL_BUCKET).select("key"))
     large = rows.join(members.where(F.col("n") > SMALL_BUCKET), "key").select("node", "low").distinct()
     tied = components(scratch, scratch.save(large, "large"), "node", "low")
     clusters = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
     clusters = clusters.withColumnRenamed("root", "cluster")
 
-    pairs = pairs.unionByName(_against_pivots(clusters)).distinct()
+    pairs = pairs.unionByName(_against_pivots(scratch, clusters)).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
     fits = F.col("n_a").between(F.ceil(F.col("n_b") * part / whole), F.floor(F.col("n_b") * whole / part))
@@ -309,10 +313,10 @@ def _link(scratch: Scratch, texts: DataFrame, sizes: DataFrame, rows: DataFrame)
     links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
     roots = components(scratch, scratch.save(links, "links"), "a", "b")
 
-    apart = scratch.save(_still_apart(clusters, roots), "apart")
+    apart = scratch.save(_still_apart(scratch, clusters, roots), "apart")
     if apart.isEmpty():
         return roots
-    blocks = scratch.save(_block_pairs(apart), "blocks")
+    blocks = scratch.save(_block_pairs(scratch, apart), "blocks")
     found = needed(blocks.select("node")).withColumnRenamed("doc_id", "node")
     more = blocks.join(found, "node").groupBy("cluster", "x", "y").applyInArrow(_linked_blocks, "a long, b long")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

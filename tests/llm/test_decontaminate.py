@@ -1,6 +1,8 @@
 import random
 
+import __spark_entry__ as contract
 from lakeweave.llm.decontaminate import LEAST_SCORE, MASKS, MISMATCH, contaminated
+from tests import oracle
 
 from . import brute
 from .conftest import sentence
@@ -56,3 +58,8 @@ def test_edge_rows_and_empty_tables(spark, make_docs, edge_rows):
     assert [(r["doc_id"], r["item_id"]) for r in found] == [(7, 2)]
     assert run(spark, make_docs, [], items).collect() == []
     assert run(spark, make_docs, edge_rows, []).collect() == []
+
+
+def test_query_equals_sql(spark, sf_dir):
+    name = "op2_decontamination"
+    assert oracle.spark_answer(contract.queries()[name](spark, sf_dir)) == oracle.sql_answer(oracle.connect(sf_dir), contract.oracle_sql()[name])

@@ -1,5 +1,11 @@
-from lakeweave.llm import near_dedup
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from lakeweave.llm import near_dedup, pii
 from lakeweave.llm.near_dedup import near_duplicates
+from lakeweave.llm.shared import Scratch
+from tests import oracle
 
 from . import brute
 
@@ -34,3 +40,65 @@ def test_edge_rows(make_docs, edge_rows):
 
 def test_empty_table(make_docs):
     assert near_duplicates(make_docs([])).collect() == []
+
+
+SPLITS = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "12",
+}
+
+
+@pytest.fixture
+def splitting(spark):
+    before = {key: spark.conf.get(key, None) for key in SPLITS}
+    for key, value in SPLITS.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def is_split(df) -> bool:
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_join_of_equal_sets_is_split(spark, splitting):
+    """A third of the documents have one set."""
+    ids = spark.range(0, 60_000, 1, 6).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    features = ids.select(
+        F.col("id").alias("doc_id"), F.lit(9).cast("long").alias("n_shingles"), F.xxhash64("k").alias("set_a"), F.xxhash64("k", F.lit(1)).alias("set_b"),
+        F.array(*[F.xxhash64("k", F.lit(i)) for i in range(near_dedup.COLLECTIONS)]).alias("collections"),
+    )
+    scratch = Scratch(spark)
+    features = scratch.save(features, "features")
+    assert is_split(near_dedup._members(scratch, features))
+
+
+def test_the_join_of_a_hot_pattern_is_split(spark, splitting, monkeypatch):
+    """A third of the places of candidates have one pattern."""
+    ids = spark.range(0, 60_000, 1, 6)
+    pattern = F.when(F.col("id") % 3 == 0, "before my number").otherwise(F.concat(F.lit("before "), (F.col("id") % 9000).cast("string")))
+    graph = ids.select(pattern.alias("pattern"), F.xxhash64("id").alias("instance"), (F.col("id") % 50 > 1).cast("int").alias("seed"))
+    joined, scratch = [], Scratch(spark)
+    save = Scratch.save
+
+    def kept(self, df, name):
+        if name == "scores":
+            joined.append(df)
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    scores = pii._scores(scratch, graph)
+    assert scores.count() == 60_000
+    assert is_split(joined[0])
+
+
+def test_query_equals_sql(spark, sf_dir):
+    name = "op7_minhash_near_dedup"
+    assert oracle.spark_answer(contract.queries()[name](spark, sf_dir)) == oracle.sql_answer(oracle.connect(sf_dir), contract.oracle_sql()[name])
