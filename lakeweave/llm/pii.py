@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.llm.shared import Scratch
-from lakeweave.llm.spans import digest, matches, of_kind, row_key
+from lakeweave.llm.spans import apart, cut, digest, let, matches, of_kind, parts, row_key
 from lakeweave.llm.words import lower_ascii
 
 KINDS = ("email", "ip", "card", "phone")
@@ -70,19 +70,27 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _contexts(text: Column, start: Column, end: Column) -> Column:
-    """Lexical patterns around a span; fewer where the text has fewer words there."""
-    left = lower_ascii(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
-    right = lower_ascii(F.substring(text, end + 1, F.lit(CONTEXT)))
-    word = r"[^\x20\x09-\x0D]+"
-    two = F.regexp_extract(left, rf"({word})[\x20\x09-\x0D]+({word})[\x20\x09-\x0D]+\S*$", 1)
-    one = F.regexp_extract(left, rf"({word})[\x20\x09-\x0D]+\S*$", 1)
-    after = F.regexp_extract(right, rf"^\S*[\x20\x09-\x0D]+({word})", 1)
-    patterns = F.array(
-        F.when((two != "") & (one != ""), F.concat_ws(" ", F.lit("before"), two, one)),
-        F.when((one != "") & (after != ""), F.concat_ws(" ", F.lit("around"), one, after)),
-    )
-    return F.filter(patterns, lambda p: p.isNotNull())
+def _contexts(of: Column, size: Column, start: Column, end: Column) -> Column:
+    """Lexical patterns around a span of a text in parts; fewer where the text has fewer words there.
+
+    A word that does not lie whole within ``CONTEXT`` code points of the span is part of no pattern.
+    """
+    blank = r"[\x20\x09-\x0D]+"
+    low, high = F.greatest(start - CONTEXT, F.lit(0)), F.least(end + CONTEXT, size)
+
+    def patterns(left: Column, right: Column) -> Column:
+        # The last of the left is beside the span, the first may be the end of a longer word.
+        word = lambda back: F.when(F.size(left) - back >= F.when(low > 0, 1).otherwise(0), F.get(left, F.size(left) - back))
+        whole = (F.size(right) > 2) | ((F.size(right) == 2) & (high == size))
+        two, one, after = word(3), word(2), F.when(whole, F.get(right, F.lit(1)))
+        return F.array(
+            F.when((two != "") & (one != ""), F.concat_ws(" ", F.lit("before"), two, one)),
+            F.when((one != "") & (after != ""), F.concat_ws(" ", F.lit("around"), one, after)),
+        )
+
+    words = lambda a, b: F.split(lower_ascii(cut(of, a, b)), blank, -1)
+    found = let(words(low, start), lambda left: let(words(end, high), lambda right: patterns(left, right)))
+    return F.filter(found, lambda p: p.isNotNull())
 
 
 def _scores(scratch: Scratch, graph: DataFrame) -> DataFrame:
@@ -128,7 +136,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.array_distinct(F.concat(matches(text, RUN, text.rlike("[0-9]")), matches(text, TOKEN, F.lit(True))))
+    # A run has a blank and a token has none: no span is in both.
+    tokens = F.concat(matches(text, RUN, text.rlike("[0-9]")), matches(text, TOKEN, F.lit(True)))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
@@ -137,20 +146,26 @@ def find_pii(docs: DataFrame) -> DataFrame:
         tokens.alias("tokens"),
     )
 
-    def place(s: Column, seed: int) -> Column:
-        patterns = _contexts(F.col("text"), s["start"], s["end"])
+    def place(s: Column, seed: int, of: Column, size: Column) -> Column:
         lasting = F.lit(seed == 1) | s["value"].contains("@") | (F.length(_digits(s["value"])) >= LEAST_DIGITS)
-        instance = F.when(lasting, F.xxhash64(F.lower(s["value"]))).otherwise(F.xxhash64(F.lower(s["value"]), patterns))
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), instance.alias("instance"), F.lit(seed).alias("seed"),
-            patterns.alias("patterns"),
-        )
-
-    free = F.filter(
-        "tokens", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    )
-    places = F.concat(F.transform("base", lambda s: place(s, 1)), F.transform(free, lambda t: place(t, 0)))
-    rows = scratch.save(rows.select("doc_id", "row_key", "base", places.alias("places")), "spans")
+        value = F.lower(s["value"])
+        return let(
+            _contexts(of, size, s["start"], s["end"]),
+            lambda patterns: F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                F.when(lasting, F.xxhash64(value)).otherwise(F.xxhash64(value, patterns)).alias("instance"),
+                F.lit(seed).alias("seed"),
+                patterns.alias("patterns"),
+            ),
+        )
+
+    def places(of: Column, size: Column) -> Column:
+        free = apart(F.col("tokens"), F.col("base"))
+        return F.concat(F.transform("base", lambda s: place(s, 1, of, size)), F.transform(free, lambda t: place(t, 0, of, size)))
+
+    every = let(parts(F.col("text")), lambda of: let(F.length("text"), lambda size: places(of, size)))
+    rows = scratch.save(rows.select("doc_id", "row_key", "base", every.alias("places")), "spans")
     found = rows.where(F.size("places") > 0).select("row_key", F.explode("places").alias("p")).select("row_key", "p.*")
     graph = found.select(F.explode("patterns").alias("pattern"), "instance", "seed")
     scores = _scores(scratch, graph).where(F.col("score") >= LEAST_SCORE)

@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Lengths are added up in blocks of this many, so that a text with very many matches costs
-# about this many steps for each and not one for each pair.
+# Lengths are added up and spans compared in blocks of this many, so that a text with very many matches
+# costs about this many steps for each and not one for each pair.
 BLOCK = 256
+# Code points in a part of a text.
+PART = 512
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,29 +19,81 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _starts(lengths: Column) -> Column:
-    """Sum of all lengths before each of them."""
-    add = lambda a, b: a + b
-    total = lambda part: F.aggregate(part, F.lit(0), add)
+def _running(values: Column, zero: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """All ``values`` (computed once, as by ``let``) before each of them in one, by ``merge``; ``zero`` changes nothing."""
+    total = lambda part: F.aggregate(part, F.lit(zero), merge)
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")),
-        lambda b: total(F.slice(lengths, b * BLOCK + 1, BLOCK)),
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")),
+        lambda b: total(F.slice(values, b * BLOCK + 1, BLOCK)),
     )
     before = let(blocks, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
     return let(
         before,
         lambda sums: F.transform(
-            lengths,
-            lambda _, i: F.get(sums, F.floor(i / BLOCK).cast("int"))
-            + total(F.slice(lengths, i - i % BLOCK + 1, (i % BLOCK).cast("int"))),
+            values,
+            lambda _, i: merge(
+                F.get(sums, F.floor(i / BLOCK).cast("int")), total(F.slice(values, i - i % BLOCK + 1, (i % BLOCK).cast("int")))
+            ),
         ),
     )
 
 
+def parts(text: Column) -> Column:
+    """The text in parts of ``PART`` code points, to ``cut`` places out of it without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}+"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text in ``parts``; empty if there are none."""
+    first, last = (start / PART).cast("int"), ((end - 1) / PART).cast("int")
+    around = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(around, start - first * PART + 1, end - start)).otherwise("")
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """The text with every span (start, end) replaced; spans that overlap share one mark."""
+
+    def body(of: Column, ordered: Column, ends: Column) -> Column:
+        upto = _running(ends, 0, lambda a, b: F.greatest(a, b))
+        pieces = F.zip_with(
+            ordered, upto, lambda s, at: F.when(s["start"] >= at, F.concat(cut(of, at, s["start"]), F.lit(mark))).otherwise("")
+        )
+        return F.concat(F.array_join(pieces, ""), cut(of, F.array_max(ends), F.length(text)))
+
+    with_ends = lambda of, ordered: let(F.transform(ordered, lambda s: s["end"]), lambda ends: body(of, ordered, ends))
+    found = let(parts(text), lambda of: let(F.array_sort(spans), lambda ordered: with_ends(of, ordered)))
+    return F.when(F.size(spans) > 0, found).otherwise(text)
+
+
+def apart(found: Column, taken: Column) -> Column:
+    """The spans of ``found`` that overlap none of ``taken``.
+
+    Taken spans lie in blocks by their start; a span looks at all blocks and into those that it meets.
+    """
+    plain = F.array_sort(F.transform(taken, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def blocks(ordered: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / BLOCK).cast("int"))
+        inside = F.transform(cuts, lambda b: F.slice(ordered, b * BLOCK + 1, BLOCK))
+        return F.transform(
+            inside,
+            lambda part: F.struct(
+                F.get(part, F.lit(0))["start"].alias("start"),
+                F.array_max(F.transform(part, lambda s: s["end"])).alias("end"),
+                part.alias("inside"),
+            ),
+        )
+
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    free = lambda f, heads: ~F.exists(heads, lambda h: meet(h, f) & F.exists(h["inside"], lambda s: meet(s, f)))
+    kept = let(let(plain, blocks), lambda heads: F.filter(found, lambda f: free(f, heads)))
+    return F.when(F.size(taken) > 0, kept).otherwise(found)
+
+
 def _placed(gaps: Column, values: Column) -> Column:
     """(start, end, value) of matches, given what lies before each of them."""
     steps = F.zip_with(gaps, values, lambda gap, v: F.length(gap) + F.length(v))
-    ends = let(steps, lambda lengths: F.zip_with(_starts(lengths), lengths, lambda at, n: at + n))
+    ends = let(steps, lambda lengths: F.zip_with(_running(lengths, 0, lambda a, b: a + b), lengths, lambda at, n: at + n))
     return F.zip_with(
         ends,
         values,
