@@ -7,24 +7,31 @@ instead, and may overlap. The encoding is inferred (hex,
 base32, base64), and under the hypothesis that its symbols are drawn at random three tests
 are made: chi-squared of the symbol counts, the number of runs above and below the middle
 of the alphabet, and the correlation of neighbours. The smallest p-value, times three, is the
-candidate's. Words and identifiers fail this clearly; how clearly depends on their length.
-
-Which candidates to discard as not random is decided by the Benjamini-Hochberg procedure
-within bands of length and encoding, over the candidates of all documents: at most
-``FALSE_DISCOVERIES`` of what is discarded in a band are random strings. The rest are secrets.
+candidate's; one below ``LEAST_RANDOM`` is no random string.
+
+Short identifiers pass these tests too, as twenty symbols say little. So the error that is controlled is
+that of the report: under the null hypothesis a candidate is an identifier, words of the corpus one after the other in
+any case, with digits and separators. Pairs of letters in the corpus' own words give the probability of such a
+string at least; the ratio of it to that of a random string of the encoding is a p-value (the mean of the inverse ratio over
+identifiers is at most 1, so it is as small as p with probability p at most). It falls with each symbol of
+a random string, so that power comes with length. The Benjamini-Hochberg procedure within bands of
+length and encoding, over the candidates of all documents, then decides what is reported: at most
+``FALSE_DISCOVERIES`` of what is reported in a band are identifiers, as far as these are like the words.
 The procedure needs ranks only; they come from a histogram of p-values with a fixed number of
 bins, so no sort of all candidates is needed.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.llm.shared import Scratch, small
-from lakeweave.llm.spans import digest, matches, of_kind, row_key
+from lakeweave.llm.spans import apart, digest, matches, of_kind, replaced, row_key
 
 KINDS = ("assign", "access", "hex")
 FOUND = "random"
@@ -49,6 +56,17 @@ ENCODINGS = (
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 FALSE_DISCOVERIES = 0.05
+LEAST_RANDOM = 0.001
+# Symbols of a word: letters in lower case, 0 for any digit, _ for the place between two words.
+FOLDED = "abcdefghijklmnopqrstuvwxyz0_"
+# A new word within an identifier: after a small letter, before the last of some capitals, at a separator.
+NEW_WORD = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[+/_-]++"
+# Share of pairs that follow no statistics, and probabilities of the case of a word and of a digit.
+ANY_PAIR, OF_CASE, OF_DIGIT = 0.2, 0.25, 0.1
+# Words are at least this frequent: what occurs once may be a random string itself.
+LEAST_COUNT = 2
+# Most bytes of spans sent to every executor.
+BROADCAST_BYTES = 64_000_000
 # Histogram of -log10(p): bins of 1/20 up to 20.
 BINS_PER_UNIT, MOST_BINS = 20, 400
 
@@ -102,20 +120,66 @@ def battery(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.least(3 * F.least(*tests), F.lit(1.0))).drop("body", "alphabet", "x", "k", "n")
 
 
-def pieces() -> Column:
+def pieces(run: Column) -> Column:
     """What to test of a run (start, end, value): the whole if one encoding fits it, or its pieces."""
-    value, start = F.col("value"), F.col("start")
-    whole = F.array(F.struct("start", "end", "value"))
-    parts = F.concat(*[matches(value, pattern, F.lit(True)) for pattern in PIECES])
+    value, start = run["value"], run["start"]
+    found = F.concat(*[matches(value, pattern, F.lit(True)) for pattern in PIECES])
     moved = F.transform(
-        parts,
+        found,
         lambda m: F.struct((start + m["start"]).alias("start"), (start + m["end"]).alias("end"), m["value"].alias("value")),
     )
-    return F.when(value.rlike("[+/]") & value.rlike("[_-]"), moved).otherwise(whole)
+    return F.when(value.rlike("[+/]") & value.rlike("[_-]"), moved).otherwise(F.array(run))
+
+
+def _symbols(folded: Column) -> Column:
+    """Places in ``FOLDED`` of all symbols of a string, a blank place at either end."""
+    every = F.split(F.concat(F.lit("_"), folded, F.lit("_")), "(?!^)(?!$)", -1)
+    return F.transform(every, lambda c: F.instr(F.lit(FOLDED), c) - 1)
+
 
+def _fold(value: Column) -> Column:
+    return F.translate(F.lower(value), "123456789", "000000000")
 
-def discarded(tested: DataFrame) -> DataFrame:
-    """(band, cut): bins from ``cut`` on are not random, by Benjamini-Hochberg within the band."""
+
+def pair_logs(docs: DataFrame) -> list[float]:
+    """log10 of the probability of each symbol after each, by ``FOLDED``, in the words of all texts.
+
+    A word of fewer than ``LEAST_LENGTH`` letters and digits weighs by the logarithm of its count, so that no copied text and
+    no single word decides. There are as many groups as pairs of symbols.
+    """
+    k = len(FOLDED)
+    words = docs.select(F.explode(F.split(F.lower(F.col("text")), "[^a-z0-9]+", -1)).alias("w"))
+    words = words.where(F.length("w").between(1, LEAST_LENGTH - 1)).groupBy("w").count().where(F.col("count") >= LEAST_COUNT)
+    x = words.select(_symbols(_fold(F.col("w"))).alias("x"), (1 + F.log2("count")).alias("c"))
+    pairs = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1), lambda a, b: a * k + b)
+    # Whole numbers add up alike in any order.
+    total = F.sum(F.round(F.col("c") * 1000).cast("long"))
+    found = x.select(F.explode(pairs).alias("pair"), "c").groupBy("pair").agg(total.alias("c")).collect()
+    counts = [[500] * k for _ in range(k)]
+    for r in found:
+        counts[r["pair"] // k][r["pair"] % k] += r["c"]
+    return [math.log10((1 - ANY_PAIR) * c / sum(row) + ANY_PAIR / k) for row in counts for c in row]
+
+
+def with_null(tested: DataFrame, logs: Sequence[float]) -> DataFrame:
+    """Add ``evidence``: -log10 of the p-value of the null hypothesis that ``value`` is an identifier."""
+    k = len(FOLDED)
+    body = F.rtrim(F.col("value"), F.lit("="))
+    rows = tested.withColumn("x", _symbols(_fold(F.regexp_replace(body, NEW_WORD, "_"))))
+    table = F.lit([float(v) for v in logs])
+    pairs = F.zip_with(
+        F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1), lambda a, b: F.get(table, a * k + b)
+    )
+    count = lambda symbol: F.size(F.filter("x", lambda s: s == FOLDED.index(symbol)))
+    own = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
+    own = own + math.log10(OF_CASE) * (count("_") - 1) + math.log10(OF_DIGIT) * count("0")
+    sizes = {name: len(alphabet) for name, _, alphabet in ENCODINGS}
+    size = reduce(lambda rest, e: F.when(F.col("encoding") == e[0], math.log10(e[1])).otherwise(rest), sizes.items(), F.lit(0.0))
+    return rows.withColumn("evidence", F.greatest(-own - size * F.col("length"), F.lit(0.0))).drop("x")
+
+
+def reported(tested: DataFrame) -> DataFrame:
+    """(band, cut): bins from ``cut`` on are no identifiers, by Benjamini-Hochberg within the band."""
     counts = tested.groupBy("band", "bin").agg(F.count("*").alias("c"))
     up = Window.partitionBy("band").orderBy(F.desc("bin"))
     ranked = counts.withColumns({"rank": F.sum("c").over(up), "m": F.sum("c").over(Window.partitionBy("band"))})
@@ -138,19 +202,21 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
         base_spans(text).alias("base"),
-        matches(text, CANDIDATE, F.lit(True)).alias("candidates"),
+        matches(text, CANDIDATE, F.lit(True)).alias("runs"),
     )
-    rows = scratch.save(rows, "spans")
-    each = rows.where(F.size("candidates") > 0).select("row_key", "base", F.explode("candidates").alias("c"))
-    each = each.select("row_key", "base", "c.*").select("row_key", "base", F.explode(pieces()).alias("c"))
-    free = ~F.exists("base", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
-    each = each.where(free).select("row_key", "c.*").distinct()
+    candidates = apart(F.flatten(F.transform("runs", pieces)), F.col("base"))
+    rows = scratch.save(rows.select("doc_id", "row_key", "base", candidates.alias("candidates")), "spans")
+    each = rows.where(F.size("candidates") > 0).select("row_key", F.explode("candidates").alias("c"))
+    each = scratch.save(battery(each.select("row_key", "c.*").distinct()), "battery")
+    none = [0.0] * len(FOLDED) ** 2
+    tested = with_null(each, none if each.isEmpty() else pair_logs(docs))
     # Bands of length: powers of the square root of two, so that strings of like power are compared.
     band = F.concat_ws(":", "encoding", F.floor(2 * F.log2("length")).cast("string"))
-    level = F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * BINS_PER_UNIT), F.lit(MOST_BINS)).cast("int")
-    tested = scratch.save(battery(each).withColumns({"band": band, "bin": F.greatest(level, F.lit(0))}), "tested")
-    cuts = discarded(tested)  # at most one row per band, and there are some hundred bands
-    random = tested.join(F.broadcast(cuts), "band", "left").where("cut IS NULL OR bin < cut")
+    level = F.least(F.floor(F.col("evidence") * BINS_PER_UNIT), F.lit(MOST_BINS)).cast("int")
+    level = F.when(F.col("p") < LEAST_RANDOM, 0).otherwise(level)
+    tested = scratch.save(tested.withColumns({"band": band, "bin": level}), "tested")
+    cuts = reported(tested)  # at most one row per band, and there are some hundred bands
+    random = tested.join(F.broadcast(cuts), "band").where("bin >= cut")
     return digest(rows.select("doc_id", "row_key", "base"), random.select("row_key", "start", "end"), KINDS, FOUND)
 
 
@@ -162,20 +228,12 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", length: st
     """
     hits = found.where("spans <> ''").select("row_key", "spans").distinct()
     at = lambda s, k: F.get(F.split(s, ":"), F.lit(k)).cast("int")
-    parts = F.transform(F.split("__spans", ","), lambda s: F.struct(at(s, 1).alias("start"), at(s, 2).alias("end")))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, span: Column) -> Column:
-        gap = F.substring(F.col("text"), s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
-        piece = F.when(span["start"] >= s["at"], F.concat(gap, F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
-
-    done = F.aggregate(F.array_sort(parts), state, step)
-    clean = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
+    spans = F.transform(F.split("__spans", ","), lambda s: F.struct(at(s, 1).alias("start"), at(s, 2).alias("end")))
+    size = hits.agg(F.sum(F.octet_length("spans"))).first()[0] or 0
     hits = hits.withColumnRenamed("row_key", "__key").withColumnRenamed("spans", "__spans")
     keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(F.broadcast(hits) if small(hits) else hits, "__key", "left")
-    out = joined.withColumn("__clean", F.when(F.col("__spans").isNotNull(), clean))
+    joined = keyed.join(F.broadcast(hits) if size <= BROADCAST_BYTES and small(hits) else hits, "__key", "left")
+    out = joined.withColumn("__clean", F.when(F.col("__spans").isNotNull(), replaced(F.col("text"), spans, mark)))
     if length in docs.columns:
         changed = F.length("__clean").cast(docs.schema[length].dataType)
         out = out.withColumn(length, F.coalesce(changed, F.col(length)))

@@ -1,6 +1,9 @@
 import base64
 import random
 import string
+import sysconfig
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from lakeweave.llm import pii
 from lakeweave.llm.pii import find_pii
 from lakeweave.llm.secrets import battery, find_secrets, redact
 from lakeweave.llm.shared import Scratch
-from lakeweave.llm.spans import matches
+from lakeweave.llm.spans import PART, apart, cut, matches, parts, replaced
 
 from . import brute
 
@@ -60,6 +63,68 @@ def test_places_of_very_many_matches(spark):
         at = m["end"]
 
 
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def some_spans(rng, n, most, longest):
+    starts = sorted(rng.randrange(most) for _ in range(n))
+    return [(a, min(a + rng.randint(1, longest), most)) for a in starts]
+
+
+def test_spans_apart_and_replaced_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [("", [], []), ("\u00e9\U0001f600", [(0, 1)], [(1, 2)]), ("x" * PART * 2, [(0, PART)], [(PART, 2 * PART)])]
+    for n in (0, 1, 5, 300, 900):
+        text = "".join(rng.choice("ab \n\u00e9\U0001f600") for _ in range(4000))
+        rows.append((text, some_spans(rng, 300, 4000, 30), rng.sample(some_spans(rng, n, 4000, 12), n)))
+    df = spark.createDataFrame(rows, f"t string, found {SPANS}, taken {SPANS}")
+    pieces = F.transform("taken", lambda s: cut(parts(F.col("t")), s["start"], s["end"]))
+    got = df.select("t", "found", "taken", apart(F.col("found"), F.col("taken")).alias("free"),
+                    replaced(F.col("t"), F.col("taken"), "[S]").alias("clean"), pieces.alias("pieces")).collect()
+    for r in got:
+        assert r["free"] == [f for f in r["found"] if not any(a < f["end"] and f["start"] < b for a, b in r["taken"])]
+        assert r["pieces"] == [r["t"][a:b] for a, b in r["taken"]]
+        at, out = 0, ""
+        for a, b in sorted(r["taken"]):
+            if a >= at:
+                out += r["t"][at:a] + "[S]"
+            at = max(at, b)
+        assert r["clean"] == out + r["t"][at:]
+
+
+def test_texts_with_very_many_spans_take_time_by_their_length(make_docs):
+    """A text of a megabyte, tens of thousands of spans in it: quadratic work would take many minutes."""
+    rng = random.Random(9)
+    log = "\n".join(f"05-{i % 28} 10:{i % 60} host{i % 7} 10.0.{i % 250}.{i % 99} GET /a/{i * 7919 % 100_003}" for i in range(22_000))
+    sums = "\n".join(f"{rng.randbytes(16).hex()}  file{i}" for i in range(22_000))
+    began = time.monotonic()
+    assert find_pii(make_docs([(1, log)])).first()["n_ip"] == 22_000
+    docs = make_docs([(1, sums)])
+    assert redact(docs, find_secrets(docs)).first()["text"] == "\n".join(f"[SECRET]  file{i}" for i in range(22_000))
+    assert time.monotonic() - began < 150
+
+
+def test_names_in_source_code_and_paths_are_no_secrets_and_keys_among_them_are(make_docs):
+    rng = random.Random(10)
+    files = sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))[:60]
+    source = [f.read_text(errors="replace") for f in files]
+    source += [f"cd {f.parent}/Modules/getaddrinfo/{f.stem}_from_some_examples PYTHON_FOR_BUILD_DEPS={f.stem.title()}RequestHandler" for f in files]
+    alphabets = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789ABCDEF", string.ascii_uppercase + "234567")
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 32, 40) for _ in range(25)]
+    rows = [*enumerate(source), *((10_000 + k, f"x = '{key}' # used") for k, key in enumerate(keys))]
+    found = {r["doc_id"]: r for r in find_secrets(make_docs(rows)).collect()}
+    assert sum(found[i]["n_random"] for i in range(len(source))) <= 2
+    right = [found[10_000 + k]["spans"].endswith(f":{5}:{5 + len(key)}") for k, key in enumerate(keys)]
+    assert sum(right) >= 0.97 * len(keys)
+
+
+def test_long_words_beside_a_span_are_no_contexts(make_docs):
+    """A word cut by the reach of a context would be another word's pattern."""
+    rows = [(i, f"{'q' * (100 + i)} mail user{i}@example{i}.org {'z' * (100 + i)}") for i in range(40)]
+    rows += [(100, f"{'q' * 300} mail ID-99887766 {'z' * 300}")]
+    assert all(r["n_context"] == 0 for r in find_pii(make_docs(rows)).collect())
+
+
 def test_battery_tells_random_strings_from_words(spark):
     rng = random.Random(2)
     strings = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(40)]
