@@ -1,11 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary texts. What both
-kinds of text share says nothing, so each dictionary is pruned to the runs of bytes that occur
-in a clearly larger share of its own kind's texts. A text is cut into windows; each is compressed
-with either dictionary, and the difference of the two lengths is its distance. A logistic
-function of the distances' summary, fitted on other labelled rows than the dictionaries, gives
-the score.
+Three zstandard dictionaries are trained: on toxic texts, on ordinary texts, and on both. What both
+kinds of text share says nothing, so the first two are pruned to the runs of bytes that occur
+in a clearly larger share of their own kind's texts, and the third, without these runs, stands before
+either of them at the same distance from the text. A text is cut into windows; each is compressed
+with either dictionary, and the difference of the two lengths is its distance: what is common costs
+the same in both, and a chance match with a run of one kind gains nothing where the common part has
+one as long. A logistic function of the distances' summary, fitted on other labelled rows than the
+dictionaries, gives the score.
 
 The dictionaries and the fit come from bounded samples of labelled rows (``SAMPLE_TEXTS``
 texts of each kind and ``SAMPLE_BYTES`` bytes of them, ``FIT_ROWS`` rows for the fit). All whole texts are scored.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,15 @@ from lakeweave.llm.textbytes import LOWER, slices
 SAMPLE_TEXTS, SAMPLE_BYTES, FIT_ROWS = 3000, 8_000_000, 20_000
 # A dictionary is this share of its texts, within limits, as the trainer advises.
 SHARE, LEAST_BYTES, MOST_BYTES, PIECE = 32, 16_384, 65_536, 256
+# Bytes of the dictionary of what both kinds share, the usual size of a dictionary. The window of PARAMETERS holds it
+# and what is specific to a kind, whose most frequent runs lie nearest.
+COMMON_BYTES = 112_640
 # A run of RUN bytes is kept if at least LEAST_TEXTS texts of its kind hold it, if their share is at
 # least RATIO times that of the other kind, and if the shares differ by SURE standard errors.
 RUN, LEAST_TEXTS, RATIO, SURE = 5, 5, 4, 6
 WINDOW, LEVEL = 128, 3
 # Matches shorter than a run would be chance.
-PARAMETERS = {"strategy": zstandard.STRATEGY_LAZY, "min_match": RUN, "window_log": 10, "hash_log": 12, "chain_log": 12}
+PARAMETERS = {"strategy": zstandard.STRATEGY_LAZY, "min_match": RUN, "window_log": 17, "hash_log": 17, "chain_log": 17}
 APART = b"\1"
 # Every window begins with the same run, which either dictionary compresses alike: a match in
 # the window then costs and saves its own bytes only.
@@ -65,9 +71,9 @@ def windows(text: bytes) -> list[bytes]:
     return out
 
 
-def _trained(texts: Sequence[bytes]) -> bytes:
+def _trained(texts: Sequence[bytes], size: int | None = None) -> bytes:
     samples = [t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)]
-    size = min(max(sum(map(len, texts)) // SHARE, LEAST_BYTES), MOST_BYTES)
+    size = size or min(max(sum(map(len, texts)) // SHARE, LEAST_BYTES), MOST_BYTES)
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the texts are the dictionary
@@ -114,10 +120,28 @@ def pruned(trained: bytes, own: Sequence[bytes], other: Sequence[bytes]) -> byte
     return APART.join(sorted(single, key=lambda p: (kept[p], p)))
 
 
+def without(trained: bytes, pieces: Sequence[bytes]) -> bytes:
+    """A dictionary less all runs that occur in one of the pieces."""
+    runs = {p[k : k + RUN] for p in pieces for k in range(len(p) - RUN + 1)}
+    kept = bytearray(b"\1" * len(trained))
+    for k in range(len(trained) - RUN + 1):
+        if trained[k : k + RUN] in runs:
+            kept[k : k + RUN] = bytes(RUN)
+    return bytes(compress(trained, kept))
+
+
 def dictionaries(texts: Sequence[tuple[int, bytes]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionaries from (y, text)."""
+    """(ordinary, toxic) dictionaries from (y, text): what both kinds share, then what is specific to the kind.
+
+    Padding makes the specific parts equally long, so that the common part lies equally far from a window.
+    """
     kinds = [list(dict.fromkeys(plain(t) for y, t in texts if y == kind)) for kind in (0, 1)]
-    return tuple(pruned(_trained(kinds[k]), kinds[k], kinds[1 - k]) for k in (0, 1))
+    own = [pruned(_trained(kinds[k]), kinds[k], kinds[1 - k]) for k in (0, 1)]
+    as_many = min(map(len, kinds))
+    common = _trained(kinds[0][:as_many] + kinds[1][:as_many], COMMON_BYTES)
+    common = without(common, [piece for o in own for piece in o.split(APART)])
+    size = max(map(len, own))
+    return tuple(common + APART + o.rjust(size, APART) for o in own)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:

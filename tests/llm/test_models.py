@@ -6,11 +6,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lakeweave.llm import quality_model
+from lakeweave.llm import quality_model, toxicity
 from lakeweave.llm.labelled import sample_texts
 from lakeweave.llm.language_model import score_texts, train
 from lakeweave.llm.quality_model import score_quality
-from lakeweave.llm.toxicity import dictionaries, plain, score_toxicity, windows
+from lakeweave.llm.toxicity import dictionaries, plain, score_toxicity, windows, without
 
 from . import brute
 from .conftest import sentence
@@ -141,7 +141,37 @@ def test_dictionaries_hold_what_is_specific():
     texts = [(0, sentence(rng, 60).encode()) for _ in range(200)]
     texts += [(1, (sentence(rng, 60) + " grobblenit " + sentence(rng, 5)).encode()) for _ in range(200)]
     ordinary, toxic = dictionaries(texts)
-    assert b"grobblenit" in toxic and b"grobblenit" not in ordinary and len(toxic) < 200
+    assert b"grobblenit" in toxic and b"grobblenit" not in ordinary
+    # They differ in what is specific only, and lie equally far from a window.
+    assert len(toxic) == len(ordinary) > 1000
+    first = next(k for k in range(len(toxic)) if toxic[k] != ordinary[k])
+    assert len(toxic) - first < 200
+
+
+def test_a_dictionary_without_the_runs_of_pieces():
+    assert without(b"some common words", [b" common "]) == b"somewords"
+    assert without(b"some", [b" common "]) == b"some" and without(b"some common", []) == b"some common"
+
+
+def test_distances_equal_the_lengths_of_windows_compressed_one_by_one(make_docs):
+    rng = random.Random(5)
+    insults = ["grobblenit", "snarvexkop"]
+    texts = [(k % 2, " ".join([sentence(rng, 40), *insults[: k % 2 * 2], sentence(rng, 5)]).encode()) for k in range(300)]
+    ordinary, toxic = dictionaries(texts)
+    rows = [(i, t.decode()) for i, (_, t) in enumerate(texts[:20])] + [(20, None), (21, ""), (22, "x" * 5000), (23, "grobblenit " * 400)]
+    found = make_docs(rows).select("doc_id", "text").mapInArrow(
+        toxicity._distances(ordinary, toxic), "doc_id long, " + ", ".join(f"{f} double" for f in toxicity.FEATURES)
+    )
+    found = {r["doc_id"]: list(r)[1:] for r in found.collect()}
+    for i, t in rows:
+        lengths = []
+        for w in windows(plain((t or "").encode())):
+            one = [len(toxicity._compressor(d).compress(w)) for d in (ordinary, toxic)]
+            lengths.append(one[0] - one[1])
+        top = sorted(lengths, reverse=True)
+        shares = [sum(x >= k for x in lengths) / len(lengths) for k in (1, 2, 4)]
+        assert found[i] == pytest.approx([sum(lengths) / len(lengths), *shares, top[0], sum(top[:3]) / len(top[:3]), math.log(len(lengths))])
+    assert found[1][4] > 0 >= found[0][4]
 
 
 def test_windows_hold_the_whole_text():
