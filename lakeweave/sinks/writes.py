@@ -9,14 +9,20 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeweave.session import workspace
 from lakeweave.sources.bindings import CatalogBinding, quoted
 
+# How much one task of a write in order is to sort, in bytes of ``sort_bytes``.
+RANGE_BYTES = 128 * 1024 * 1024
+
 
 def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -68,7 +74,7 @@ def laid_out(
 ) -> DataFrame:
     """Distribute rows over write tasks.
 
-    With ``order_by`` the whole is in order, not each file alone; see ``ranged``.
+    With ``order_by`` the whole is in order, not each file alone; see ``ranged``, and ``in_few_files`` for much in few files.
 
     ``target_files`` is for a caller who knows that few files are enough; everything ahead
     of the write stays parallel. A partitioned write is rebalanced on its partition columns:
@@ -108,6 +114,100 @@ def ranged(df: DataFrame, keys: Sequence[str], target_files: int | None = None)
     return tied.drop(tie).sortWithinPartitions(*order)
 
 
+def sort_bytes(df: DataFrame) -> int:
+    """About what the rows take in a sort: 40 bytes and 8 for each column, and what values without a fixed width hold."""
+    width = F.lit(40 + 8 * len(df.columns)).cast("bigint")
+    for f in df.schema:
+        value = F.col(quoted(f.name))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value))
+        elif not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            continue
+        width = width + F.coalesce(F.octet_length(value), F.lit(0))
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
+@contextmanager
+def session_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_ranges(spark: SparkSession, df: DataFrame, keys: Sequence[str], ranges: int, folder: str) -> list[DataFrame]:
+    """Ranges of the keys in their order, each sorted and stored by a task of its own."""
+    number = "lakeweave range"
+    tagged = ranged(df, keys, ranges).withColumn(number, F.spark_partition_id())
+    tagged.write.option("maxRecordsPerFile", 0).parquet(folder)
+    stored = spark.read.parquet(folder).select(F.col("_metadata.file_name"), F.col(quoted(number)).alias("number"))
+    files = stored.distinct().orderBy("number").collect()  # one row for each range
+    return [spark.read.schema(df.schema).parquet(f"{folder}/{r['file_name']}") for r in files]
+
+
+@contextmanager
+def in_few_files(spark: SparkSession, df: DataFrame, keys: Sequence[str], target_files: int) -> Iterator[DataFrame]:
+    """Rows in order for ``target_files`` write tasks; write them before the context ends.
+
+    The rows are stored in the workspace first, which tells how much there is to sort. When that is much for a task,
+    more tasks sort smaller ranges and store them, and a write task reads those of its file one after the other. So what
+    a task sorts does not grow with the files.
+    """
+    root = workspace(spark)
+    try:
+        df.write.parquet(f"{root}/rows")
+        rows = spark.read.schema(df.schema).parquet(f"{root}/rows")
+        per_file = -(-sort_bytes(rows) // (target_files * RANGE_BYTES))
+        if per_file <= 1:
+            yield ranged(rows, keys, target_files)
+            return
+        parts = stored_ranges(spark, rows, keys, target_files * per_file, f"{root}/ranges")
+        remove_folder(spark, f"{root}/rows")
+        files: dict[int, list[DataFrame]] = {}
+        for i, part in enumerate(parts):
+            files.setdefault(i * target_files // len(parts), []).append(part)
+        # A union of single partitions would be a single partition itself, and so one file.
+        with session_setting(spark, "spark.sql.unionOutputPartitioning", "false"):
+            yield reduce(DataFrame.unionAll, [reduce(DataFrame.unionAll, of).coalesce(1) for of in files.values()])
+    finally:
+        remove_folder(spark, root)
+
+
+@contextmanager
+def layout(
+    spark: SparkSession,
+    df: DataFrame,
+    partition_by: Sequence[str] = (),
+    target_files: int | None = None,
+    sort_within: Sequence[str] = (),
+    order_by: Sequence[str] = (),
+    replaced: str | None = None,
+) -> Iterator[DataFrame]:
+    """The rows distributed over write tasks, by ``in_few_files`` if few files are to be in order and else by ``laid_out``.
+
+    A table with partitions is left to the latter: Spark would sort the rows of a write task by partition once more.
+    ``replaced`` names the table that the rows replace, which they must not come from.
+    """
+    if not order_by or target_files is None or partition_by or sort_within:
+        yield laid_out(spark, df, partition_by, target_files, sort_within, order_by)
+        return
+    # Spark refuses that too, but would not see it behind stored rows.
+    if replaced is not None and not set(spark.table(replaced).inputFiles()).isdisjoint(df.inputFiles()):
+        raise AnalysisException(f"cannot overwrite {replaced}, which is also being read from")
+    with in_few_files(spark, df, order_by, target_files) as rows:
+        yield rows
+
+
 def fingerprint(df: DataFrame) -> tuple[Column, Column]:
     """Aggregates of all rows: their number, and the sum of their hashes as text."""
     hashes = F.sum(F.xxhash64(*hashable(df)).cast("decimal(20,0)"))
@@ -168,14 +268,15 @@ def append(
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema, positional, absent)
     if bucket_by:
-        rows = rows.repartition(bucket_by[1], F.col(quoted(bucket_by[0])))
+        dealt = nullcontext(rows.repartition(bucket_by[1], F.col(quoted(bucket_by[0]))))
     else:
-        rows = laid_out(spark, rows, partition_by, target_files, sort_within, order_by)
-    rows, seen = counted(rows)
-    if binding.kind == "v2":
-        rows.writeTo(name).append()
-    else:
-        rows.write.insertInto(name)
+        dealt = layout(spark, rows, partition_by, target_files, sort_within, order_by)
+    with dealt as rows:
+        rows, seen = counted(rows)
+        if binding.kind == "v2":
+            rows.writeTo(name).append()
+        else:
+            rows.write.insertInto(name)
     return written(seen)
 
 
@@ -197,13 +298,14 @@ def overwrite(
     """
     name = binding.table(table)
     rows = conform(df, spark.table(name).schema)
-    rows = laid_out(spark, rows, partition_by, target_files, sort_within, order_by)
-    rows, seen = counted(rows)
-    if binding.kind == "v2":
-        rows.writeTo(name).overwrite(F.lit(True))
-    else:
-        with partition_overwrite(spark, "static"):
-            rows.write.insertInto(name, overwrite=True)
+    replaced = None if binding.kind == "v2" else name
+    with layout(spark, rows, partition_by, target_files, sort_within, order_by, replaced) as rows:
+        rows, seen = counted(rows)
+        if binding.kind == "v2":
+            rows.writeTo(name).overwrite(F.lit(True))
+        else:
+            with partition_overwrite(spark, "static"):
+                rows.write.insertInto(name, overwrite=True)
     return written(seen)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeweave.sources.bindings import CatalogBinding
 
@@ -41,11 +42,20 @@ def file_report(spark: SparkSession, binding: CatalogBinding, table: str) -> Dat
 def file_ranges(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, least and greatest value of a column in each file behind a file-based DataFrame.
 
-    ``by`` are partition columns, to tell partitions apart. Only ``column`` is read.
+    ``by`` are partition columns, to tell partitions apart. Only ``column`` is read. Spark sorts all
+    rows for MIN and MAX of a string. So equal ones of a file are counted first, and sorted are only
+    the different ones.
     """
     value = df.select(*by, F.col("_metadata.file_path"), F.col(column).alias("value"))
-    return value.groupBy(*by, "file_path").agg(
-        F.count(F.lit(1)).alias("record_count"), F.min("value").alias("low"), F.max("value").alias("high")
+    if not isinstance(value.schema["value"].dataType, (T.StringType, T.BinaryType)):
+        return value.groupBy(*by, "file_path").agg(
+            F.count(F.lit(1)).alias("record_count"), F.min("value").alias("low"), F.max("value").alias("high")
+        )
+    counted = value.groupBy(*by, "file_path", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Without the use of n, Spark would take the counting away wherever record_count is not asked for.
+    held = F.when(F.col("n") > 0, F.col("value"))
+    return counted.groupBy(*by, "file_path").agg(
+        F.sum("n").alias("record_count"), F.min(held).alias("low"), F.max(held).alias("high")
     )
 
 

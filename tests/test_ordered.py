@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeweave import plans, sinks
 from lakeweave.schemas import RAW_EVENTS, TableSpec, column
-from lakeweave.sinks.writes import location_of, tracks_partitions
+from lakeweave.sinks import writes
+from lakeweave.sinks.writes import conform, layout, location_of, tracks_partitions
 from lakeweave.sources import file_ranges, inline_rows, overlapping_files, scan_partitions, scan_table
 from tests import seed
 from tests.conftest import rows
@@ -84,6 +88,81 @@ def test_small_ranges_are_joined_without_a_number_of_files(spark, operational, s
     assert overlapping_files(ranges).count() == 0 and ranges.agg(F.sum("record_count")).first()[0] == 50
 
 
+def test_many_rows_in_few_files_are_put_together_from_ranges(spark, operational, skewed, monkeypatch, tmp_path):
+    monkeypatch.setattr(writes, "RANGE_BYTES", 64 * 1024)
+    monkeypatch.setattr(writes, "workspace", lambda spark: str(tmp_path / "work"))
+    with layout(spark, skewed, target_files=3, order_by=["k"]) as laid:
+        ranges = sorted((tmp_path / "work" / "ranges").glob("*.parquet"))
+        assert len(ranges) >= 12 and max(spark.read.parquet(str(f)).count() for f in ranges) < 30_000 / 6
+        assert "Sort" not in laid._jdf.queryExecution().executedPlan().toString()
+    assert not (tmp_path / "work").exists()
+    sinks.create_table(spark, operational, "numbers", NUMBERS)
+    for write, times in ((sinks.overwrite, 1), (sinks.append, 2)):
+        assert write(spark, operational, "numbers", skewed, order_by=["k"], target_files=3) == 30_000
+        table = scan_table(spark, operational, "numbers")
+        assert in_order(table, "k") == (3 * times, True)
+        assert table.groupBy("k", "v").count().exceptAll(reduce(DataFrame.unionAll, [skewed] * times).groupBy("k", "v").count()).count() == 0
+        if times == 1:
+            files = file_ranges(table, "k")
+            assert overlapping_files(files).collect() == []
+            assert files.agg(F.max("record_count")).first()[0] < 2 * 30_000 / 3
+    assert not (tmp_path / "work").exists()
+    assert spark.conf.get("spark.sql.unionOutputPartitioning", None) is None
+
+
+def test_values_of_all_types_are_put_together_from_ranges(spark, operational, monkeypatch):
+    monkeypatch.setattr(writes, "RANGE_BYTES", 4 * 1024)
+    spec = TableSpec(
+        T.StructType([column(n, T._parse_datatype_string(t), n) for n, t in (
+            ("k", "string"), ("d", "date"), ("n", "decimal(20,3)"), ("a", "array<string>"), ("m", "map<string,int>"),
+            ("s", "struct<x:int,y:string>"), ("b", "binary"), ("f", "double"), ("t", "timestamp"))])
+    )
+    df = spark.range(0, 600, 1, 3).selectExpr(
+        "IF(id % 7 = 0, NULL, CAST(id % 50 AS STRING)) AS k", "DATE '2024-01-01' + CAST(id AS INT) AS d", "CAST(CAST(id AS DECIMAL(20,3)) / 7 AS DECIMAL(20,3)) AS n",
+        "IF(id % 5 = 0, NULL, array('a', NULL, CAST(id AS STRING))) AS a", "map('x', CAST(id AS INT)) AS m", "named_struct('x', CAST(id AS INT), 'y', 'z') AS s",
+        "CAST(CAST(id AS STRING) AS BINARY) AS b", "IF(id % 11 = 0, NULL, id / 3) AS f", "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(CAST(id AS INT)) AS t",
+    )
+    sinks.create_table(spark, operational, "mixed", spec)
+    assert sinks.overwrite(spark, operational, "mixed", df, order_by=["k", "d"], target_files=2) == 600
+    table = scan_table(spark, operational, "mixed")
+    assert in_order(table, "k") == (2, True)
+    assert rows(table) == rows(conform(df, spark.table(operational.table("mixed")).schema))
+
+
+def test_no_rows_in_few_files(spark, operational, skewed):
+    sinks.create_table(spark, operational, "numbers", NUMBERS)
+    assert sinks.overwrite(spark, operational, "numbers", skewed.limit(0), order_by=["k"], target_files=3) == 0
+    assert scan_table(spark, operational, "numbers").count() == 0
+
+
+@pytest.mark.parametrize("range_bytes", [1024, 2**40])
+def test_few_files_in_order_are_not_written_over_what_they_are_read_from(spark, operational, skewed, monkeypatch, range_bytes):
+    monkeypatch.setattr(writes, "RANGE_BYTES", range_bytes)
+    sinks.create_table(spark, operational, "numbers", NUMBERS)
+    sinks.append(spark, operational, "numbers", skewed.limit(500))
+    table = scan_table(spark, operational, "numbers")
+    with pytest.raises(AnalysisException):
+        sinks.overwrite(spark, operational, "numbers", table, order_by=["k"], target_files=3)
+    assert table.count() == 500
+
+
+def test_ranges_of_text_count_equal_values_before_they_sort(spark, operational, skewed):
+    sinks.create_table(spark, operational, "numbers", NUMBERS)
+    sinks.append(spark, operational, "numbers", skewed.withColumn("v", F.expr("IF(k % 9 = 0, NULL, CAST(k % 40 AS STRING))")))
+    table = scan_table(spark, operational, "numbers")
+    ranges = file_ranges(table, "v")
+    for used in (ranges, ranges.select("low", "high"), overlapping_files(ranges)):
+        plan = used._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") == 2
+    each = table.select("_metadata.file_path", "v").collect()
+    found = {r["file_path"]: tuple(r)[1:] for r in ranges.collect()}
+    assert found.keys() == {r[0] for r in each}
+    for path, (n, low, high) in found.items():
+        values = [r["v"] for r in each if r["file_path"] == path]
+        held = [v for v in values if v is not None]
+        assert (n, low, high) == (len(values), min(held), max(held))
+
+
 def daily(events):
     return events.withColumn("k", F.col("event_id")).selectExpr("k", "event_type AS v", "region AS p")
 
