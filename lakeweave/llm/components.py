@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.shared import Scratch
 
-# Up to so many links a round's minima go to every executor (twice as many rows at most).
-FEW_LINKS = 500_000
+# Up to so many links a round's minima go to every executor (twice as many rows at most, of about 80 bytes each
+# on the driver, which holds those of several joins at a time).
+FEW_LINKS = 50_000
 FEW_FILES = 8
 
 
@@ -27,16 +28,18 @@ def components(scratch: Scratch, links: DataFrame, a: str, b: str) -> DataFrame:
     Links are rewired in rounds: neighbours of a node are tied to the smallest of them, first
     the larger ones, then the smaller ones, until every component is a star around its root.
     The number of rounds grows with the logarithm of the longest path. A node with very many
-    links is reduced to a minimum in the map tasks; the join back can be split. Where the links
+    links is reduced to a minimum in the map tasks; the minima and what they are joined back to are
+    tables, so that the join can be split, and nothing of them comes to the driver. Where the links
     were counted to be few, the minima are broadcast and the rows kept in few files.
     """
     edges = scratch.save(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), "edges")
     few = edges.count() <= FEW_LINKS
-    sent = F.broadcast if few else lambda df: df
+    sent = F.broadcast if few else lambda df: scratch.save(df, "minima")
     while not _is_forest_of_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(sent(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large if few else scratch.save(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(sent(low), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(

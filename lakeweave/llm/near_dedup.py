@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm.components import components
-from lakeweave.llm.shared import Scratch, semi_join
+from lakeweave.llm.shared import Scratch, lean_semi_join
 from lakeweave.llm.textbytes import Texts, mix, slices
 
 SHINGLE = 5
@@ -293,7 +293,8 @@ def _link(scratch: Scratch, texts: DataFrame, sizes: DataFrame, rows: DataFrame)
     sizes = sizes.distinct()
 
     def needed(ids: DataFrame) -> DataFrame:
-        return scratch.save(semi_join(texts, ids.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct(), "texts")
+        ids = scratch.save(ids.select(F.col("node").alias("doc_id")).distinct(), "needed")
+        return scratch.save(lean_semi_join(texts, ids, "doc_id").distinct(), "texts")
 
     members = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")), "bucket-sizes")
     pairs = _pairs(rows, members.where(F.col("n") <= SMALL_BUCKET).select("key"))
@@ -318,6 +319,7 @@ def _link(scratch: Scratch, texts: DataFrame, sizes: DataFrame, rows: DataFrame)
         return roots
     blocks = scratch.save(_block_pairs(scratch, apart), "blocks")
     found = needed(blocks.select("node")).withColumnRenamed("doc_id", "node")
-    more = blocks.join(found, "node").groupBy("cluster", "x", "y").applyInArrow(_linked_blocks, "a long, b long")
+    # Blocks repeat their nodes, so that the driver would hold 40 times what their files suggest.
+    more = blocks.hint("merge").join(found, "node").groupBy("cluster", "x", "y").applyInArrow(_linked_blocks, "a long, b long")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(scratch, known.unionByName(scratch.save(more, "links")), "a", "b")

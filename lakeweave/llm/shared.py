@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.session import workspace
@@ -49,6 +49,37 @@ def anti_join(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_ROWS
     return df.join(F.broadcast(ids) if small(ids, most) else ids, on, "left_anti")
 
 
+# Rows of (key, a few numbers) that the driver holds with little memory, about 8 MB. Bits for a longer list of keys:
+# so many for each, in parts of PART_BITS (4 KB), 8 MB in all at most.
+FEW_ROWS = 100_000
+BITS_PER_KEY, MOST_BITS = 16, 1 << 26
+PART_BITS = 1 << 15
+
+
+def _place(key: Column, bits: int) -> tuple[Column, Column]:
+    """The part that holds the bit of a key, and where it is in there."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    return F.floor(at / PART_BITS), at % PART_BITS
+
+
+def lean_semi_join(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """As ``semi_join``, for a list of any length that lies in a table: the driver holds ``FEW_ROWS`` keys or 8 MB.
+
+    Of a longer list two bytes a key are sent, bits at the hashes of the keys. They drop most other rows (15 of 16,
+    fewer where the list is beyond four million) where they are read, and what is left is joined by shuffle.
+    """
+    n = ids.count()
+    if n <= FEW_ROWS:
+        return df.join(F.broadcast(ids), on, "left_semi")
+    bits = min(n * BITS_PER_KEY, MOST_BITS)
+    part, at = _place(F.col(on), bits)
+    marked = F.broadcast(ids.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("marks")))
+    part, at = _place(df[on], bits)
+    byte = F.substring(marked["marks"], F.floor(at / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+    return df.join(marked, (part == marked["part"]) & is_set, "left_semi").join(ids, on, "left_semi")
+
+
 ROW_KEY = "lakeweave row"
 
 
